@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import quality_rules
+from cinelake.llm import decontaminate, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_secret_scan": secret_scan.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontaminate": decontaminate.SQL,
+}
