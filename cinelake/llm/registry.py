@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import decontaminate, quality_rules, secret_scan
+from cinelake.llm import decontaminate, quality_rules, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": simhash.query,
+    "op4_sharding": sharding.query,
     "op7_secret_scan": secret_scan.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
