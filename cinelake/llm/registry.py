@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import decontaminate, pieces, quality_rules, secret_scan, sharding, simhash
+from cinelake.llm import decontaminate, pieces, quality_rules, secret_scan, sharding, simhash, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.query,
     "op4_sharding": sharding.query,
+    "op5_suffix_tree": suffix_tree.query,
     "op6_pieces": pieces.query,
     "op7_secret_scan": secret_scan.query,
     "op9_decontaminate": decontaminate.query,
