@@ -61,7 +61,9 @@ def external_shuffle(
         return out.append_column("__slot", pa.array(number - cuts[shard], pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return scattered.groupBy("__bucket").applyInArrow(shuffle, f"{schema}, `__shard` int, `__slot` bigint")
+    # One partition a bucket, so that a task's share does not grow with the input.
+    dealt = scattered.repartition(buckets, "__bucket")
+    return dealt.groupBy("__bucket").applyInArrow(shuffle, f"{schema}, `__shard` int, `__slot` bigint")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
