@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import decontaminate, pieces, quality_rules, secret_scan, sharding, simhash, suffix_tree
+from cinelake.llm import decontaminate, exact_repeats, pieces, quality_rules, secret_scan, sharding, simhash, suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_tree": suffix_tree.query,
     "op6_pieces": pieces.query,
     "op7_secret_scan": secret_scan.query,
+    "op8_exact_repeats": exact_repeats.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
