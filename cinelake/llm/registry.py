@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import decontaminate, exact_repeats, pieces, quality_rules, secret_scan, sharding, simhash, suffix_tree
+from cinelake.llm import decontaminate, exact_repeats, pieces, quality_rules, secret_scan, sharding, simhash, suffix_tree, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.query,
+    "op3_weak_labels": weak_labels.query,
     "op4_sharding": sharding.query,
     "op5_suffix_tree": suffix_tree.query,
     "op6_pieces": pieces.query,
