@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import decontaminate, exact_repeats, pieces, quality_rules, secret_scan, sharding, simhash, suffix_tree, weak_labels
+from cinelake.llm import decontaminate, exact_repeats, pieces, quality_rules, secret_scan, sharding, simhash, suffix_tree, surrogates, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": surrogates.query,
     "op2_simhash": simhash.query,
     "op3_weak_labels": weak_labels.query,
     "op4_sharding": sharding.query,
