@@ -8,7 +8,7 @@ final and leave the window.  Where no piece holds U+2581 after another character
 such a boundary for certain; the words between are then searched once and remembered.
 
 Characters without a piece of their own are written as byte pieces, and so is U+2581 itself, so
-decoding gives every text back.
+decoding gives every text back.  A control character that is in no longer piece parts words, too.
 
 Defined results: null gives null ids and null text; the empty text gives no ids; equal scores take the
 longer last piece; ids out of range raise an error.
@@ -28,11 +28,10 @@ from cinelake.llm.common import table
 
 #: U+2581, which stands for a space.
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: What a character costs that only byte pieces can write, below the lowest score of the model.
 BYTE_PENALTY = 10.0
 #: Longer words are searched anew each time; so many words are remembered before the memory is emptied.
-MEMO_CHARS, MEMO_WORDS = 48, 600_000
+MEMO_CHARS, MEMO_WORDS = 48, 1_000_000
 #: Rows handled at a time.
 ROWS = 256
 
@@ -49,6 +48,10 @@ class Pieces:
         self.known |= {p: (score, (number,)) for p, (score, number) in self.scores.items()}
         self.worst = min((s for s, _ in self.scores.values() if s > -1e8), default=0.0) - BYTE_PENALTY
         self.bounded = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
+        # Control characters that are in no longer piece part the words as well.
+        joined = {c for p in self.scores if len(p) > 1 for c in p}
+        alone = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in joined)
+        self.word = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
         self.spelled = [b""] * size
         for number, text, _ in pieces:
             self.spelled[number] = text.replace(SPACE, " ").encode()
@@ -76,11 +79,28 @@ class Pieces:
 
     def short(self, text: str) -> list[int]:
         """The same ids for a text no longer than the window, committed at its end."""
-        score = [0.0] + [-np.inf] * len(text)
-        step: list = [(0, ())] + [None] * len(text)
-        for at in range(len(text)):
-            self._relax(text, at, 0, score, step)
-        return self._ids(step, len(text))
+        get, size = self.known.get, len(text)
+        score = [0.0] + [-np.inf] * size
+        step: list = [(0, ())] + [None] * size
+        for at in range(size):
+            own = score[at]
+            for end in range(at + 1, size + 1):
+                found = get(text[at:end])
+                if found is None:
+                    break
+                if found and own + found[0] > score[end]:
+                    score[end] = own + found[0]
+                    step[end] = (end - at, found[1])
+            if step[at + 1] is None:
+                score[at + 1] = own + self.worst
+                step[at + 1] = (1, tuple(self.byte_ids[b] for b in text[at].encode()))
+        out: list[int] = []
+        while size:
+            length, ids = step[size]
+            out += ids if len(ids) == 1 else reversed(ids)
+            size -= length
+        out.reverse()
+        return out
 
     def search(self, text: str) -> Iterator[int]:
         """Ids of the best pieces of an escaped text, yielded as they become final."""
@@ -146,7 +166,7 @@ class Pieces:
                 out.append(np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes())
             escaped = (SPACE if k == 0 else "") + part.replace(" ", SPACE)
             if self.bounded:
-                out += map(self._word, WORD.findall(escaped))
+                out += map(self._word, self.word.findall(escaped))
             else:
                 out.append(np.fromiter(self.search(escaped), np.int32).tobytes())
         return b"".join(out)
