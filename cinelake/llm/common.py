@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_columns(docs: DataFrame) -> DataFrame:
+    """``docs`` without columns whose names begin with two underscores: those names are the operators' own."""
+    return docs.drop(*(c for c in docs.columns if c.startswith("__")))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also where ``body`` uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,7 +8,7 @@ other, so the broadcast stays bounded at any size.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window;
 items that repeat are found each; repeated documents are judged alike; an empty benchmark leaves
-every document clean.
+every document clean; columns of ``docs`` whose names begin with two underscores are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import table
+from cinelake.llm.common import plain_columns, table
 
 #: Words of a window.
 WINDOW = 10
@@ -203,6 +203,7 @@ def blocks(benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> list
 
 def scan(docs: DataFrame, benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``__n_words``, ``__hits`` (word ranges) and ``__items`` (ids of items found)."""
+    docs = plain_columns(docs)
     for block in blocks(benchmark, max_block_bytes):
         docs = scan_block(docs, block)
     return docs
@@ -225,6 +226,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_block_bytes: int =
     A cut can bring words together that form another window, so a cut text is searched again until
     no window is left.
     """
+    docs = plain_columns(docs)
     found = blocks(benchmark, max_block_bytes)
     for block in found:
         docs = scan_block(docs, block)

@@ -11,7 +11,8 @@ Characters without a piece of their own are written as byte pieces, and so is U+
 decoding gives every text back.  A control character that is in no longer piece parts words, too.
 
 Defined results: null gives null ids and null text; the empty text gives no ids; equal scores take the
-longer last piece; ids out of range raise an error.
+longer last piece; ids out of range raise an error; columns whose names begin with two underscores are left
+out by the encoder.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import table
+from cinelake.llm.common import plain_columns, table
 
 #: U+2581, which stands for a space.
 SPACE = "▁"
@@ -197,6 +198,7 @@ def _schema(df: DataFrame, more: str) -> str:
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", into: str = "__ids") -> DataFrame:
     """``docs`` with the ids of each whole text in a new column, an array of integers."""
     model = docs.sparkSession.sparkContext.broadcast(pieces)
+    docs = plain_columns(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Pieces = model.value

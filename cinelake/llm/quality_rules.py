@@ -7,7 +7,8 @@ runs on the executors.
 
 Defined results: a null or empty text has no words and fails the base rules; a document without
 n-grams scores 0; repeated rows are judged alike; an empty corpus gives an empty result; without
-trusted documents every ratio is 0, so the base rules decide alone.
+trusted documents every ratio is 0, so the base rules decide alone; columns of ``docs`` whose names begin
+with two underscores are left out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import let, table, words_of
+from cinelake.llm.common import let, plain_columns, table, words_of
 
 #: Number of hash buckets of the n-gram multinomials: it bounds the model, and what reaches the driver.
 BUCKETS = 1 << 17
@@ -148,6 +149,7 @@ def judge(
     docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD, longest: int = LONGEST
 ) -> DataFrame:
     """All documents, with the figures of the base rules, ``llr`` and the verdict."""
+    docs = plain_columns(docs)
     buckets = len(ratio)
     weights = F.from_json(F.lit(json.dumps(ratio)), "array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))

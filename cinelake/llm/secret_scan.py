@@ -10,7 +10,8 @@ The index is restricted to the trigrams that the rules mention, so it holds a fe
 ``doc_id`` identifies a document in the postings; repeated rows share their postings and are verified
 each, and rows without an id meet by null-safe comparison.
 
-Defined results: a null or empty text has no spans; an empty table gives an empty result.
+Defined results: a null or empty text has no spans; an empty table gives an empty result; columns
+of ``docs`` whose names begin with two underscores are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import let, table
+from cinelake.llm.common import let, plain_columns, table
 
 #: At most so many alternatives are spelled out for one piece of a pattern.
 MAX_STRINGS = 64
@@ -203,6 +204,7 @@ def may_match(text: Column, rule: Rule) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``__spans``: array of (start, kind number, kind, end) in that order."""
+    docs = plain_columns(docs)
     derived = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in derived.items() if q is not None}
     grams = sorted({g for q in indexed.values() for a in q for g in a})
@@ -230,7 +232,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span replaced by ``[secret]`` (overlapping spans by one)."""
     found = scan(docs, rules)
-    columns = docs.columns
+    columns = plain_columns(docs).columns
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = F.aggregate(
         "__spans",

@@ -8,7 +8,8 @@ most; a shard is made of a few whole or cut buckets.  The result depends on the
 alone, so a task that runs again gives the same rows.
 
 Defined results: a null text counts no bytes; rows without an id are dealt by their text; rows that
-repeat id and text stay in one bucket, each with a slot of its own; an empty table gives no rows.
+repeat id and text stay in one bucket, each with a slot of its own; an empty table gives no rows; columns of
+``docs`` whose names begin with two underscores are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import table
+from cinelake.llm.common import plain_columns, table
 
 SHARDS = 40
 SEED = 20_240_607
@@ -37,6 +38,7 @@ def external_shuffle(
     docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
     """``docs`` with ``__shard`` and ``__slot``; the counts of any two shards differ by one at most."""
+    docs = plain_columns(docs)
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + RECORD_BYTES
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))

@@ -12,7 +12,8 @@ another value of the corpus, or meet one that was drawn again.  Such values are
 next tweak until none is left; only they travel to their documents in a join.
 
 Defined results: null and empty texts stay as they are; rows without an id are replaced too (they are
-one document where values drawn again are looked up); repeated rows get equal surrogates.
+one document where values drawn again are looked up); repeated rows get equal surrogates; columns whose
+names begin with two underscores are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import table, written
+from cinelake.llm.common import plain_columns, table, written
 
 #: The key of tests and of the query; users give their own.
 KEY = b"a key for tests only"
@@ -243,6 +244,7 @@ def redrawn(seen: DataFrame, key: bytes = KEY) -> DataFrame | None:
 
 def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with surrogates in the texts, and ``__found`` (kind, and start and end in the old text)."""
+    docs = plain_columns(docs)
     seen = written(values(docs))
     moved = redrawn(seen, key)
     source = docs.withColumn("__draws", F.lit(None).cast("array<struct<kind:string,value:string,draw:int>>"))
