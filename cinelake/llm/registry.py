@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelake.llm import decontaminate, exact_repeats, pieces, quality_rules, secret_scan, sharding, simhash, suffix_tree, surrogates, weak_labels
+from cinelake.llm import (
+    decontaminate,
+    exact_repeats,
+    pieces,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    suffix_tree,
+    surrogates,
+    weak_labels,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": surrogates.query,
@@ -21,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality_rules.query,
 }
 
+#: SQL has no XXH64, CRC-32 or search for pieces, and is too slow for the exact repeats of whole tables: those
+#: queries are tested against plain Python.
 ORACLE_SQL: dict[str, str] = {
+    "op7_secret_scan": secret_scan.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }

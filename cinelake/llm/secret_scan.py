@@ -270,3 +270,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(joined(of(*BASE)), "UTF-8"), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL: each rule's gaps and matches, whose lengths add up to places."""
+    parts = []
+    for number, rule in enumerate(RULES):
+        step = f"((?s:.*?))({rule.pattern})".replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {number} AS n, '{rule.kind}' AS kind, {rule.least} AS least, "
+            f"regexp_extract_all(t, '{step}', 1) AS gap, regexp_extract_all(t, '{step}', 2) AS hit, "
+            f"regexp_extract_all(t, '{step}', {rule.group + 2}) AS counted FROM d"
+        )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+u AS (SELECT doc_id, n, kind, least, unnest(gap) AS gap, unnest(hit) AS hit, unnest(counted) AS counted,
+  unnest(range(len(hit))) AS k FROM m WHERE len(hit) > 0),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, n ORDER BY k)::BIGINT AS e FROM u),
+s AS (SELECT doc_id, n, kind, e - length(hit) AS b, e FROM p WHERE length(counted) >= least),
+a AS (SELECT doc_id, count(*) FILTER (n = 0) AS n_assign, count(*) FILTER (n = 1) AS n_access, count(*) FILTER (n = 2) AS n_hex,
+  string_agg(kind || ':' || b::VARCHAR || ':' || e::VARCHAR, ',' ORDER BY b, n) FILTER (n < 3) AS base,
+  string_agg(kind || ':' || b::VARCHAR || ':' || e::VARCHAR, ',' ORDER BY b, n) AS every FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+SQL = _sql()
