@@ -143,3 +143,50 @@ def resolution(name: Column) -> Column:
     for k, (w, h) in RESOLUTIONS.items():
         found = F.when(F.lower(name) == k, F.struct(F.lit(w).alias("width"), F.lit(h).alias("height"))).otherwise(found)
     return found
+
+
+def loose_number(text: Column) -> Column:
+    """A number, or null for anything else ("N/A", empty)."""
+    return F.trim(text).try_cast("double")
+
+
+def loose_flag(text: Column) -> Column:
+    """A flag from "1", "true", "True", "yes", or a number that is not zero; null counts as unset."""
+    t = F.trim(text)
+    return F.coalesce(t.isin("1", "true", "True", "yes") | (t.try_cast("double") != 0), F.lit(False))
+
+
+def bytes_text(size: Column) -> Column:
+    """Sizes in the largest unit that gives one or more, with one decimal beyond bytes."""
+    unit = lambda power, name: F.format_string(f"%.1f {name}", size / 1024.0**power)
+    return (
+        F.when(size >= 1024**3, unit(3, "GiB"))
+        .when(size >= 1024**2, unit(2, "MiB"))
+        .when(size >= 1024, unit(1, "KiB"))
+        .otherwise(F.concat(size.cast("string"), F.lit(" B")))
+    )
+
+
+#: Device generations by compute capability.
+GENERATIONS = {"6.1": "pascal", "7.5": "turing", "8.6": "ampere", "8.9": "ada", "12.0": "blackwell"}
+
+
+def generation(capability: Column) -> Column:
+    found = F.lit("unknown")
+    for k, name in GENERATIONS.items():
+        found = F.when(capability == k, name).otherwise(found)
+    return found
+
+
+def output_rate(text: Column) -> Column:
+    """struct(num, den) of "n/d", else of a decimal in thousandths; 24000/1001 where nothing is given."""
+    t = F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("24000/1001"))
+    parts = F.split(t, "/")
+    whole = F.struct(F.get(parts, 0).try_cast("long").alias("num"), F.get(parts, 1).try_cast("long").alias("den"))
+    decimal = F.struct(half_even(t.try_cast("double") * 1000).alias("num"), F.lit(1000).cast("long").alias("den"))
+    return F.when(F.size(parts) == 2, whole).otherwise(decimal)
+
+
+def epoch_seconds(text: Column) -> Column:
+    """Seconds since 1970 of an ISO time in UTC, null for anything else."""
+    return F.unix_timestamp(F.try_to_timestamp(text))

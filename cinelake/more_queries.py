@@ -191,3 +191,59 @@ def p15_overrides(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), value.alias("overrides"))
 
 
+
+
+@query("""SELECT c_custkey AS id, c_custkey % 2 = 0 AS drops, CASE WHEN c_custkey % 2 = 0 THEN 24 ELSE 25 END::BIGINT AS nominal,
+  greatest(1, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE round_even((c_custkey % 120) / CASE WHEN c_custkey % 2 = 0 THEN 24000.0::DOUBLE / 1001 ELSE 25.0::DOUBLE END, 0) END)::BIGINT AS multiplier FROM customer""")
+def f04_target_rates(spark: SparkSession, d: str) -> DataFrame:
+    """nominal rates, and how often a frame is shown to reach a rate."""
+    k = F.col("c_custkey")
+    num, den = F.when(k % 2 == 0, 24000).otherwise(25), F.when(k % 2 == 0, 1001).otherwise(1)
+    return table(spark, d, "customer").select(
+        k.alias("id"), fn.drops_frames(num, den).alias("drops"), fn.half_even(num.cast("double") / den).alias("nominal"),
+        fn.target_multiplier(num, den, (k % 120).cast("double"), F.when(k % 3 == 0, 2)).alias("multiplier"),
+    )
+
+
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 12.5 WHEN 3 THEN 0 END::DOUBLE AS number, s_suppkey % 4 = 0 AS flag,
+  CASE s_suppkey % 3 WHEN 0 THEN 'turing' WHEN 1 THEN 'ada' ELSE 'unknown' END AS generation,
+  CASE s_suppkey % 3 WHEN 0 THEN 30000 WHEN 1 THEN 59940 ELSE 24000 END::BIGINT AS num, CASE s_suppkey % 3 WHEN 1 THEN 1000 ELSE 1001 END::BIGINT AS den,
+  CASE WHEN s_suppkey % 2 = 0 THEN 1704067200 + s_suppkey % 60 END::BIGINT AS epoch,
+  CASE s_suppkey % 2 WHEN 0 THEN (s_suppkey % 1000)::VARCHAR || ' B' ELSE '1.5 MiB' END AS size FROM supplier""")
+def f08_loose_values(spark: SparkSession, d: str) -> DataFrame:
+    """text read into values, null or a default where it cannot be."""
+    k = F.col("s_suppkey")
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (k % n + 1).cast("int"))
+    text = pick(4, "12.5", "N/A", "", "0")
+    iso = F.when(k % 2 == 0, F.concat(F.lit("2024-01-01T00:00:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("Z"))).otherwise("soon")
+    rate = fn.output_rate(pick(3, "30000/1001", "59.94", " "))
+    return table(spark, d, "supplier").select(
+        k.alias("id"), fn.loose_number(text).alias("number"), fn.loose_flag(text).alias("flag"), fn.generation(pick(3, "7.5", "8.9", "1.0")).alias("generation"),
+        rate["num"].alias("num"), rate["den"].alias("den"), fn.epoch_seconds(iso).alias("epoch"),
+        fn.bytes_text(F.when(k % 2 == 0, k % 1000).otherwise(3 << 19)).alias("size"),
+    )
+
+
+@query(f"WITH {STREAM}, x AS (SELECT source_id, max(pts) AS p, max(pts + CASE WHEN source_id % 2 = 0 THEN 0.04 ELSE 0 END::DOUBLE) AS e FROM s GROUP BY source_id) SELECT source_id, CASE WHEN e <= p + 1e-6::DOUBLE THEN e + 0.0417::DOUBLE ELSE e END AS decodable_end FROM x")
+def d03_decodable_end(spark: SparkSession, d: str) -> DataFrame:
+    """Where decoding ends."""
+    s = stream(spark, d).withColumn("dur", F.when(F.col("source_id") % 2 == 0, 0.04).otherwise(0.0))
+    x = timeline.extents(s)
+    return x.select("source_id", timeline.decodable_end(F.col("last_pts"), F.col("last_end"), F.lit(0.0417)).alias("decodable_end"))
+
+
+@query("SELECT l_orderkey AS job_id, l_linenumber AS segment, l_quantity * 10 / 24 AS expected_s, l_quantity * 10 / 24 + (l_partkey % 10) / 10.0::DOUBLE AS got_s FROM lineitem WHERE abs(l_quantity * 10 / 24 + (l_partkey % 10) / 10.0::DOUBLE - l_quantity * 10 / 24) > 0.25")
+def d06_segment_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Segments whose length is off by more than a quarter second."""
+    expected = F.col("l_quantity") * 10 / 24
+    got = expected + (F.col("l_partkey") % 10) / 10.0
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("segment"), expected.alias("expected_s"), got.alias("got_s"))
+    return r.where(F.abs(F.col("got_s") - F.col("expected_s")) > 0.25)
+
+
+@query("SELECT event_type, user_id, count(*) AS n, approx FROM (SELECT event_type, user_id, true AS approx FROM events) GROUP BY ALL")
+def a15_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups, with a sketch's distinct count within a twentieth of the exact one."""
+    e = table(spark, d, "events")
+    near = e.groupBy("event_type").agg((F.abs(F.approx_count_distinct("event_id", 0.02) - F.countDistinct("event_id")) <= 0.1 * F.countDistinct("event_id") + 1).alias("approx"))
+    return e.groupBy("event_type", "user_id").agg(F.count("*").alias("n")).join(near, "event_type").select("event_type", "user_id", "n", "approx")
