@@ -14,7 +14,6 @@ with two underscores are left out.
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +21,11 @@ from pyspark.sql import functions as F
 from cinelake.llm.common import let, plain_columns, table, words_of
 
 #: Number of hash buckets of the n-gram multinomials: it bounds the model, and what reaches the driver.
-BUCKETS = 1 << 17
-#: Pseudo-count of each bucket, in shares of the bucket's mean count.
-SMOOTHING = 0.05
+BUCKETS = 1 << 16
+#: Pseudo-count of each bucket: a share of the buckets' mean count, and a number that damps chance in small corpora.
+SMOOTHING, PSEUDO = 0.05, 10.0
 #: Documents whose mean log ratio is lower are rejected.
-THRESHOLD = -0.5
+THRESHOLD = -0.18
 #: At most so many labelled documents (the lowest hashes of their ids) make up the trusted target.
 MAX_TRUSTED = 50_000
 #: Base rules.
@@ -35,7 +34,7 @@ SYMBOLS = r"[#*$%&|<>]+"
 #: Bits for a word's place beside its window's hash.
 PLACE_BITS = 21
 #: Longest n-gram: 1 for words, 2 for words and word pairs.
-LONGEST = 1
+LONGEST = 2
 
 
 def repeat_words(words: Column) -> Column:
@@ -86,11 +85,15 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(total["n"]).cast("long")
 
 
-def bucket(word: Column, following: Column | None, buckets: int) -> Column:
-    """Bucket of a word, or of a word and the one that follows (the empty word after the last)."""
-    if following is None:
-        return F.pmod(F.hash(word), F.lit(buckets))
-    return F.pmod(F.hash(word, F.coalesce(following, F.lit(""))), F.lit(buckets))
+def word_bucket(word: Column, buckets: int, longest: int) -> Column:
+    """Bucket of a word: one of the first half if pairs have the other."""
+    return F.pmod(F.hash(word), F.lit(buckets // longest))
+
+
+def pair_bucket(word: Column, following: Column, buckets: int) -> Column:
+    """Bucket of a word and the one that follows (the empty word after the last): one of the second half."""
+    own = F.pmod(F.hash(word, F.coalesce(following, F.lit(""))), F.lit(buckets - buckets // 2))
+    return own + F.lit(buckets // 2)
 
 
 def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
@@ -107,18 +110,18 @@ def fit(
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
     longest: int = LONGEST,
-) -> list[float]:
-    """Log ratio of each bucket, trusted over raw; the raw counts cover all documents.
+) -> DataFrame:
+    """One row: ``ratio``, the log ratio of each bucket, trusted over raw; the raw counts cover all documents.
 
     ``trusted`` has at most ``MAX_TRUSTED`` ids, so it may be broadcast.  The counts are aggregated
-    before the shuffle, and ``buckets`` rows at most reach the driver.
+    before the shuffle, so that the one task that lines the buckets up gets ``buckets`` rows at most.
     """
     marked = docs.select("doc_id", "text").join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("__trusted"))), "doc_id", "left"
     )
     if longest == 1:
         grams = marked.select("__trusted", F.explode(words_of(F.col("text"))).alias("w")).select(
-            "__trusted", bucket(F.col("w"), None, buckets).alias("b")
+            "__trusted", word_bucket(F.col("w"), buckets, 1).alias("b")
         )
     else:
         pairs = let(
@@ -127,41 +130,54 @@ def fit(
         )
         grams = marked.select("__trusted", F.inline(pairs)).select(
             "__trusted",
-            F.explode(F.array(bucket(F.col("w"), None, buckets), bucket(F.col("w"), F.col("v"), buckets))).alias("b"),
+            F.explode(F.array(word_bucket(F.col("w"), buckets, 2), pair_bucket(F.col("w"), F.col("v"), buckets))).alias("b"),
         )
-    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("__trusted").alias("target")).collect()
-    raw_total = sum(r["raw"] for r in counts)
-    target_total = sum(r["target"] for r in counts)
-    ratio = [0.0] * buckets
-    if not target_total:
-        return ratio
+    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("__trusted").alias("target"))
+    raw, target = F.col("raw_total"), F.col("target_total")
     # Both get the same share of pseudo-counts, so a bucket that neither has seen stays at 0.
-    a = smoothing * raw_total / buckets
-    b = smoothing * target_total / buckets
-    for r in counts:
-        ratio[r["b"]] = math.log((r["target"] + b) / (target_total * (1 + smoothing))) - math.log(
-            (r["raw"] + a) / (raw_total * (1 + smoothing))
-        )
-    return ratio
+    added = raw * smoothing / buckets + PSEUDO
+    log = F.log((F.col("x.target") + added * target / raw) / target) - F.log((F.col("x.raw") + added) / raw)
+    lined = counts.agg(
+        F.sum("raw").alias("raw_total"), F.sum("target").alias("target_total"), F.collect_list(F.struct("b", "raw", "target")).alias("seen")
+    )
+    every = lined.select(
+        "raw_total",
+        "target_total",
+        F.explode(
+            F.concat(
+                F.col("seen"),
+                F.transform(
+                    F.array_except(F.sequence(F.lit(0), F.lit(buckets - 1)), F.transform("seen", lambda x: x["b"])),
+                    lambda b: F.struct(b.alias("b"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target")),
+                ),
+            )
+        ).alias("x"),
+    )
+    weighed = every.select(F.col("x.b").alias("b"), F.when(target > 0, log).otherwise(0.0).alias("log"))
+    by_bucket = F.sort_array(F.collect_list(F.struct("b", "log")))
+    return weighed.agg(F.transform(by_bucket, lambda x: x["log"]).alias("ratio"))
 
 
 def judge(
     docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD, longest: int = LONGEST
 ) -> DataFrame:
-    """All documents, with the figures of the base rules, ``llr`` and the verdict."""
+    """All documents, with the figures of the base rules, ``llr`` and the verdict.
+
+    The ratios become one literal of the plan, in thousandths, so that the plan stays small.
+    """
     docs = plain_columns(docs)
     buckets = len(ratio)
-    weights = F.from_json(F.lit(json.dumps(ratio)), "array<double>")
+    weights = F.from_json(F.lit(json.dumps([round(x, 3) + 0.0 for x in ratio], separators=(",", ":"))), "array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def log_ratio(words: Column) -> Column:
-        one = lambda w: F.get(weights, bucket(w, None, buckets))
+        one = lambda w: F.get(weights, word_bucket(w, buckets, longest))
         if longest == 1:
             total = F.aggregate(words, F.lit(0.0), lambda a, w: a + one(w))
         else:
             each = F.transform(
-                words, lambda w, i: one(w) + F.get(weights, bucket(w, F.get(words, i + 1), buckets))
+                words, lambda w, i: one(w) + F.get(weights, pair_bucket(w, F.get(words, i + 1), buckets))
             )
             total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
         return F.when(F.size(words) > 0, total / (longest * F.size(words))).otherwise(0.0)
@@ -189,7 +205,7 @@ def judge(
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the struct ``__q`` (figures and ``llr``), ``__base_failed`` and ``__kept``."""
-    return judge(docs, fit(docs, trusted_ids(labels)), threshold)
+    return judge(docs, fit(docs, trusted_ids(labels)).first()["ratio"], threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,7 +98,8 @@ def test_quality_ratio(spark, docs, longest):
 
     trusted = {i for i in range(0, 60, 2)}
     frame = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
-    ratio = quality_rules.fit(docs, frame, buckets=64, longest=longest)
+    fitted = quality_rules.fit(docs, frame, buckets=64, longest=longest)
+    ratio = fitted.first()["ratio"]
     grams = {}
     for r in ROWS:
         w = words(r[1])
@@ -106,7 +107,7 @@ def test_quality_ratio(spark, docs, longest):
         if longest == 2:
             grams.update(((x, y), None) for x, y in zip(w, [*w[1:], ""]))
     table = spark.createDataFrame(list(grams), "w string, v string")
-    own = F.when(F.col("v").isNull(), quality_rules.bucket(F.col("w"), None, 64)).otherwise(quality_rules.bucket(F.col("w"), F.col("v"), 64))
+    own = F.when(F.col("v").isNull(), quality_rules.word_bucket(F.col("w"), 64, longest)).otherwise(quality_rules.pair_bucket(F.col("w"), F.col("v"), 64))
     place = {(r["w"], r["v"]): r["b"] for r in table.withColumn("b", own).collect()}
     raw, target = np.zeros(64), np.zeros(64)
     for r in ROWS:
@@ -115,14 +116,14 @@ def test_quality_ratio(spark, docs, longest):
         for g in own:
             raw[place[g]] += 1
             target[place[g]] += r[0] in trusted
-    s = quality_rules.SMOOTHING
-    want = np.log((target + s * target.sum() / 64) / target.sum()) - np.log((raw + s * raw.sum() / 64) / raw.sum())
+    a = quality_rules.SMOOTHING * raw.sum() / 64 + quality_rules.PSEUDO
+    want = np.log((target + a * target.sum() / raw.sum()) / target.sum()) - np.log((raw + a) / raw.sum())
     assert np.allclose(np.array(ratio)[raw > 0], want[raw > 0])
     judged = {r["text"]: r["__q"]["llr"] for r in quality_rules.judge(docs, ratio, longest=longest).collect()}
     text = ROWS[3][1]
     w = words(text)
     own = [(x, None) for x in w] + ([(x, y) for x, y in zip(w, [*w[1:], ""])] if longest == 2 else [])
-    assert math.isclose(judged[text], np.mean([ratio[place[g]] for g in own]), rel_tol=1e-9)
+    assert math.isclose(judged[text], np.mean([round(ratio[place[g]], 3) for g in own]), abs_tol=1e-9)
 
 
 def test_quality_long_texts_sort_their_windows(spark, monkeypatch):
