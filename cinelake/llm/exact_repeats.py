@@ -15,8 +15,11 @@ phrases.  Equal 100-byte strings have equal triggers at equal places, so the cor
 
 Each task settles what its own rows decide before the shuffle: repeats of an entry, and triggers that
 it sees with several entries.  A trigger or rank therefore meets in a later task at most once for each
-task before it, however often it occurs.  Prefixes are compared by two independent 64-bit hashes, so
-suffixes are ranked by hash and not by letter: only equality and corpus order count here.
+task before it, however often it occurs.  Entries and prefixes are compared by two 64-bit hashes of
+different seeds (besides the hash of the trigger), so suffixes are ranked by hash and not by letter: only
+equality and corpus order count here.  Entries to be ranked meet by trigger; those of a trigger with very
+many different entries are cut into their 100-byte strings first, which meet by their own hash, so no
+trigger makes a large task.
 
 Defined results: a null text counts as empty; a text below 100 bytes loses nothing; a null id comes
 before all others; rows that share an id are one document (repeated rows get the same result and do not
@@ -25,6 +28,7 @@ repeat one another).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +45,15 @@ LENGTH, TRIGGER = 100, 24
 SLICE_BYTES = 2 << 20
 #: Phrases, or suffixes, that a task compares with one another before it hands them on.
 CHUNK = 400_000
+#: Entries that are handed on at a time.
+FLUSH = 20_000
 #: Seeds of the two hashes.
 SEEDS = (20_240_601, 20_240_602)
-#: What a row says: to be compared by trigger, or settled as repeated, or its suffixes to be ranked.
-OPEN, REPEATED, RANKED = 0, 1, 2
+#: Entries of one trigger after which they are dealt by 100-byte string.  At most phrases / HOT_ENTRIES triggers are.
+HOT_ENTRIES = 8192
+#: What a row says: to be compared by trigger, or settled as repeated, or its suffixes to be ranked, or that
+#: its trigger has more than HOT_ENTRIES entries to be ranked.
+OPEN, REPEATED, RANKED, HOT = 0, 1, 2, 3
 NO_ID = -(1 << 63)
 
 
@@ -98,8 +107,8 @@ def stretches(doc_id: int, text: bytes) -> Iterator[tuple[int, int, bytes]]:
         yield doc_id, at, text[at : at + SLICE_BYTES + LENGTH - 1]
 
 
-def parse(stretch: bytes, rolling: RollingHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases as (first start, number of starts, trigger hash, entry hash)."""
+def parse(stretch: bytes, rolling: RollingHash, second: RollingHash) -> tuple[np.ndarray, ...]:
+    """Phrases as (first start, number of starts, trigger hash, entry hash, second entry hash)."""
     data = np.frombuffer(stretch, np.uint8)
     n = len(data) - LENGTH + 1
     sums = rolling(data)
@@ -113,19 +122,26 @@ def parse(stretch: bytes, rolling: RollingHash) -> tuple[np.ndarray, np.ndarray,
     own = trigger[first]
     shape = ((own - first) << 32 | (end - first)).astype(np.uint64)
     entry = mixed(rolling.range(sums, first, end + LENGTH - 1) ^ mixed(shape))
-    return first, end - first, hashes[own], entry
+    check = mixed(second.range(second(data), first, end + LENGTH - 1) ^ mixed(shape))
+    return first, end - first, hashes[own], entry, check
 
 
-FIELDS = ["kind", "key", "entry", "doc", "at", "n"]
-ROWS = "kind int, key long, entry int, doc long, at int, n int"
-TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+FIELDS = ["kind", "key", "entry", "check", "doc", "at", "n"]
+ROWS = "kind int, key long, entry long, check long, doc long, at int, n int"
+TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
-def batch_of(kind: int, key: np.ndarray, entry: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray):
-    columns = [np.full(len(key), kind), key, entry, doc, at, n]
+def batch_of(kind: int, key, entry, check, doc, at, n) -> pa.RecordBatch:
+    columns = [np.full(len(key), kind), key, entry, check, doc, at, n]
     return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, TYPES)], FIELDS)
 
 
+def places(kind: int, key, doc, at, n) -> pa.RecordBatch:
+    """Rows whose entry no longer counts."""
+    none = np.zeros(len(doc), np.int64)
+    return batch_of(kind, none if key is None else key, none, none, doc, at, n)
+
+
 def starts_of(*columns: np.ndarray) -> np.ndarray:
     """Where a row of sorted columns differs from the one before it."""
     out = np.ones(len(columns[0]), bool)
@@ -134,27 +150,28 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(key, entry, doc, at, n) -> Iterator[pa.RecordBatch]:
+def settle(key, entry, check, doc, at, n) -> Iterator[pa.RecordBatch]:
     """What phrases of one task decide among themselves, and what is left to be compared.
 
-    A row of ``n`` 0 tells the later task that this one has seen the key with several entries.
+    A row of ``n`` 0 tells the later task that this one has seen the key with several entries: ``entry`` many.
     """
-    order = np.lexsort((at, doc, entry, key))
-    key, entry, doc, at, n = key[order], entry[order], doc[order], at[order], n[order]
-    new = starts_of(key, entry)
-    moved = starts_of(key, entry, doc, at)
+    order = np.lexsort((at, doc, check, entry, key))
+    key, entry, check, doc, at, n = (x[order] for x in (key, entry, check, doc, at, n))
+    new = starts_of(key, entry, check)
+    moved = starts_of(key, entry, check, doc, at)
     again = moved & ~new
     if again.any():
-        yield batch_of(REPEATED, np.zeros(again.sum(), np.int64), entry[again] * 0, doc[again], at[again], n[again])
-    key, entry, doc, at, n = key[new], entry[new], doc[new], at[new], n[new]
+        yield places(REPEATED, None, doc[again], at[again], n[again])
+    key, entry, check, doc, at, n = (x[new] for x in (key, entry, check, doc, at, n))
     first = starts_of(key)
-    several = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1 if len(key) else first
+    size = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] if len(key) else n
+    several = size > 1
     if several.any():
-        yield batch_of(RANKED, key[several], entry[several] * 0, doc[several], at[several], n[several])
+        yield places(RANKED, key[several], doc[several], at[several], n[several])
     one = ~several
-    yield batch_of(OPEN, key[one], entry[one], doc[one], at[one], n[one])
+    yield batch_of(OPEN, key[one], entry[one], check[one], doc[one], at[one], n[one])
     mark = several & first
-    yield batch_of(OPEN, key[mark], entry[mark], doc[mark], at[mark], n[mark] * 0)
+    yield batch_of(OPEN, key[mark], size[mark], check[mark] * 0, doc[mark], at[mark], n[mark] * 0)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -173,7 +190,7 @@ def phrases(docs: DataFrame) -> DataFrame:
     """The parse of all documents, as far as each task can settle it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = RollingHash(SEEDS[0])
+        rolling, second = (RollingHash(s) for s in SEEDS)
         pending: list[tuple[np.ndarray, ...]] = []
         count = 0
         for batch in batches:
@@ -181,10 +198,8 @@ def phrases(docs: DataFrame) -> DataFrame:
                 for _, offset, stretch in stretches(doc, text):
                     if len(stretch) < LENGTH:
                         continue
-                    first, n, trigger, entry = parse(stretch, rolling)
-                    pending.append(
-                        (trigger.view(np.int64), (entry >> np.uint64(33)).astype(np.int32), np.full(len(first), doc), first + offset, n)
-                    )
+                    first, n, *hashes = parse(stretch, rolling, second)
+                    pending.append((*(h.view(np.int64) for h in hashes), np.full(len(first), doc), first + offset, n))
                     count += len(first)
                     if count >= CHUNK:
                         yield from settle(*map(np.concatenate, zip(*pending)))
@@ -206,7 +221,7 @@ def runs(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
 
 
 def compared(rows: DataFrame, rank: bool) -> DataFrame:
-    """Settles the open rows of each key; ``rows`` must be sorted within partitions by kind, key, entry, doc, at.
+    """Settles the open rows of each key; ``rows`` must be sorted within partitions by key, entry, check, doc, at.
 
     Of equal entries the first stays and the others are repeated.  Unless ``rank``, a key with several
     entries leaves all of them to be ranked.  A key's rows may come in any number of batches when ranking;
@@ -218,24 +233,27 @@ def compared(rows: DataFrame, rank: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        last: tuple[int, ...] | None = None  # key, entry, doc and start of the row before
+        last: tuple[int, ...] | None = None  # key, entry, check, doc and start of the row before
         found: list[tuple[np.ndarray, ...]] = []
 
         def handed() -> pa.RecordBatch:
             doc, at, n = runs(*map(np.concatenate, zip(*found)))
             found.clear()
-            return batch_of(REPEATED, np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int32), doc, at, n)
+            return places(REPEATED, None, doc, at, n)
 
         def by_key(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            _, key, entry, doc, at, n = columns
+            _, key, entry, check, doc, at, n = columns
             first = starts_of(key)
             group = np.cumsum(first) - 1
-            new = starts_of(key, entry)
-            several = (np.bincount(group, weights=new) > 1) | (np.bincount(group, weights=n == 0) > 0)
+            new = starts_of(key, entry, check)
             real = n > 0
+            several = (np.bincount(group, weights=new) > 1) | (np.bincount(group, weights=~real) > 0)
             ranked = several[group] & real
             if ranked.any():
-                yield batch_of(RANKED, key[ranked], entry[ranked] * 0, doc[ranked], at[ranked], n[ranked])
+                yield places(RANKED, key[ranked], doc[ranked], at[ranked], n[ranked])
+            hot = (several & (np.bincount(group, weights=np.where(real, 1, entry)) > HOT_ENTRIES))[group] & first
+            if hot.any():
+                yield places(HOT, key[hot], doc[hot], at[hot], n[hot])
             # In a group of one entry all but the first place are repeated.
             other = ~several[group] & ~first & starts_of(key, doc, at)
             found.append((doc[other], at[other], n[other]))
@@ -249,12 +267,12 @@ def compared(rows: DataFrame, rank: bool) -> DataFrame:
             if not len(columns[0]):
                 continue
             if rank:
-                _, key, entry, doc, at, n = columns
-                new, moved = starts_of(key, entry), starts_of(key, entry, doc, at)
+                _, key, entry, check, doc, at, n = columns
+                new, moved = starts_of(key, entry, check), starts_of(key, entry, check, doc, at)
                 if last is not None:
-                    new[0] = (key[0], entry[0]) != last[:2]
-                    moved[0] = (key[0], entry[0], doc[0], at[0]) != last
-                last = (key[-1], entry[-1], doc[-1], at[-1])
+                    new[0] = (key[0], entry[0], check[0]) != last[:3]
+                    moved[0] = (key[0], entry[0], check[0], doc[0], at[0]) != last
+                last = (key[-1], entry[-1], check[-1], doc[-1], at[-1])
                 again = moved & ~new
                 found.append((doc[again], at[again], n[again]))
             else:
@@ -274,24 +292,40 @@ def compared(rows: DataFrame, rank: bool) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
-def entries(joined: DataFrame) -> DataFrame:
-    """The bytes of the dictionary entries whose suffixes must be ranked, one row each."""
+def entries(joined: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The bytes of the dictionary entries whose suffixes must be ranked, one row each.
+
+    ``hot``: triggers whose entries are given as one row for each 100-byte string, dealt by its hash.
+    """
+    hot_keys = joined.sparkSession.sparkContext.broadcast(frozenset(hot.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = hot_keys.value
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 out: list[tuple] = []
                 for (doc, text), ranked in zip(texts_of(part), part.column("ranked").to_pylist()):
                     for x in ranked:
-                        at, n = x["at"], x["n"]
-                        out.append((x["key"], doc, at, text[at : at + n + LENGTH - 1]))
-                names = ["key", "doc", "at", "bytes"]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                columns = list(zip(*out)) if out else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-    return joined.mapInArrow(run, "key long, doc long, at int, bytes binary")
+                        key, at, n = x["key"], x["at"], x["n"]
+                        if key in apart:
+                            for i in range(at, at + n):
+                                piece = text[i : i + LENGTH]
+                                out.append((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big", signed=True), key, doc, i, piece))
+                        else:
+                            out.append((key, key, doc, at, text[at : at + n + LENGTH - 1]))
+                    if len(out) >= FLUSH:
+                        yield handed(out)
+                        out = []
+                yield handed(out)
+
+    def handed(out: list[tuple]) -> pa.RecordBatch:
+        names = ["dealt", "key", "doc", "at", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        columns = list(zip(*out)) if out else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    return joined.mapInArrow(run, "dealt long, key long, doc long, at int, bytes binary")
 
 
 def suffixes(dealt: DataFrame) -> DataFrame:
@@ -313,11 +347,12 @@ def suffixes(dealt: DataFrame) -> DataFrame:
                 trigger = part.column("key").to_numpy().view(np.uint64)[owner]
                 prefix = one.range(one(data), start, start + LENGTH)
                 key = mixed(prefix ^ mixed(trigger))
-                check = two.range(two(data), start, start + LENGTH) >> np.uint64(33)
+                check = two.range(two(data), start, start + LENGTH)
                 yield batch_of(
                     OPEN,
                     key.view(np.int64),
-                    check.astype(np.int32),
+                    prefix.view(np.int64),
+                    check.view(np.int64),
                     part.column("doc").to_numpy()[owner],
                     part.column("at").to_numpy()[owner] + inner,
                     np.ones(len(owner), np.int32),
@@ -328,7 +363,7 @@ def suffixes(dealt: DataFrame) -> DataFrame:
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc, at, n): runs of starts whose 100 bytes start earlier in the corpus too.  ``docs``: (doc, text)."""
-    order = ["kind", "key", "entry", "doc", "at"]
+    order = ["key", "entry", "check", "doc", "at"]
     place = F.when(F.col("kind") == OPEN, F.col("key")).otherwise(F.col("doc"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     settled = written(
@@ -339,8 +374,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         .groupBy("doc")
         .agg(F.collect_set(F.struct("key", "at", "n")).alias("ranked"))
     )
-    dictionary = entries(docs.join(ranked, "doc").select("doc", "text", "ranked"))
-    by_rank = suffixes(dictionary.repartition(width, "key")).sortWithinPartitions(*order)
+    hot = settled.where(F.col("kind") == HOT).select("key").toPandas()["key"].to_numpy(np.int64)
+    dictionary = entries(docs.join(ranked, "doc").select("doc", "text", "ranked"), hot)
+    by_rank = suffixes(dictionary.repartition(width, "dealt")).sortWithinPartitions(*order)
     return (
         settled.where(F.col("kind") == REPEATED)
         .select("doc", "at", "n")

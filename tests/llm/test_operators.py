@@ -365,6 +365,43 @@ def test_exact_repeats_many_tasks(spark):
         assert (sum(x["end"] - x["start"] for x in r["removed"]), bytes(r["kept"])) == (want[r["doc_id"]][1], want[r["doc_id"]][3])
 
 
+def common_trigger():
+    """A 24-byte piece of so low a hash that it is the trigger of nearly all 100-byte strings that hold it."""
+    data = np.random.default_rng(4).integers(33, 127, 1 << 21).astype(np.uint8)
+    rolling = exact_repeats.RollingHash(exact_repeats.SEEDS[0])
+    at = np.arange(len(data) - 24)
+    place = int(rolling.range(rolling(data), at, at + 24).argmin())
+    return data[place : place + 24]
+
+
+def surroundings(n, seed):
+    """``n`` times the common trigger, each between 60 other random bytes on both sides."""
+    data = np.random.default_rng(seed).integers(33, 127, (n, 144)).astype(np.uint8)
+    data[:, 60:84] = common_trigger()
+    return data.tobytes().decode()
+
+
+def test_exact_repeats_tell_many_entries_of_a_trigger_apart(spark):
+    frame = spark.createDataFrame([(i, surroundings(40_000, i)) for i in range(6)], "doc bigint, text string").repartition(1)
+    rows = exact_repeats.phrases(frame).where(f"kind = {exact_repeats.REPEATED}")
+    assert rows.count() == 0
+
+
+def test_exact_repeats_split_a_hot_trigger(spark):
+    texts = [surroundings(3000, i) for i in range(3)]
+    rows = [*enumerate(texts), (3, texts[0][1000:9000]), (4, "z" * 50 + texts[2][70:200] + "y" * 50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows)
+    for r in exact_repeats.remove_repeats(frame.repartition(4)).collect():
+        assert (sum(x["end"] - x["start"] for x in r["removed"]), bytes(r["kept"])) == (want[r["doc_id"]][1], want[r["doc_id"]][3])
+    source = exact_repeats.identified(frame)
+    settled = exact_repeats.compared(exact_repeats.phrases(source).repartition(4, "key").sortWithinPartitions("key", "entry", "check", "doc", "at"), rank=False)
+    hot = [r["key"] for r in settled.where(f"kind = {exact_repeats.HOT}").collect()]
+    ranked = settled.where(f"kind = {exact_repeats.RANKED}").selectExpr("doc", "struct(key, at, n) as x").groupBy("doc").agg({"x": "collect_list"}).toDF("doc", "ranked")
+    dealt = exact_repeats.entries(source.join(ranked, "doc").select("doc", "text", "ranked"), np.array(hot)).groupBy("dealt").count()
+    assert len(hot) == 1 and dealt.agg({"count": "max"}).first()[0] <= exact_repeats.HOT_ENTRIES
+
+
 ITEMS = [(1, " ".join(ROWS[2][1].split()[:14])), (2, "An ER"), (10, " ".join(ROWS[30][1].split()[5:18])), (3, None), (4, "!!!"), (10, "ti-on th"), (5, "word " * 12)]
 
 
