@@ -1,9 +1,10 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 A detected value is replaced by a value of its own format under a keyed cipher: letters and digits are
-enciphered among the letters and digits of their class (digits, vowels and consonants of their script),
-separators stay, case is put back, and what a type checks (an octet of an address, the check digit of a
-card) holds after as before.  Given names are replaced within the list of their gender and script.  A
+enciphered among the letters and digits of their class (digits, vowels and consonants of three scripts;
+all other letters and marks within their Unicode script, category and case), separators stay, case is put back, and what a type checks (an octet of an address, the check digit of a
+card) holds after as before.  Given names are replaced within the list of their gender and script, by another one.
+Each word of a name is replaced by itself, under its gender, so that it is the same in all names.  A
 cipher is a bijection, so different values of a format stay different and equal ones stay equal, in
 every document and task, without a table of values.
 
@@ -20,6 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,8 +50,12 @@ TITLES = {
     "female": "Mrs Ms Miss Mme Frau Sra Señora Madame Г-жа".split(),
     "male": "Mr M Herr Sr Señor Monsieur Г-н".split(),
 }
-VOWELS = {"latin": "aeiou", "cyrillic": "аеиоуыэюя", "greek": "αεηιουω"}
-CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзклмнпрстфхцчшщ", "greek": "βγδζθκλμνξπρστφχψ"}
+VOWELS = {"latin": "aeiou", "cyrillic": "аеёиоуыэюя", "greek": "αεηιουω"}
+CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзйклмнпрстфхцчшщъь", "greek": "βγδζθκλμνξπρστφχψ"}
+
+#: Marks and joiners that go on with a word (accents, vowel signs), as a set of a regex.
+MARKS = "\u200c\u200d" + "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c) in ("Mn", "Mc"))
+LETTER = rf"(?:[^\W\d_]|[{MARKS}])"
 
 KINDS = ("email", "iban", "ssn", "card", "ip", "phone", "name")
 PATTERN = re.compile(
@@ -57,7 +65,7 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w))"
-    rf"|(?P<name>(?<!\w)(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? [^\W\d_]+(?:[ -][^\W\d_a-zа-яё][^\W\d_]+)?)"
+    rf"|(?P<name>(?<!\w)(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? [^\W\d_]{LETTER}*(?:[ -][^\W\d_a-zа-яё]{LETTER}+)?)"
 )
 HINT = re.compile(rf"[0-9@]|(?<!\w)(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? ")
 
@@ -66,6 +74,38 @@ def script_of(letter: str) -> str:
     return "cyrillic" if "Ѐ" <= letter <= "ӿ" else "greek" if "Ͱ" <= letter <= "Ͽ" else "latin"
 
 
+def cased(c: str) -> bool:
+    """Whether a letter comes back when its case is changed twice."""
+    low, up = c.lower(), c.upper()
+    return low != up and len(low) == len(up) == 1 and low.upper() == up and up.lower() == low
+
+
+@lru_cache(1)
+def classes() -> tuple[dict[str, tuple[str, int]], list[str]]:
+    """The class and place of every letter, mark and digit, and the classes.
+
+    A class has one script (the first word of the character's Unicode name), category and kind of case, and
+    letters with accents apart from others.  Classes of few characters are merged over their scripts.
+    """
+    basic = [*VOWELS.values(), *CONSONANTS.values(), "0123456789"]
+    done = set("".join(basic))
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        category = unicodedata.category(c)
+        if category[0] not in "LMN" or category in ("Nl", "No", "Me") or c in done:
+            continue
+        pair = category[0] == "L" and cased(c)
+        if pair and c != c.lower():  # stands in the class of its small letter
+            continue
+        composed = bool(unicodedata.decomposition(c)) and category[0] == "L"
+        groups[unicodedata.name(c, "?").split()[0], category, pair, composed].append(c)
+    merged: dict[tuple, list[str]] = defaultdict(list)
+    for key, members in groups.items():
+        merged[key if len(members) >= 8 else key[1:3]] += members
+    every = basic + ["".join(x) for x in merged.values()]
+    return {c: (a, i) for a in every for i, c in enumerate(a)}, every
+
+
 def stream(key: bytes, *what: object) -> int:
     return int.from_bytes(hashlib.blake2b(repr(what).encode(), key=key[:64], digest_size=32).digest(), "big")
 
@@ -87,24 +127,17 @@ def permuted(digits: list[int], radices: list[int], key: bytes, *tweak: object)
 
 def enciphered(text: str, key: bytes, *tweak: object) -> str:
     """``text`` with its letters and digits enciphered within their classes; the rest stays as it is."""
-    alphabets = []
-    for c in text:
-        low = c.lower()
-        if c.isdigit() and c.isascii():
-            alphabets.append("0123456789")
-        elif c.isalpha() and len(low) == 1:
-            script = script_of(low)
-            alphabets.append(next((a for a in (VOWELS[script], CONSONANTS[script]) if low in a), ""))
-        else:
-            alphabets.append("")
-    places = [i for i, a in enumerate(alphabets) if a]
-    digits = [alphabets[i].index(text[i].lower()) for i in places]
-    shape = "".join(c if not a else str(len(a)) + "," for c, a in zip(text, alphabets))
-    new = permuted(digits, [len(alphabets[i]) for i in places], key, shape, *tweak)
+    of = classes()[0]
+    placed = [of.get(c.lower() if cased(c) else c) for c in text]
+    places = [i for i, x in enumerate(placed) if x]
+    digits = [placed[i][1] for i in places]
+    # Classes of one size are told apart by their first characters.
+    shape = "".join(c if not x else f"{x[0][0]}{len(x[0])}," for c, x in zip(text, placed))
+    new = permuted(digits, [len(placed[i][0]) for i in places], key, shape, *tweak)
     out = list(text)
     for i, d in zip(places, new):
-        c = alphabets[i][d]
-        out[i] = c.upper() if text[i].isupper() else c
+        c = placed[i][0][d]
+        out[i] = c.upper() if text[i].isupper() and cased(c) else c
     return "".join(out)
 
 
@@ -118,6 +151,38 @@ def refilled(text: str, digits: list[int]) -> str:
     return "".join(str(next(it)) if c.isdigit() else c for c in text)
 
 
+def listed(gender: str, token: str) -> tuple[str, str] | None:
+    """The list of given names that holds a word of a name."""
+    return next((k for k, names in NAMES.items() if k[1] == gender and token in names), None)
+
+
+def name_token(gender: str, token: str, key: bytes, draw: int) -> str:
+    """The replacement of a word of a name; no given name of a list comes from a word outside it."""
+    own = listed(gender, token)
+    if own:
+        names = NAMES[own]
+        return names[(names.index(token) + 1 + stream(key, own) % (len(names) - 1)) % len(names)]
+    tweak = (gender, draw)
+    out = enciphered(token, key, "name", *tweak)
+    for _ in range(8):
+        if not listed(gender, out):
+            break
+        out = enciphered(out, key, "name", *tweak)
+    return out
+
+
+def mentions(value: str) -> list[tuple[str, str]]:
+    """The parts of a name with its title: (text, "") of what stays, (gender and word, "token") of what is replaced."""
+    title, _, name = value.partition(" ")
+    gender = next(g for g, titles in TITLES.items() if title.rstrip(".") in titles)
+    parts = re.split(r"([ -])", name)
+    return [(f"{title} ", ""), *((p, "") if i % 2 else (f"{gender} {p}", "token") for i, p in enumerate(parts) if p)]
+
+
+def replaced(part: tuple[str, str], key: bytes, draw: int) -> str:
+    return surrogate("token", part[0], key, draw).partition(" ")[2]
+
+
 def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
     """The replacement of a value under the ``draw``-th tweak."""
     tweak = (kind, draw)
@@ -144,23 +209,22 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
     if kind == "iban":
         return value[:2] + enciphered(value[2:], key, value[:2], *tweak)
     if kind == "name":
-        title, _, name = value.partition(" ")
-        gender = next(g for g, titles in TITLES.items() if title.rstrip(".") in titles)
-        parts = re.split(r"([ -])", name)
-        listed = next((k for k, names in NAMES.items() if k[1] == gender and parts[0] in names), None)
-        if listed and draw == 0:  # drawn again, a listed name is enciphered like any other
-            names = NAMES[listed]
-            (at,) = permuted([names.index(parts[0])], [len(names)], key, *listed)
-            first = names[at]
-            rest = "".join(parts[1:])
-            return f"{title} {first}" + (enciphered(rest, key, first, *tweak) if rest else "")
-        return f"{title} " + enciphered(name, key, gender, *tweak)
+        return "".join(replaced(x, key, draw) if x[1] == "token" else x[0] for x in mentions(value))
+    if kind == "token":
+        gender, _, token = value.partition(" ")
+        return f"{gender} {name_token(gender, token, key, draw)}"
     return enciphered(value, key, *tweak)
 
 
 def normal(kind: str, value: str) -> str:
     """What makes two mentions the same value."""
-    return value.lower() if kind == "email" else value
+    return value.lower() if kind == "email" else unicodedata.normalize("NFC", value) if kind == "name" else value
+
+
+def checked(kind: str, value: str) -> list[tuple[str, str]]:
+    """(kind, value) of what a mention is looked up by: itself, or the words of a name."""
+    value = normal(kind, value)
+    return [(k, v) for v, k in mentions(value) if k] if kind == "name" else [(kind, value)]
 
 
 def found(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -173,7 +237,7 @@ def found(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 
 def values(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, value): the distinct values of each document."""
+    """(doc_id, kind, value): the distinct values of each document; the words of names are of kind ``token``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +246,7 @@ def values(docs: DataFrame) -> DataFrame:
                 rows = set()
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if text:
-                        rows |= {(doc_id, kind, normal(kind, value)) for _, _, kind, value in found(text)}
+                        rows |= {(doc_id, *x) for _, _, kind, value in found(text) for x in checked(kind, value)}
                 columns = list(zip(*rows)) or [(), (), ()]
                 kinds = (pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays(
@@ -211,14 +275,15 @@ def drawn(entities: DataFrame, key: bytes) -> DataFrame:
 def redrawn(seen: DataFrame, key: bytes = KEY) -> DataFrame | None:
     """(kind, value, draw) of the values whose first surrogate collides, with the draw that does not.
 
-    A surrogate must be no value of the corpus of its kind (listed names are exempt: a list is replaced
-    within itself), and no two values may share one; of those that would, the smallest keeps it.
+    A surrogate must be no value of the corpus of its kind, its own value included (listed given names are
+    exempt: a list is replaced within itself), and no two values may share one; of those that would, the smallest keeps it.
     """
     originals = written(seen.select("kind", "value").distinct())
     current = written(drawn(originals.withColumn("draw", F.lit(0)), key))
     moved = False
+    given = [f"{gender} {name}" for (_, gender), names in NAMES.items() for name in names]
     for draw in range(1, MAX_DRAWS):
-        real = originals.where(F.col("kind") != "name").select("kind", F.col("value").alias("surrogate"))
+        real = originals.where((F.col("kind") != "token") | ~F.col("value").isin(given)).select("kind", F.col("value").alias("surrogate"))
         taken = current.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value")
         shared = (
             current.groupBy("kind", "surrogate")
@@ -269,7 +334,13 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                     draw = {(x["kind"], x["value"]): x["draw"] for x in draws or ()}
                     out, at, own = [], 0, []
                     for start, end, kind, value in found(text) if text else ():
-                        new = cached(kind, normal(kind, value), draw.get((kind, normal(kind, value)), 0))
+                        if kind == "name":
+                            new = "".join(
+                                cached(k, v, draw.get((k, v), 0)).partition(" ")[2] if k else v
+                                for v, k in mentions(normal(kind, value))
+                            )
+                        else:
+                            new = cached(kind, normal(kind, value), draw.get((kind, normal(kind, value)), 0))
                         if kind == "email":
                             new = "".join(b.upper() if a.isupper() else b for a, b in zip(value, new))
                         out += [text[at:start], new]

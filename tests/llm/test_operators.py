@@ -488,6 +488,29 @@ def test_surrogates_are_bijective_and_drawn_again(spark):
     assert not any(x in t for x in (first, second) for t in texts.values()) and texts[1] != texts[2]
 
 
+def test_surrogates_of_names_in_any_script(spark):
+    people = ["Mr 王小明", "Mrs שרה כהן", "Mr محمد", "Ms 김민지", "Mr राम", "Mr José Ñúñez", "Mr Jose\u0301", "Г-н Ёжий Юрьев", "Mme Zoé Straße", "Mrs 王"]
+    got = surrogates.replace(spark.createDataFrame(list(enumerate(people)), "doc_id long, text string")).collect()
+    for r in got:
+        before, after = (x.split()[1:] for x in (people[r["doc_id"]], r["text"]))
+        assert len(before) == len(after) and all(a != b for a, b in zip(before, after))
+        assert [x[2] for x in surrogates.found(r["text"])] == ["name"]
+        assert surrogates.script_of(after[0][0].lower()) == surrogates.script_of(before[0][0].lower())
+    texts = {r["doc_id"]: r["text"].split() for r in got}
+    assert texts[5][1] == texts[6][1]
+
+
+def test_surrogates_of_names_corefer_and_are_no_other_name(spark):
+    rows = ["Mrs Anna Smith", "Ms Smith", "Mrs Eva Smith", "Mrs. Anna"]
+    first = surrogates.surrogate("name", "Mrs Vandermeer", b"k")
+    texts = [r["text"] for r in surrogates.replace(spark.createDataFrame(list(enumerate([*rows, "Mrs Vandermeer", first])), "doc_id long, text string"), b"k").orderBy("doc_id").collect()]
+    assert texts[0].split()[2] == texts[1].split()[1] == texts[2].split()[2] != "Smith"
+    assert texts[0].split()[1] == texts[3].split()[1] != "Anna"
+    assert not {first, "Mrs Vandermeer"} & set(texts) and texts[4] != texts[5]
+    for k in range(60):
+        assert surrogates.surrogate("name", "Mr Paul", b"%d" % k) != "Mr Paul"
+
+
 def test_clashing_names_and_no_rows(spark, clashing, none, model):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
