@@ -10,7 +10,10 @@ every document and task, without a table of values.
 
 Collisions are checked all the same, over the distinct values of the whole corpus: a surrogate may be
 another value of the corpus, or meet one that was drawn again.  Such values are drawn again under the
-next tweak until none is left; only they travel to their documents in a join.
+next tweak until none is left; only they travel to their documents in a join.  A format may have too few
+free values, so mailboxes and words of names grow by a letter with every draw after the first, and the
+other kinds by digits after ``NARROW_DRAWS`` draws (an address then becomes one of the range that is
+reserved for documentation): a free value always exists.
 
 Defined results: null and empty texts stay as they are; rows without an id are replaced too (they are
 one document where values drawn again are looked up); repeated rows get equal surrogates; columns whose
@@ -26,6 +29,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +40,8 @@ from cinelake.llm.common import plain_columns, table, written
 #: The key of tests and of the query; users give their own.
 KEY = b"a key for tests only"
 ROUNDS = 8
-#: A value that cannot be placed after so many draws is an error.
-MAX_DRAWS = 64
+#: Draws within the format of a kind of fixed width, before the format is widened.
+NARROW_DRAWS = 16
 
 # Given names by script and gender, and the words that announce a name and its gender.
 NAMES = {
@@ -163,7 +167,7 @@ def name_token(gender: str, token: str, key: bytes, draw: int) -> str:
         names = NAMES[own]
         return names[(names.index(token) + 1 + stream(key, own) % (len(names) - 1)) % len(names)]
     tweak = (gender, draw)
-    out = enciphered(token, key, "name", *tweak)
+    out = enciphered(widened(token, draw), key, "name", *tweak)
     for _ in range(8):
         if not listed(gender, out):
             break
@@ -183,9 +187,22 @@ def replaced(part: tuple[str, str], key: bytes, draw: int) -> str:
     return surrogate("token", part[0], key, draw).partition(" ")[2]
 
 
+def widened(text: str, draw: int) -> str:
+    """``text`` and ``draw`` more letters or digits of the class of its last one (of no such one: vowels)."""
+    last = next((c for c in reversed(text) if c.isalnum() and c.lower() in classes()[0]), "a")
+    return text + last.lower() * draw
+
+
 def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
     """The replacement of a value under the ``draw``-th tweak."""
     tweak = (kind, draw)
+    wide = max(0, draw - NARROW_DRAWS + 1)
+    if wide and kind == "ip":
+        octets = [int(x) for x in value.split(".")]
+        groups = permuted([*octets, *[0] * 8], [256] * 4 + [256] * 8, key, *tweak)
+        return "2001:db8:" + ":".join(f"{a:02x}{b:02x}" for a, b in zip(groups[::2], groups[1::2]))
+    if wide and kind in ("card", "iban", "ssn", "phone"):
+        value += "0" * wide
     if kind == "card":
         digits = [int(c) for c in value if c.isdigit()]
         body = permuted(digits[:-1], [10] * (len(digits) - 1), key, len(digits), *tweak)
@@ -204,8 +221,8 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
         host, dot, rest = domain.partition(".")
         # The registered domain stays; mailbox and host are enciphered together.
         if dot and "." in rest:
-            return "@".join(enciphered(f"{local}@{host}", key, rest.lower(), *tweak).split("@")) + dot + rest
-        return enciphered(local, key, domain.lower(), *tweak) + "@" + domain
+            return enciphered(f"{widened(local, draw)}@{host}", key, rest.lower(), *tweak) + dot + rest
+        return enciphered(widened(local, draw), key, domain.lower(), *tweak) + "@" + domain
     if kind == "iban":
         return value[:2] + enciphered(value[2:], key, value[:2], *tweak)
     if kind == "name":
@@ -221,6 +238,12 @@ def normal(kind: str, value: str) -> str:
     return value.lower() if kind == "email" else unicodedata.normalize("NFC", value) if kind == "name" else value
 
 
+def recased(value: str, new: str) -> str:
+    """``new`` with the capitals of ``value``, from the start of the mailbox and of the domain, which may be longer."""
+    sides = zip(value.split("@"), new.split("@"))
+    return "@".join("".join(b.upper() if a.isupper() else b for a, b in zip_longest(x, y, fillvalue="")) for x, y in sides)
+
+
 def checked(kind: str, value: str) -> list[tuple[str, str]]:
     """(kind, value) of what a mention is looked up by: itself, or the words of a name."""
     value = normal(kind, value)
@@ -282,7 +305,7 @@ def redrawn(seen: DataFrame, key: bytes = KEY) -> DataFrame | None:
     current = written(drawn(originals.withColumn("draw", F.lit(0)), key))
     moved = False
     given = [f"{gender} {name}" for (_, gender), names in NAMES.items() for name in names]
-    for draw in range(1, MAX_DRAWS):
+    for draw in count(1):
         real = originals.where((F.col("kind") != "token") | ~F.col("value").isin(given)).select("kind", F.col("value").alias("surrogate"))
         taken = current.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value")
         shared = (
@@ -304,7 +327,6 @@ def redrawn(seen: DataFrame, key: bytes = KEY) -> DataFrame | None:
                 drawn(again.withColumn("draw", F.lit(draw)), key)
             )
         )
-    raise ValueError(f"no free surrogates after {MAX_DRAWS} draws")
 
 
 def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -342,7 +364,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                         else:
                             new = cached(kind, normal(kind, value), draw.get((kind, normal(kind, value)), 0))
                         if kind == "email":
-                            new = "".join(b.upper() if a.isupper() else b for a, b in zip(value, new))
+                            new = recased(value, new)
                         out += [text[at:start], new]
                         at = end
                         own.append({"kind": kind, "start": start, "end": end})

@@ -511,6 +511,21 @@ def test_surrogates_of_names_corefer_and_are_no_other_name(spark):
         assert surrogates.surrogate("name", "Mr Paul", b"%d" % k) != "Mr Paul"
 
 
+def test_surrogates_of_crowded_formats(spark):
+    """All ten one-digit mailboxes, all vowels and all words of two vowels: no free value of the format is left."""
+    digits = [f"{i}@x.com" for i in range(10)]
+    vowels = [f"{c}@x.com" for c in "aeiou"]
+    names = [f"Mr {a.upper()}{b}" for a in "aeiou" for b in "aeiou"]
+    rows = list(enumerate([*digits, *vowels, *names, "A@X.com"]))
+    texts = [r["text"] for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert len({t.lower() for t in texts}) == 40 and texts[10].lower() == texts[-1].lower()
+    assert not {t.lower() for t in texts} & {r[1].lower() for r in rows}
+    assert all(t.endswith("@X.com") and t[0].isupper() for t in texts[-1:])
+    for kind, value in (("ip", "83.229.25.121"), ("ssn", "123-45-6789"), ("phone", "(183) 555-1276"), ("card", "4111111111111111")):
+        wide = [surrogates.surrogate(kind, value, b"k", d) for d in range(surrogates.NARROW_DRAWS + 2)]
+        assert len(wide[-1]) > len(wide[0]) and len(set(wide)) == len(wide)
+
+
 def test_clashing_names_and_no_rows(spark, clashing, none, model):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
