@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import table, written
+from cinelake.llm.hashing import RollingHash
 
 #: Bytes of a repeated string, and of a trigger within it.
 LENGTH, TRIGGER = 100, 24
@@ -61,40 +62,6 @@ OPEN, REPEATED, RANKED, HOT = 0, 1, 2, 3
 NO_ID = -(1 << 63)
 
 
-class RollingHash:
-    """Hashes of any byte range, from sums of byte values times powers of an odd base, modulo 2**64."""
-
-    def __init__(self, seed: int) -> None:
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.values = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(1, 1 << 62)) * 8 + 5
-        self.base, self.inverse = np.uint64(base % (1 << 64)), np.uint64(pow(base, -1, 1 << 64))
-        self.powers = np.ones(1, np.uint64)
-        self.inverses = np.ones(1, np.uint64)
-
-    def __call__(self, data: np.ndarray) -> np.ndarray:
-        """Sums over the first i bytes, for each i."""
-        if len(self.powers) <= len(data):
-            n = max(len(data) + 1, SLICE_BYTES + 1)
-            for name, factor in (("powers", self.base), ("inverses", self.inverse)):
-                out = np.full(n, factor, np.uint64)
-                out[0] = 1
-                setattr(self, name, np.multiply.accumulate(out))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
-        return sums
-
-    def range(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((sums[end] - sums[start]) * self.inverses[start])
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that spreads every bit."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours: of a block's tail and the next block's head."""
     n = len(x) - width + 1

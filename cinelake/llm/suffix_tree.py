@@ -1,56 +1,59 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The root holds the word counts of all training texts.  Level by level, every string of frequent
-symbols whose share of the training tokens reaches ``CONTEXT_SHARE`` is a candidate context; the
-symbols after all its occurrences are counted, and it is retained if they diverge from the next
-shorter context by more than the number of its symbols explains.  A retained context's distribution
-keeps the pairs whose share reaches ``PAIR_SHARE``, discounts each by half a count, and gives the rest
-to the distribution of the context one word shorter, so every distribution sums to one.  A token is
-scored by the longest retained context that precedes it.
-
-Shares bound the model whatever the size of the corpus: at most 1 / share strings reach a share.  So
-the table of the more frequent words and the contexts may be broadcast.  All other words are counted
-and looked up by a join, a few rows a document.  Words below ``SYMBOL_SHARE`` are one symbol in the
-tree, split by their share of the root.
+A state of the tree is a string of words that may precede a token, and its suffix one word shorter is its
+parent; the root holds the word counts of all training texts.  Level by level, every string that occurs
+``LEAST`` times at least and whose parent was retained is tested: its next-symbol counts against the
+parent's distribution, each occurrence judged by the counts without itself.  It is retained if its
+divergence from the parent saves more than ``GAIN`` nats over all its occurrences; a string that occurs as
+often as its parent has the same successors and needs no test.  Levels are added until no string is left to
+be tested, so neither depth nor size of the tree is fixed: it grows with the corpus.
+
+A retained state takes ``DISCOUNT`` from each count of two or more and gives that and the single counts to
+its parent's distribution, so every distribution sums to one.  A token is scored by the longest retained
+state before it.  States are closed under suffixes, so that state's log-probability is the root's plus, for
+each retained state before the token, what the state gives its parent, plus, where the pair is counted, what
+the pair adds.  Each of these belongs to one string of words: the score of a text is a sum over its strings.
+
+Strings are known by 64-bit hashes.  Counts, states and pairs stay in tables and meet the texts by joins.
+Two things of fixed size are broadcast, for speed alone: bitmaps of ``FILTER_BITS`` bits that tell most of
+the strings that can count no more, and the values of the ``FREQUENT`` most frequent strings; whatever the
+bitmaps let pass and whatever is not frequent is looked up in the tables.
 
 Defined results: null text counts as empty, whose only token is the end; a null id counts as the empty
-string and is held out; repeated rows are scored each; without training tokens every probability is 1.
+string and is held out; very long texts are scored whole; repeated rows are scored each; other columns of
+any name are not looked at; an empty table gives no rows; without training tokens every probability is 1.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import checkpointed, table
+from cinelake.llm.common import table, written
+from cinelake.llm.hashing import RollingHash, pair_hash
 
-#: Least shares of the training tokens: of a word in the broadcast table (so at most 2,000,000 words), of
-#: a symbol of its own in the tree, of a context, and of a context with a next symbol.
-WORD_SHARE, SYMBOL_SHARE, CONTEXT_SHARE, PAIR_SHARE = 5e-7, 1e-5, 1e-4, 2e-7
-#: Longest context in words.
-DEPTH = 2
+#: A string or pair below this count cannot show a divergence.
+LEAST = 2
+#: Nats that a state must save.
+GAIN = 4.0
+#: Taken from each counted pair.
+DISCOUNT = 0.6
 #: Added to every count at the root.
 ADDED = 0.1
-#: Taken from each kept pair's count.
-DISCOUNT = 0.5
-#: Symbols of the tree: other words, the end of a text; then the frequent words.
-OTHER, END, FIRST = 0, 1, 2
-#: The end of a text among the words; no word holds a space.
+#: Bits of a bitmap (16 MB), and strings whose values are broadcast.
+FILTER_BITS, FREQUENT = 1 << 27, 1_500_000
+#: The end of a text, as a word; no word holds a space.
 END_WORD = b" end"
-#: Entries after which a task hands on its counts, and text bytes that it handles at a time.
-FLUSH, SLICE_BYTES = 300_000, 2 << 20
-
-
-def words_in(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+SEED = 20_240_605
+#: Text bytes that a task handles at a time (one text may be longer), and tokens whose counts it holds.
+SLICE_BYTES, HELD = 2 << 20, 4_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -63,8 +66,8 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         ids, texts, size = [], [], 0
         for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
             ids.append(doc_id.as_py())
-            texts.append(text.as_py())
-            size += len(texts[-1] or b"")
+            texts.append(text.as_py() or b"")
+            size += len(texts[-1])
             if size >= SLICE_BYTES:
                 yield ids, texts
                 ids, texts, size = [], [], 0
@@ -76,283 +79,314 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of all training tokens, the end included; each task hands on sums."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"]
-            )
-            counts.clear()
-            return out
+#: Which bytes part words.
+PARTING = np.isin(np.arange(256), [32, *range(9, 14)])
 
-        for ids, texts in rows_of(batches):
-            for doc_id, text in zip(ids, texts):
-                if not held_out(doc_id):
-                    counts.update(words_in(text))
-                    counts[END_WORD] += 1
-            if len(counts) >= FLUSH:
-                yield flushed()
-        if counts:
-            yield flushed()
 
-    return plain(docs).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+class Words:
+    """Hashes of the tokens of texts."""
 
+    def __init__(self) -> None:
+        self.rolling = RollingHash(SEED)
+        data = np.frombuffer(END_WORD, np.uint8)
+        self.end = self.rolling.range(self.rolling(data), np.array([0]), np.array([len(data)]))[0]
 
-@dataclass
-class Level:
-    """Retained contexts of one length: their keys, pairs (context number and symbol) and log10 values."""
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each token, the end of each text included; index of its first token for each text, and of the end)."""
+        data = np.frombuffer(b" ".join([b"", *texts, b""]).lower(), np.uint8)
+        edge = np.flatnonzero(np.diff(PARTING[data].view(np.int8)))
+        start, stop = edge[::2] + 1, edge[1::2] + 1
+        hashes = self.rolling.range(self.rolling(data), start, stop)
+        cuts = np.cumsum([len(t) + 1 for t in texts])
+        words = np.searchsorted(start, cuts, side="left")
+        first = np.concatenate(([0], words + np.arange(1, len(texts) + 1)))
+        return np.insert(hashes, words, self.end), first
 
-    keys: np.ndarray
-    pairs: np.ndarray
-    pair_log: np.ndarray
-    rest_log: np.ndarray
 
+def strings(hashes: np.ndarray, first: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 on: the tokens that end a string of it, and the hashes of these strings."""
+    room = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
+    at, own = np.arange(len(hashes)), hashes
+    for k in range(1, length + 1):
+        yield at, own
+        # The next string joins the one that ends a token earlier with the one that ends here.
+        longer = room[at] >= k
+        before = np.searchsorted(at, at[longer] - 1)
+        at, own = at[longer], pair_hash(own[before], own[longer])
+
+
+def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(FILTER_BITS - 1)
+    return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap_of(grams: DataFrame) -> np.ndarray:
+    """The bits of the hashes in the column ``gram``."""
+    place = (F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("place")
+    rows = (
+        grams.select(place)
+        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+        .collect()
+    )
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, bits in rows:
+        out[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bytes(bits), np.uint8)
+    return out
 
-def find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places in a sorted table, -1 where it has no such entry."""
-    if not len(table):
-        return np.full(len(wanted), -1)
-    place = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-    return np.where(table[place] == wanted, place, -1)
 
+def counted(docs: DataFrame, names: list[str], keys) -> DataFrame:
+    """Sums over all training tokens of what ``keys(words, texts)`` gives: arrays of hashes, one for each of ``names``.
 
-@dataclass
-class Tree:
-    tokens: int = 0
-    distinct: int = 0
-    #: word -> (symbol, log10 of its share at the root), for the words of the broadcast table.
-    words: dict[bytes, tuple[int, float]] = field(default_factory=dict)
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(FIRST, np.int64))
-    root_log: np.ndarray = field(default_factory=lambda: np.zeros(FIRST))
-    levels: list[Level] = field(default_factory=list)
-
-    def share_log(self, count: int) -> float:
-        return float(np.log10((count + ADDED) / (self.tokens + ADDED * (self.distinct + 1))))
-
-    def context_keys(self, symbols: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-        """For each token the number of the ``length`` symbols before it as one key, -1 where there are fewer
-        or one of them is no symbol of its own.  ``starts``: for each token, where its text starts."""
-        at = np.arange(len(symbols))
-        key = np.zeros(len(symbols), np.int64)
-        sure = at - length >= starts
-        for k in range(length, 0, -1):
-            before = symbols[np.maximum(at - k, 0)]
-            sure &= before >= FIRST
-            key = key * (1 << 21) + before
-        return np.where(sure, key, -1)
-
-    def log_probability(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of each token's symbol, given the longest retained context before it."""
-        out = self.root_log[symbols]
-        for length, level in enumerate(self.levels, 1):
-            context = find(level.keys, self.context_keys(symbols, starts, length))
-            some = np.flatnonzero(context >= 0)
-            if not len(some):
-                continue
-            context = context[some]
-            pair = find(level.pairs, context * (1 << 21) + symbols[some])
-            out[some] = np.where(pair >= 0, level.pair_log[pair], level.rest_log[context] + out[some])
-        return out
-
-
-def sequences(tree: Tree, texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts with the ends, their symbols, where each one's text starts, and the texts' ends."""
-    words: list[bytes] = []
-    ends = []
-    for text in texts:
-        words += words_in(text)
-        words.append(END_WORD)
-        ends.append(len(words))
-    get, other = tree.words.get, (OTHER, 0.0)
-    symbols = np.fromiter((get(w, other)[0] for w in words), np.int64, len(words))
-    lengths = np.diff([0, *ends])
-    starts = np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
-    return words, symbols, starts, np.array(ends)
-
-
-def pair_counts(docs: DataFrame, tree: Tree, candidates: np.ndarray, length: int) -> DataFrame:
-    """(context, symbol, c) of every candidate context with the symbols after it, in all training texts."""
-    model = docs.sparkSession.sparkContext.broadcast((tree, candidates))
+    Each task adds up what it holds before it hands it on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, keys = model.value
-        pending: list[np.ndarray] = []
+        words = Words()
+        pending: list[list[np.ndarray]] = []
 
         def flushed() -> pa.RecordBatch:
-            pair, c = np.unique(np.concatenate(pending), return_counts=True)
+            columns = [np.concatenate(x) for x in zip(*pending)]
             pending.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(c, pa.int64())], ["pair", "c"])
+            whole = columns[0] if len(columns) == 1 else pair_hash(*columns)
+            _, at, c = np.unique(whole, return_index=True, return_counts=True)
+            arrays = [pa.array(x[at].view(np.int64)) for x in columns]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(c, pa.int64())], [*names, "n"])
 
         for ids, texts in rows_of(batches):
-            _, symbols, starts, _ = sequences(own, [t for i, t in zip(ids, texts) if not held_out(i)])
-            context = find(keys, own.context_keys(symbols, starts, length))
-            some = context >= 0
-            pending.append(context[some] * (1 << 21) + symbols[some])
-            if sum(map(len, pending)) >= 4_000_000:
+            pending.append(keys(*words([t for i, t in zip(ids, texts) if not held_out(i)])))
+            if sum(len(x[0]) for x in pending) >= HELD:
                 yield flushed()
         if pending:
             yield flushed()
 
-    return plain(docs).mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    rows = plain(docs).mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "n"]))
+    return rows.groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Tree:
+    """``words``: (gram, n).  ``levels``: for each length, the counted pairs of the retained states, (ctx, suffix,
+    gram, n, total, log, adds, gives): state, pair without its first word, whole pair, counts of pair and state,
+    natural logarithms of the pair's probability, of what it adds and of what the state gives its parent."""
+
+    tokens: int
+    distinct: int
+    words: DataFrame
+    levels: list[DataFrame]
+
+    def root_log(self, count: Column) -> Column:
+        return F.log((count + ADDED) / (self.tokens + ADDED * (self.distinct + 1)))
+
 
+def pair_counts(docs: DataFrame, states: DataFrame, known: DataFrame, length: int) -> DataFrame:
+    """(ctx, suffix, n) of the pairs of states (``gram``) and tokens of which ``known`` has the string without its first word."""
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    maps: tuple[Broadcast, Broadcast] = broadcast(bitmap_of(states)), broadcast(bitmap_of(known))
 
-def grow(docs: DataFrame, tree: Tree, candidates: np.ndarray, totals: np.ndarray, length: int) -> np.ndarray:
-    """Adds the retained contexts of one length; returns the strings one word longer that may be contexts.
+    def keys(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        for at, own in strings(hashes, first, length):
+            pass
+        suffix = passes(maps[1].value, own)
+        state = passes(maps[0].value, own)
+        here = np.flatnonzero(suffix[1:] & state[:-1] & (np.diff(at) == 1)) + 1
+        if length == 1:  # the first token of a text has no word before it
+            here = here[~np.isin(here, first[:-1])]
+        return [own[here - 1], own[here]]
 
-    ``candidates``: sorted keys; ``totals``: how often each stands before a token.
+    return counted(docs, ["ctx", "suffix"], keys).where(F.col("n") >= LEAST)
+
+
+def judged(pairs: DataFrame) -> DataFrame:
+    """The pairs (ctx, suffix, n, total, parent) of states that pass the divergence test, as a level of the tree.
+
+    ``parent``: natural logarithm of the token's probability in the parent state.
     """
-    least = max(2, int(np.ceil(PAIR_SHARE * tree.tokens)))
-    kept = pair_counts(docs, tree, candidates, length).where(F.col("c") >= least).orderBy("pair").toPandas()
-    pair, count = kept["pair"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)
-    context, symbol = pair >> 21, pair & ((1 << 21) - 1)
-    n = len(candidates)
-    types = np.bincount(context, minlength=n)
-    rest = totals - np.bincount(context, weights=count, minlength=n)
-    # The parent's distribution: the same symbols after the context one word shorter.
-    shorter = candidates[context] & ((1 << 21 * (length - 1)) - 1)
-    parent = parent_log(tree, shorter, symbol, length - 1)
-    share = np.log10(np.maximum(count / totals[context], 1e-300))
-    gain = np.bincount(context, weights=count * (share - parent), minlength=n) * np.log(10)
-    known = np.bincount(context, weights=10**parent, minlength=n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain += np.where(rest > 0, rest * np.log((rest / totals) / np.maximum(1 - known, 1e-12)), 0)
-    retained = np.flatnonzero((gain > types) & (types > 0))
-    number = np.full(n, -1)
-    number[retained] = np.arange(len(retained))
-    mine = number[context] >= 0
-    given = (DISCOUNT * types + rest)[context] / totals[context]
-    log = np.log10((count - DISCOUNT) / totals[context] + given * 10**parent)
-    tree.levels.append(
-        Level(
-            candidates[retained],
-            (number[context] * (1 << 21) + symbol)[mine],
-            log[mine],
-            np.log10((DISCOUNT * types + rest)[retained] / totals[retained]),
+    state = Window.partitionBy("ctx")
+    n, total, types, once = (F.col(c) for c in ("n", "total", "types", "once"))
+    prior = F.exp("parent")
+    others = total - 1  # occurrences without the one that is judged
+    seen = (n - 1 - DISCOUNT) / others + (DISCOUNT * types + once) / others * prior
+    unseen = (DISCOUNT * (types - 1) + once + 1) / others * prior
+    saved = n * (F.log(F.when(n > 2, seen).otherwise(unseen)) - F.col("parent"))
+    # A single token has its share of what is given to the parent, less itself; where that is nothing, of a discount.
+    lone = F.when(once > 0, once * F.log(F.greatest(DISCOUNT * types + once - 1, F.lit(DISCOUNT)) / others)).otherwise(0.0)
+    gives = (DISCOUNT * types + once) / total
+    log = F.log((n - DISCOUNT) / total + gives * prior)
+    return (
+        pairs.withColumn("types", F.count("*").over(state))
+        .withColumn("once", total - F.sum("n").over(state))
+        .withColumn("gain", F.sum(saved).over(state) + lone)
+        .where(F.col("gain") > GAIN)
+        .select(
+            "ctx",
+            "suffix",
+            F.xxhash64("ctx", "suffix").alias("gram"),
+            "n",
+            "total",
+            log.alias("log"),
+            (log - F.col("parent") - F.log(gives)).alias("adds"),
+            F.log(gives).alias("gives"),
         )
     )
-    longer = (count >= CONTEXT_SHARE * tree.tokens) & (symbol >= FIRST)
-    keys, at = np.unique((candidates[context] * (1 << 21) + symbol)[longer], return_index=True)
-    return np.stack([keys, count[longer][at]])
 
 
-def parent_log(tree: Tree, contexts: np.ndarray, symbols: np.ndarray, length: int) -> np.ndarray:
-    """log10 of symbols after contexts of ``length`` words, by the levels that the tree has."""
-    out = tree.root_log[symbols]
-    for k in range(1, length + 1):
-        level = tree.levels[k - 1]
-        context = find(level.keys, contexts & ((1 << 21 * k) - 1))
-        pair = np.where(context >= 0, find(level.pairs, np.maximum(context, 0) * (1 << 21) + symbols), -1)
-        rest = level.rest_log[context] + out if len(level.rest_log) else out
-        found = level.pair_log[pair] if len(level.pair_log) else out
-        out = np.where(context < 0, out, np.where(pair >= 0, found, rest))
-    return out
+def states_of(level: DataFrame) -> DataFrame:
+    return level.groupBy("ctx").agg(F.first("total").alias("total"), F.first("gives").alias("gives"))
 
 
-def fit(docs: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of the training texts; ``counts`` are their word counts."""
-    total = counts.agg(F.sum("c"), F.count("*")).first()
-    tree = Tree(total[0] or 0, total[1] or 0)
-    tree.root_log = np.array([0.0, tree.share_log(0)])
-    if not tree.tokens:
-        return tree
-    frequent = counts.where(F.col("c") >= max(1, WORD_SHARE * tree.tokens)).orderBy(F.desc("c"), "word").toPandas()
-    symbols = [0, 0]
-    for word, c in zip(map(bytes, frequent["word"]), frequent["c"].tolist()):
-        symbol = OTHER
-        if word == END_WORD:
-            symbol = END
-            symbols[END] = c
-        elif c >= SYMBOL_SHARE * tree.tokens:
-            symbol = len(symbols)
-            symbols.append(c)
-        tree.words[word] = (symbol, tree.share_log(c))
-    end = tree.words.get(END_WORD) or (END, tree.share_log(counts.where(F.col("word") == END_WORD).first()["c"]))
-    tree.words[END_WORD] = (END, end[1])
-    tree.counts = np.array(symbols, np.int64)
-    share = (tree.counts + ADDED) / (tree.tokens + ADDED * (tree.distinct + 1))
-    share[END] = 10 ** end[1]
-    share[OTHER] = max(1 - share[1:].sum(), 1e-12)
-    tree.root_log = np.log10(share)
-    candidates = np.flatnonzero(tree.counts >= CONTEXT_SHARE * tree.tokens)
-    candidates = candidates[candidates >= FIRST].astype(np.int64)
-    totals = tree.counts[candidates]
-    for length in range(1, depth + 1):
-        if not len(candidates):
+def fit(docs: DataFrame, depth: int | None = None) -> Tree:
+    """The tree of the training texts; ``depth`` may end it early."""
+    words = written(counted(docs, ["gram"], lambda hashes, first: [hashes]))
+    total = words.agg(F.sum("n"), F.count("*")).first()
+    tree = Tree(total[0] or 0, total[1] or 0, words, [])
+    known = words.where(F.col("n") >= LEAST).select("gram", tree.root_log(F.col("n")).alias("parent"))
+    states = words.where(F.col("n") >= LEAST).select("gram", F.col("n").alias("total"))
+    while depth is None or len(tree.levels) < depth:
+        if states.isEmpty():
             break
-        candidates, totals = grow(docs, tree, candidates, totals, length)
+        pairs = (
+            pair_counts(docs, states, known, len(tree.levels) + 1)
+            .join(known.withColumnRenamed("gram", "suffix"), "suffix")
+            .join(states.withColumnRenamed("gram", "ctx"), "ctx")
+        )
+        level = written(judged(pairs))
+        if level.isEmpty():
+            break
+        tree.levels.append(level)
+        known = level.select("gram", F.col("log").alias("parent"))
+        # A longer string is a state to be tested if its parent is retained and has other occurrences too.
+        parents = states_of(level).select(F.col("ctx").alias("suffix"), F.col("total").alias("of_parent"))
+        states = written(
+            level.select("gram", "suffix", "n")
+            .join(parents, "suffix")
+            .where(F.col("n") < F.col("of_parent"))
+            .select("gram", F.col("n").alias("total"))
+        )
     return tree
 
 
-def score(docs: DataFrame, counts: DataFrame, tree: Tree) -> DataFrame:
-    """The figures of all documents; words outside the broadcast table meet their counts in a join."""
-    model = docs.sparkSession.sparkContext.broadcast(tree)
-    names = ["row", "doc_id", "word", "n", "n_tokens", "n_known", "base", "score"]
+def values(tree: Tree) -> DataFrame:
+    """(gram, n, base, value): what an occurrence of a string counts in the base and in the score, in log10.
+
+    A string may have two rows: as a pair (or word), and as a state.  Words lie above an unknown word's value.
+    """
+    unknown = tree.root_log(F.lit(0))
+    base = (tree.root_log(F.col("n")) - unknown) / F.log(F.lit(10.0))
+    parts = [tree.words.select("gram", "n", base.alias("base"), base.alias("value"))]
+    for level in tree.levels:
+        none = F.lit(0.0).alias("base")
+        scaled = [(F.col(c) / F.log(F.lit(10.0))).alias("value") for c in ("adds", "gives")]
+        parts.append(level.select("gram", "n", none, scaled[0]))
+        parts.append(states_of(level).select(F.col("ctx").alias("gram"), F.col("total").alias("n"), none, scaled[1]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def frequent(of: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The least count of the strings whose values are broadcast, their hashes in order, and (base, value, known) of each."""
+    # Quarters of powers of two: a bounded number of rows.
+    step = F.floor(F.log2("n") * 4)
+    sizes = of.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    least, size = 1 << 62, 0
+    for row in sizes:
+        size += row["count"]
+        if size > FREQUENT:
+            break
+        least = int(np.ceil(2 ** (row["step"] / 4) - 1e-9))
+    rows = of.where(F.col("n") >= least).groupBy("gram").agg(
+        F.sum("base").alias("base"), F.sum("value").alias("value"), F.max((F.col("base") != 0).cast("double")).alias("known")
+    )
+    found = rows.toPandas()
+    grams = found["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return least, grams[order], found[["base", "value", "known"]].to_numpy(float)[order]
+
+
+def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
+    tree = fit(docs, depth)
+    of = values(tree)
+    least, grams, figures = frequent(of)
+    unknown = float(np.log10(ADDED / (tree.tokens + ADDED * (tree.distinct + 1)))) if tree.tokens else 0.0
+    longer = tree.levels[0].select("gram") if tree.levels else tree.words.select("gram").limit(0)
+    for level in tree.levels[1:]:
+        longer = longer.union(level.select("gram"))
+    length = len(tree.levels) + 1
+    model = docs.sparkSession.sparkContext.broadcast((bitmap_of(longer), grams, figures))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Tree = model.value
+        bitmap, own, of_own = model.value
+        words = Words()
         row = TaskContext.get().partitionId() << 40
+        names = ["row", "doc_id", "gram", "n", "n_tokens", "n_known", "base", "score"]
         for ids, texts in rows_of(batches):
-            words, symbols, starts, ends = sequences(own, texts)
-            tree_log = own.log_probability(symbols, starts)
-            get = own.words.get
-            root = np.fromiter(((x[1] if (x := get(w)) else np.nan) for w in words), float, len(words))
-            known = ~np.isnan(root)
-            # A word that is no symbol of its own has its share of the symbol for other words.
-            tree_log += np.where((symbols == OTHER) & known, root - own.root_log[OTHER], 0)
-            tree_log -= np.where(known, 0, own.root_log[OTHER])
-            cut = [0, *ends[:-1].tolist()]
-            base = np.add.reduceat(np.nan_to_num(root), cut)
-            total = np.add.reduceat(tree_log, cut)
-            n_known = np.add.reduceat(known.astype(np.int64), cut)
-            rare = np.flatnonzero(~known)
-            owner = np.searchsorted(ends, rare, side="right")
-            tally = Counter(zip(owner.tolist(), map(words.__getitem__, rare.tolist())))
-            k = len(ids)
-            m = len(tally)
-            # One row a document, under a key that is no word, and one for each of its other words.
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*range(row, row + k), *(row + o for o, _ in tally)], pa.int64()),
-                    pa.array([*ids, *(ids[o] for o, _ in tally)], pa.int64()),
-                    pa.array([*(b" %d" % r for r in range(row, row + k)), *(w for _, w in tally)], pa.binary()),
-                    pa.array([*[0] * k, *tally.values()], pa.int64()),
-                    pa.array([*np.diff([0, *ends]).tolist(), *[0] * m], pa.int64()),
-                    pa.array([*n_known.tolist(), *[0] * m], pa.int64()),
-                    pa.array([*base.tolist(), *[0.0] * m], pa.float64()),
-                    pa.array([*total.tolist(), *[0.0] * m], pa.float64()),
-                ],
-                names,
-            )
-            row += k
+            hashes, first = words(texts)
+            owner = np.repeat(np.arange(len(ids)), np.diff(first))
+            n_known, base, score = np.zeros((3, len(ids)))
+            rare_owner, rare = [], []
+            alive = np.ones(len(hashes), bool)
+            for k, (at, string) in enumerate(strings(hashes, first, length)):
+                if k:
+                    some = alive[at]
+                    some[some] = passes(bitmap, string[some])
+                    alive[:] = False
+                    alive[at[some]] = True
+                    at, string = at[some], string[some]
+                place = np.minimum(np.searchsorted(own, string), max(len(own) - 1, 0))
+                sure = own[place] == string if len(own) else np.zeros(len(string), bool)
+                figure, who = of_own[place[sure]], owner[at[sure]]
+                base += np.bincount(who, figure[:, 0], len(ids))
+                score += np.bincount(who, figure[:, 1], len(ids))
+                n_known += np.bincount(who, figure[:, 2], len(ids))
+                rare_owner.append(owner[at[~sure]])
+                rare.append(string[~sure])
+            # The other strings of each text, with their numbers.
+            who, string = np.concatenate(rare_owner), np.concatenate(rare)
+            order = np.lexsort((string, who))
+            who, string = who[order], string[order]
+            new = np.ones(len(who), bool)
+            new[1:] = (who[1:] != who[:-1]) | (string[1:] != string[:-1])
+            cut = np.flatnonzero(new)
+            n = np.diff([*cut, len(who)])
+            who, string = who[cut], string[cut]
+            n_tokens = np.diff(first)
+            zero = np.zeros(len(who))
+            numbers = [
+                np.concatenate((np.arange(len(ids)), who)) + row,
+                None,
+                np.concatenate((np.arange(len(ids)) * 0 + row, string.view(np.int64))),
+                np.concatenate((np.zeros(len(ids), np.int64), n)),
+                np.concatenate((n_tokens, zero.astype(np.int64))),
+                np.concatenate((n_known.astype(np.int64), zero.astype(np.int64))),
+                np.concatenate((base + n_tokens * unknown, zero)),
+                np.concatenate((score + n_tokens * unknown, zero)),
+            ]
+            # A row a text, under a key that counts nothing (``n`` is 0), and a row for each of its other strings.
+            numbers[2][: len(ids)] = pair_hash(numbers[0][: len(ids)].astype(np.uint64), np.uint64(0)).view(np.int64)
+            arrays = [pa.array(x) if x is not None else pa.array([*ids, *[None] * len(who)], pa.int64()) for x in numbers]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+            row += len(ids)
 
     rows = plain(docs).mapInArrow(
-        run, "row long, doc_id long, word binary, n long, n_tokens long, n_known long, base double, score double"
+        run, "row long, doc_id long, gram long, n long, n_tokens long, n_known long, base double, score double"
     )
-    rare = counts.where(F.col("c") < max(1, WORD_SHARE * tree.tokens)) if tree.tokens else counts
-    c = F.coalesce("c", F.lit(0))
-    lookup = F.col("n") * F.log10((c + ADDED) / (tree.tokens + ADDED * (tree.distinct + 1)))
+    rest = of.where(F.col("n") < least).select("gram", F.col("base").alias("of_base"), "value")
+    n, of_base = F.col("n"), F.coalesce("of_base", F.lit(0.0))
     return (
-        rows.join(rare, "word", "left")
-        .groupBy("row", "doc_id")
+        rows.join(rest, "gram", "left")
+        .groupBy("row")
         .agg(
+            F.max("doc_id").alias("doc_id"),
             F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + lookup).alias("base_score"),
-            F.sum(F.col("score") + lookup).alias("score"),
+            F.sum(F.col("n_known") + F.when(of_base != 0, n).otherwise(0)).alias("n_known"),
+            F.lit(tree.tokens).cast("long").alias("train_tokens"),
+            F.sum(F.col("base") + n * of_base).alias("base_score"),
+            F.sum(F.col("score") + n * F.coalesce("value", F.lit(0.0))).alias("score"),
         )
-    )
-
-
-def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
-    counts = checkpointed(word_counts(docs))
-    tree = fit(docs, counts, depth)
-    return score(docs, counts, tree).select(
-        "doc_id", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+        .drop("row")
     )
 
 

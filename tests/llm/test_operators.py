@@ -14,6 +14,7 @@ import xxhash
 from cinelake.llm import (
     decontaminate,
     exact_repeats,
+    hashing,
     pieces,
     quality_rules,
     secret_scan,
@@ -231,30 +232,89 @@ def test_written_shards(spark, docs, tmp_path):
     assert back.count() == len(ROWS) and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
 
 
-def test_suffix_tree(docs):
-    got = suffix_tree.score_texts(docs).collect()
-    tokens = [(r[0], [x.encode() for x in words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r[1] or ""))] + [b" end"]) for r in ROWS]
-    counts = collections.Counter()
-    for i, w in tokens:
-        if not suffix_tree.held_out(i):
-            counts.update(w)
-    total, distinct = sum(counts.values()), len(counts)
-    base = sorted((str(i), len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w), 6)) for i, w in tokens)
-    assert base == sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got)
-    assert all(r["train_tokens"] == total and r["score"] <= 1e-9 for r in got)
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
-
-
-def test_suffix_tree_distributions_sum_to_one(docs):
-    counts = suffix_tree.checkpointed(suffix_tree.word_counts(docs))
-    tree = suffix_tree.fit(docs, counts)
-    symbols = np.arange(len(tree.root_log))
-    assert math.isclose((10**tree.root_log).sum(), 1)
-    assert tree.levels and len(tree.levels[0].keys)
-    for length, level in enumerate(tree.levels, 1):
-        for key in level.keys[:5]:
-            log = suffix_tree.parent_log(tree, np.full(len(symbols), key), symbols, length)
-            assert math.isclose((10**log).sum(), 1, rel_tol=1e-6)
+class PlainTree:
+    """The suffix tree by its definition, with dictionaries."""
+
+    def __init__(self, texts):
+        self.texts = [[*(text or "").lower().split(), None] for text in texts]
+        self.root = collections.Counter(t for text in self.texts for t in text)
+        self.tokens, self.distinct = sum(self.root.values()), len(self.root)
+        self.states = {(): None}
+        length = 1
+        while length == 1 or any(len(x) == length - 1 for x in self.states):
+            after = collections.defaultdict(collections.Counter)
+            for text in self.texts:
+                for i in range(length, len(text)):
+                    after[tuple(text[i - length : i])][text[i]] += 1
+            new = {c: n for c, n in after.items() if c[1:] in self.states and self.diverges(c, n)}
+            self.states |= new
+            length += 1
+
+    def diverges(self, ctx, after):
+        total, d = after.total(), suffix_tree.DISCOUNT
+        if total < 2 or (len(ctx) > 1 and total == self.states[ctx[1:]].total()):
+            return False
+        kept = {s: n for s, n in after.items() if n > 1}
+        types, once, gain = len(kept), total - sum(kept.values()), 0.0
+        for s, n in kept.items():
+            p = self.p(ctx[1:], s)
+            if n > 2:
+                q = (n - 1 - d) / (total - 1) + (d * types + once) / (total - 1) * p
+            else:
+                q = (d * (types - 1) + once + 1) / (total - 1) * p
+            gain += n * math.log(q / p)
+        if once:
+            gain += once * math.log(max(d * types + once - 1, d) / (total - 1))
+        return bool(kept) and gain > suffix_tree.GAIN
+
+    def p(self, ctx, symbol):
+        if not ctx:
+            return (self.root[symbol] + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
+        after = self.states[ctx]
+        kept = {s: n for s, n in after.items() if n > 1}
+        own = kept[symbol] - suffix_tree.DISCOUNT if symbol in kept else 0
+        rest = after.total() - sum(n - suffix_tree.DISCOUNT for n in kept.values())
+        return (own + rest * self.p(ctx[1:], symbol)) / after.total()
+
+    def score(self, text):
+        words, out = [*(text or "").lower().split(), None], 0.0
+        for i, w in enumerate(words):
+            k = 0
+            while k < i and tuple(words[i - k - 1 : i]) in self.states:
+                k += 1
+            out += math.log10(self.p(tuple(words[i - k : i]), w))
+        return out
+
+
+@pytest.mark.parametrize("limit", [1_500_000, 60])
+def test_suffix_tree(docs, monkeypatch, limit):
+    monkeypatch.setattr(suffix_tree, "FREQUENT", limit)
+    tree = PlainTree([r[1] for r in ROWS if not suffix_tree.held_out(r[0])])
+    assert max(map(len, tree.states)) > 2
+    got = sorted(suffix_tree.score_texts(docs.withColumn("n", docs["doc_id"])).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"]))
+    want = sorted(ROWS, key=lambda r: (r[0] is None, r[0], len((r[1] or "").split())))
+    assert len(got) == len(want)
+    for r, (i, text, *_) in zip(got, want):
+        tokens = [*(text or "").lower().split(), None]
+        assert (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, len(tokens), sum(t in tree.root for t in tokens), tree.tokens)
+        assert math.isclose(r["base_score"], sum(math.log10(tree.p((), t)) for t in tokens), rel_tol=1e-9)
+        assert math.isclose(r["score"], tree.score(text), rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_suffix_tree_distributions_sum_to_one():
+    tree = PlainTree([r[1] for r in ROWS])
+    for ctx in sorted(tree.states, key=repr)[:: max(1, len(tree.states) // 40)]:
+        assert math.isclose(sum(tree.p(ctx, s) for s in tree.root) + tree.p(ctx, "never seen"), 1, rel_tol=1e-9)
+
+
+def test_strings_hash_as_columns_do(spark):
+    frame = spark.createDataFrame([(1, 2), (-5, 1 << 62), (0, -(1 << 63))], "a long, b long").selectExpr("a", "b", "xxhash64(a, b) h")
+    for a, b, h in frame.collect():
+        assert int(hashing.pair_hash(np.array([a]).view(np.uint64), np.array([b]).view(np.uint64)).view(np.int64)[0]) == h
+    hashes, first = suffix_tree.Words()([b"A b", b"", b" a\tb  c "])
+    assert first.tolist() == [0, 3, 4, 8] and hashes[0] == hashes[4] and hashes[2] == hashes[3] == hashes[7] != hashes[6]
+    grams = spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)[[0, 1]]], "gram long")
+    assert suffix_tree.passes(suffix_tree.bitmap_of(grams), hashes).tolist() == [True, True, False, False, True, True, False, False]
 
 
 def brute_viterbi(model, text):
@@ -390,7 +450,7 @@ def test_exact_repeats_many_tasks(spark):
 def common_trigger():
     """A 24-byte piece of so low a hash that it is the trigger of nearly all 100-byte strings that hold it."""
     data = np.random.default_rng(4).integers(33, 127, 1 << 21).astype(np.uint8)
-    rolling = exact_repeats.RollingHash(exact_repeats.SEED)
+    rolling = hashing.RollingHash(exact_repeats.SEED)
     at = np.arange(len(data) - 24)
     place = int(rolling.range(rolling(data), at, at + 24).argmin())
     return data[place : place + 24]
