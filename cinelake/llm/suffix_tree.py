@@ -49,6 +49,8 @@ DISCOUNT = 0.6
 ADDED = 0.1
 #: Bits of a bitmap (16 MB), and strings whose values are broadcast.
 FILTER_BITS, FREQUENT = 1 << 27, 1_500_000
+#: Bits of a block of a bitmap, as a power of two.
+BLOCK_BITS = 21
 #: The end of a text, as a word; no word holds a space.
 END_WORD = b" end"
 SEED = 20_240_605
@@ -121,17 +123,25 @@ def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def bitmap_of(grams: DataFrame) -> np.ndarray:
-    """The bits of the hashes in the column ``gram``."""
-    place = (F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("place")
-    rows = (
-        grams.select(place)
-        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-        .collect()
-    )
+    """The bits of the hashes in the column ``gram``, set block by block in the tasks."""
+    place = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int")
+    block = F.shiftright("place", BLOCK_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            places = np.unique(batch.column(0).to_numpy())
+            blocks = places >> BLOCK_BITS
+            for k in np.unique(blocks).tolist():
+                own = bits.setdefault(k, np.zeros(1 << BLOCK_BITS, bool))
+                own[places[blocks == k] & (1 << BLOCK_BITS) - 1] = True
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in bits.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
+
+    rows = grams.select(place.alias("place")).repartition(block).mapInArrow(run, "block int, bits binary").collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, bits in rows:
-        out[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bytes(bits), np.uint8)
+    for k, bits in rows:
+        out[k * len(bits) : (k + 1) * len(bits)] = np.frombuffer(bytes(bits), np.uint8)
     return out
 
 
@@ -167,8 +177,8 @@ def counted(docs: DataFrame, names: list[str], keys) -> DataFrame:
 @dataclass
 class Tree:
     """``words``: (gram, n).  ``levels``: for each length, the counted pairs of the retained states, (ctx, suffix,
-    gram, n, total, log, adds, gives): state, pair without its first word, whole pair, counts of pair and state,
-    natural logarithms of the pair's probability, of what it adds and of what the state gives its parent."""
+    n, total, log, adds, gives, gram): state, pair without its first word, counts of pair and state, natural
+    logarithms of the pair's probability, of what it adds and of what the state gives its parent, whole pair."""
 
     tokens: int
     distinct: int
@@ -182,7 +192,8 @@ class Tree:
 def pair_counts(docs: DataFrame, states: DataFrame, known: DataFrame, length: int) -> DataFrame:
     """(ctx, suffix, n) of the pairs of states (``gram``) and tokens of which ``known`` has the string without its first word."""
     broadcast = docs.sparkSession.sparkContext.broadcast
-    maps: tuple[Broadcast, Broadcast] = broadcast(bitmap_of(states)), broadcast(bitmap_of(known))
+    known_map = broadcast(bitmap_of(known))
+    maps: tuple[Broadcast, Broadcast] = known_map if states is known else broadcast(bitmap_of(states)), known_map
 
     def keys(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         for at, own in strings(hashes, first, length):
@@ -221,7 +232,6 @@ def judged(pairs: DataFrame) -> DataFrame:
         .select(
             "ctx",
             "suffix",
-            F.xxhash64("ctx", "suffix").alias("gram"),
             "n",
             "total",
             log.alias("log"),
@@ -240,17 +250,18 @@ def fit(docs: DataFrame, depth: int | None = None) -> Tree:
     words = written(counted(docs, ["gram"], lambda hashes, first: [hashes]))
     total = words.agg(F.sum("n"), F.count("*")).first()
     tree = Tree(total[0] or 0, total[1] or 0, words, [])
-    known = words.where(F.col("n") >= LEAST).select("gram", tree.root_log(F.col("n")).alias("parent"))
-    states = words.where(F.col("n") >= LEAST).select("gram", F.col("n").alias("total"))
+    known = states = words.where(F.col("n") >= LEAST).select(
+        "gram", tree.root_log(F.col("n")).alias("parent"), F.col("n").alias("total")
+    )
     while depth is None or len(tree.levels) < depth:
         if states.isEmpty():
             break
         pairs = (
-            pair_counts(docs, states, known, len(tree.levels) + 1)
-            .join(known.withColumnRenamed("gram", "suffix"), "suffix")
-            .join(states.withColumnRenamed("gram", "ctx"), "ctx")
+            written(pair_counts(docs, states, known, len(tree.levels) + 1))
+            .join(known.select(F.col("gram").alias("suffix"), "parent"), "suffix")
+            .join(states.select(F.col("gram").alias("ctx"), "total"), "ctx")
         )
-        level = written(judged(pairs))
+        level = written(judged(pairs)).withColumn("gram", F.xxhash64("ctx", "suffix"))
         if level.isEmpty():
             break
         tree.levels.append(level)
