@@ -47,8 +47,8 @@ GAIN = 4.0
 DISCOUNT = 0.6
 #: Added to every count at the root.
 ADDED = 0.1
-#: Bits of a bitmap (16 MB), and strings whose values are broadcast.
-FILTER_BITS, FREQUENT = 1 << 27, 1_500_000
+#: Bits of a bitmap (8 MB), and strings whose values are broadcast (13 MB).
+FILTER_BITS, FREQUENT = 1 << 26, 400_000
 #: Bits of a block of a bitmap, as a power of two.
 BLOCK_BITS = 21
 #: The end of a text, as a word; no word holds a space.
@@ -113,8 +113,8 @@ def strings(hashes: np.ndarray, first: np.ndarray, length: int) -> Iterator[tupl
         yield at, own
         # The next string joins the one that ends a token earlier with the one that ends here.
         longer = room[at] >= k
-        before = np.searchsorted(at, at[longer] - 1)
-        at, own = at[longer], pair_hash(own[before], own[longer])
+        here = np.flatnonzero(longer)
+        at, own = at[here], pair_hash(own[here - 1], own[here])
 
 
 def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -159,8 +159,11 @@ def counted(docs: DataFrame, names: list[str], keys) -> DataFrame:
             columns = [np.concatenate(x) for x in zip(*pending)]
             pending.clear()
             whole = columns[0] if len(columns) == 1 else pair_hash(*columns)
-            _, at, c = np.unique(whole, return_index=True, return_counts=True)
-            arrays = [pa.array(x[at].view(np.int64)) for x in columns]
+            order = np.argsort(whole)
+            whole = whole[order]
+            first = np.flatnonzero(np.append(True, whole[1:] != whole[:-1])[: len(whole)])
+            c = np.diff(np.append(first, len(whole)))
+            arrays = [pa.array(x[order[first]].view(np.int64)) for x in columns]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(c, pa.int64())], [*names, "n"])
 
         for ids, texts in rows_of(batches):
@@ -253,9 +256,7 @@ def fit(docs: DataFrame, depth: int | None = None) -> Tree:
     known = states = words.where(F.col("n") >= LEAST).select(
         "gram", tree.root_log(F.col("n")).alias("parent"), F.col("n").alias("total")
     )
-    while depth is None or len(tree.levels) < depth:
-        if states.isEmpty():
-            break
+    while (depth is None or len(tree.levels) < depth) and not states.isEmpty():
         pairs = (
             written(pair_counts(docs, states, known, len(tree.levels) + 1))
             .join(known.select(F.col("gram").alias("suffix"), "parent"), "suffix")
@@ -310,10 +311,10 @@ def frequent(of: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     rows = of.where(F.col("n") >= least).groupBy("gram").agg(
         F.sum("base").alias("base"), F.sum("value").alias("value"), F.max((F.col("base") != 0).cast("double")).alias("known")
     )
-    found = rows.toPandas()
-    grams = found["gram"].to_numpy(np.int64).view(np.uint64)
+    found = rows.toArrow()
+    grams = found.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(grams)
-    return least, grams[order], found[["base", "value", "known"]].to_numpy(float)[order]
+    return least, grams[order], np.stack([found.column(c).to_numpy()[order] for c in ("base", "value", "known")], 1)
 
 
 def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
