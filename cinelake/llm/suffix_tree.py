@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import table, written
-from cinelake.llm.hashing import RollingHash, pair_hash
+from cinelake.llm.hashing import pair_hash
 
 #: A string or pair below this count cannot show a divergence.
 LEAST = 2
@@ -47,15 +47,14 @@ GAIN = 4.0
 DISCOUNT = 0.6
 #: Added to every count at the root.
 ADDED = 0.1
-#: Bits of a bitmap (8 MB), and strings whose values are broadcast (13 MB).
-FILTER_BITS, FREQUENT = 1 << 26, 400_000
+#: Bits of a bitmap (8 MB), and strings whose values are broadcast (26 MB).
+FILTER_BITS, FREQUENT = 1 << 26, 800_000
 #: Bits of a block of a bitmap, as a power of two.
 BLOCK_BITS = 21
 #: The end of a text, as a word; no word holds a space.
 END_WORD = b" end"
-SEED = 20_240_605
 #: Text bytes that a task handles at a time (one text may be longer), and tokens whose counts it holds.
-SLICE_BYTES, HELD = 2 << 20, 4_000_000
+SLICE_BYTES, HELD = 2 << 20, 2_500_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -85,24 +84,53 @@ def plain(docs: DataFrame) -> DataFrame:
 PARTING = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-class Words:
-    """Hashes of the tokens of texts."""
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, eight bytes at a time; ``data`` must go on for eight bytes after the last."""
+    eight = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
+    size = stop - start
+    own = pair_hash(size.astype(np.uint64), eight[start] & MASKS[np.minimum(size, 8)])
+    some = np.flatnonzero(size > 8)
+    at = 8
+    while len(some):
+        own[some] = pair_hash(own[some], eight[start[some] + at] & MASKS[np.minimum(size[some] - at, 8)])
+        at += 8
+        some = some[size[some] > at]
+    return own
 
-    def __init__(self) -> None:
-        self.rolling = RollingHash(SEED)
-        data = np.frombuffer(END_WORD, np.uint8)
-        self.end = self.rolling.range(self.rolling(data), np.array([0]), np.array([len(data)]))[0]
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each token, the end of each text included; index of its first token for each text, and of the end)."""
-        data = np.frombuffer(b" ".join([b"", *texts, b""]).lower(), np.uint8)
-        edge = np.flatnonzero(np.diff(PARTING[data].view(np.int8)))
-        start, stop = edge[::2] + 1, edge[1::2] + 1
-        hashes = self.rolling.range(self.rolling(data), start, stop)
-        cuts = np.cumsum([len(t) + 1 for t in texts])
-        words = np.searchsorted(start, cuts, side="left")
-        first = np.concatenate(([0], words + np.arange(1, len(texts) + 1)))
-        return np.insert(hashes, words, self.end), first
+#: The bytes of a little-endian number that the first 0 to 8 of eight bytes make up.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+END = word_hashes(np.frombuffer(END_WORD + bytes(8), np.uint8), np.array([0]), np.array([len(END_WORD)]))[0]
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, the end of each text included; index of its first token for each text, and of the end)."""
+    data = np.frombuffer(b" ".join([b"", *texts, bytes(8)]).lower(), np.uint8)
+    parting = PARTING[data]
+    parting[-8:] = True
+    edge = np.flatnonzero(parting[1:] != parting[:-1])
+    start, stop = edge[::2] + 1, edge[1::2] + 1
+    cuts = np.cumsum([len(t) + 1 for t in texts])
+    words = np.searchsorted(start, cuts, side="left")
+    first = np.concatenate(([0], words + np.arange(1, len(texts) + 1)))
+    return np.insert(word_hashes(data, start, stop), words, END), first
+
+
+def together(keys: np.ndarray) -> np.ndarray:
+    """An order in which equal numbers stand together, but for rare ones: by their upper bits, then by place.
+
+    Numbers and places are sorted as one, which is much faster than to sort places by number.
+    """
+    bits = np.uint64(len(keys).bit_length())
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    return (np.sort(keys & ~mask | np.arange(len(keys), dtype=np.uint64)) & mask).astype(np.int64)
+
+
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Indices of the rows that differ from the one before them."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
 
 def strings(hashes: np.ndarray, first: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,28 +174,26 @@ def bitmap_of(grams: DataFrame) -> np.ndarray:
 
 
 def counted(docs: DataFrame, names: list[str], keys) -> DataFrame:
-    """Sums over all training tokens of what ``keys(words, texts)`` gives: arrays of hashes, one for each of ``names``.
+    """Sums over all training tokens of what ``keys`` gives for the tokens of some texts: arrays of hashes, one for each of ``names``.
 
     Each task adds up what it holds before it hands it on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         pending: list[list[np.ndarray]] = []
 
         def flushed() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*pending)]
             pending.clear()
-            whole = columns[0] if len(columns) == 1 else pair_hash(*columns)
-            order = np.argsort(whole)
-            whole = whole[order]
-            first = np.flatnonzero(np.append(True, whole[1:] != whole[:-1])[: len(whole)])
-            c = np.diff(np.append(first, len(whole)))
-            arrays = [pa.array(x[order[first]].view(np.int64)) for x in columns]
+            order = together(columns[0] if len(columns) == 1 else pair_hash(*columns))
+            columns = [x[order] for x in columns]
+            at = firsts(*columns)
+            c = np.diff(np.append(at, len(order)))
+            arrays = [pa.array(x[at].view(np.int64)) for x in columns]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(c, pa.int64())], [*names, "n"])
 
         for ids, texts in rows_of(batches):
-            pending.append(keys(*words([t for i, t in zip(ids, texts) if not held_out(i)])))
+            pending.append(keys(*tokens([t for i, t in zip(ids, texts) if not held_out(i)])))
             if sum(len(x[0]) for x in pending) >= HELD:
                 yield flushed()
         if pending:
@@ -195,8 +221,7 @@ class Tree:
 def pair_counts(docs: DataFrame, states: DataFrame, known: DataFrame, length: int) -> DataFrame:
     """(ctx, suffix, n) of the pairs of states (``gram``) and tokens of which ``known`` has the string without its first word."""
     broadcast = docs.sparkSession.sparkContext.broadcast
-    known_map = broadcast(bitmap_of(known))
-    maps: tuple[Broadcast, Broadcast] = known_map if states is known else broadcast(bitmap_of(states)), known_map
+    maps: tuple[Broadcast, Broadcast] = broadcast(bitmap_of(states)), broadcast(bitmap_of(known))
 
     def keys(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         for at, own in strings(hashes, first, length):
@@ -253,9 +278,8 @@ def fit(docs: DataFrame, depth: int | None = None) -> Tree:
     words = written(counted(docs, ["gram"], lambda hashes, first: [hashes]))
     total = words.agg(F.sum("n"), F.count("*")).first()
     tree = Tree(total[0] or 0, total[1] or 0, words, [])
-    known = states = words.where(F.col("n") >= LEAST).select(
-        "gram", tree.root_log(F.col("n")).alias("parent"), F.col("n").alias("total")
-    )
+    known = words.where(F.col("n") >= LEAST).select("gram", tree.root_log(F.col("n")).alias("parent"))
+    states = words.where(F.col("n") >= LEAST).select("gram", F.col("n").alias("total"))
     while (depth is None or len(tree.levels) < depth) and not states.isEmpty():
         pairs = (
             written(pair_counts(docs, states, known, len(tree.levels) + 1))
@@ -322,68 +346,60 @@ def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
     tree = fit(docs, depth)
     of = values(tree)
     least, grams, figures = frequent(of)
+    tree_levels = range(len(tree.levels))
     unknown = float(np.log10(ADDED / (tree.tokens + ADDED * (tree.distinct + 1)))) if tree.tokens else 0.0
-    longer = tree.levels[0].select("gram") if tree.levels else tree.words.select("gram").limit(0)
-    for level in tree.levels[1:]:
-        longer = longer.union(level.select("gram"))
-    length = len(tree.levels) + 1
-    model = docs.sparkSession.sparkContext.broadcast((bitmap_of(longer), grams, figures))
+    model = docs.sparkSession.sparkContext.broadcast((bitmap_of(of), grams, figures))
+    names = ["row", "gram", "n", "text"]
+    kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, own, of_own = model.value
-        words = Words()
         row = TaskContext.get().partitionId() << 40
-        names = ["row", "doc_id", "gram", "n", "n_tokens", "n_known", "base", "score"]
         for ids, texts in rows_of(batches):
-            hashes, first = words(texts)
-            owner = np.repeat(np.arange(len(ids)), np.diff(first))
-            n_known, base, score = np.zeros((3, len(ids)))
+            hashes, first = tokens(texts)
+            size = len(ids)
+            owner = np.repeat(np.arange(size), np.diff(first))
+            sums = np.zeros((3, size))
             rare_owner, rare = [], []
             alive = np.ones(len(hashes), bool)
-            for k, (at, string) in enumerate(strings(hashes, first, length)):
-                if k:
-                    some = alive[at]
-                    some[some] = passes(bitmap, string[some])
-                    alive[:] = False
-                    alive[at[some]] = True
-                    at, string = at[some], string[some]
-                place = np.minimum(np.searchsorted(own, string), max(len(own) - 1, 0))
-                sure = own[place] == string if len(own) else np.zeros(len(string), bool)
-                figure, who = of_own[place[sure]], owner[at[sure]]
-                base += np.bincount(who, figure[:, 0], len(ids))
-                score += np.bincount(who, figure[:, 1], len(ids))
-                n_known += np.bincount(who, figure[:, 2], len(ids))
+            for at, string in strings(hashes, first, len(tree_levels) + 1):
+                # A string that counts ends with strings that count.
+                some = alive[at]
+                some[some] = passes(bitmap, string[some])
+                alive[:] = False
+                alive[at[some]] = True
+                order = together(string[some])
+                at, string = at[some][order], string[some][order]
+                sure = np.zeros(len(string), bool)
+                if len(own):
+                    place = np.minimum(np.searchsorted(own, string), len(own) - 1)
+                    sure = own[place] == string
+                    figure, who = of_own[place[sure]], owner[at[sure]]
+                    for k in range(3):
+                        sums[k] += np.bincount(who, figure[:, k], size)
                 rare_owner.append(owner[at[~sure]])
                 rare.append(string[~sure])
             # The other strings of each text, with their numbers.
             who, string = np.concatenate(rare_owner), np.concatenate(rare)
-            order = np.lexsort((string, who))
+            order = together(who.astype(np.uint64) << np.uint64(50) | string >> np.uint64(14))
             who, string = who[order], string[order]
-            new = np.ones(len(who), bool)
-            new[1:] = (who[1:] != who[:-1]) | (string[1:] != string[:-1])
-            cut = np.flatnonzero(new)
-            n = np.diff([*cut, len(who)])
-            who, string = who[cut], string[cut]
+            at = firsts(who, string)
+            n = np.diff(np.append(at, len(who)))
             n_tokens = np.diff(first)
-            zero = np.zeros(len(who))
-            numbers = [
-                np.concatenate((np.arange(len(ids)), who)) + row,
-                None,
-                np.concatenate((np.arange(len(ids)) * 0 + row, string.view(np.int64))),
-                np.concatenate((np.zeros(len(ids), np.int64), n)),
-                np.concatenate((n_tokens, zero.astype(np.int64))),
-                np.concatenate((n_known.astype(np.int64), zero.astype(np.int64))),
-                np.concatenate((base + n_tokens * unknown, zero)),
-                np.concatenate((score + n_tokens * unknown, zero)),
-            ]
-            # A row a text, under a key that counts nothing (``n`` is 0), and a row for each of its other strings.
-            numbers[2][: len(ids)] = pair_hash(numbers[0][: len(ids)].astype(np.uint64), np.uint64(0)).view(np.int64)
-            arrays = [pa.array(x) if x is not None else pa.array([*ids, *[None] * len(who)], pa.int64()) for x in numbers]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-            row += len(ids)
+            figures = [ids, n_tokens, sums[2].astype(np.int64), sums[0] + n_tokens * unknown, sums[1] + n_tokens * unknown]
+            # A row a text, under a key of its own that counts nothing, and a row for each of its other strings.
+            rows = np.arange(row, row + size)
+            key = pair_hash(rows.astype(np.uint64), np.uint64(0)).view(np.int64)
+            row += size
+            struct = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(figures, kinds)], [k for k, _ in kinds])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(key), pa.array(np.zeros(size, np.int64)), struct], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[who[at]]), pa.array(string[at].view(np.int64)), pa.array(n), pa.nulls(len(at), pa.struct(kinds))], names
+            )
 
     rows = plain(docs).mapInArrow(
-        run, "row long, doc_id long, gram long, n long, n_tokens long, n_known long, base double, score double"
+        run,
+        "row long, gram long, n long, text struct<doc_id: long, n_tokens: long, n_known: long, base: double, score: double>",
     )
     rest = of.where(F.col("n") < least).select("gram", F.col("base").alias("of_base"), "value")
     n, of_base = F.col("n"), F.coalesce("of_base", F.lit(0.0))
@@ -391,14 +407,20 @@ def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
         rows.join(rest, "gram", "left")
         .groupBy("row")
         .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(of_base != 0, n).otherwise(0)).alias("n_known"),
+            # One row of a text has these; taken apart, they are summed up by hash.
+            *(F.max(f"text.{k}").alias(k) for k, _ in kinds),
+            F.sum(F.when(of_base != 0, n).otherwise(0)).alias("known"),
+            F.sum(n * of_base).alias("of_base"),
+            F.sum(n * F.coalesce("value", F.lit(0.0))).alias("value"),
+        )
+        .select(
+            "doc_id",
+            "n_tokens",
+            (F.col("n_known") + F.col("known")).alias("n_known"),
             F.lit(tree.tokens).cast("long").alias("train_tokens"),
-            F.sum(F.col("base") + n * of_base).alias("base_score"),
-            F.sum(F.col("score") + n * F.coalesce("value", F.lit(0.0))).alias("score"),
+            (F.col("base") + F.col("of_base")).alias("base_score"),
+            (F.col("score") + F.col("value")).alias("score"),
         )
-        .drop("row")
     )
 
 

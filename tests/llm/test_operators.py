@@ -311,10 +311,11 @@ def test_strings_hash_as_columns_do(spark):
     frame = spark.createDataFrame([(1, 2), (-5, 1 << 62), (0, -(1 << 63))], "a long, b long").selectExpr("a", "b", "xxhash64(a, b) h")
     for a, b, h in frame.collect():
         assert int(hashing.pair_hash(np.array([a]).view(np.uint64), np.array([b]).view(np.uint64)).view(np.int64)[0]) == h
-    hashes, first = suffix_tree.Words()([b"A b", b"", b" a\tb  c "])
-    assert first.tolist() == [0, 3, 4, 8] and hashes[0] == hashes[4] and hashes[2] == hashes[3] == hashes[7] != hashes[6]
+    hashes, first = suffix_tree.tokens([b"A b", b"", b" a\tb  c ", b"longer-than-eight x", b"LONGER-than-eight x"])
+    assert first.tolist() == [0, 3, 4, 8, 11, 14] and hashes[0] == hashes[4] and hashes[2] == hashes[3] == hashes[7] != hashes[6]
+    assert hashes[8:11].tolist() == hashes[11:].tolist() and len(set(hashes.tolist())) == 6
     grams = spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)[[0, 1]]], "gram long")
-    assert suffix_tree.passes(suffix_tree.bitmap_of(grams), hashes).tolist() == [True, True, False, False, True, True, False, False]
+    assert suffix_tree.passes(suffix_tree.bitmap_of(grams), hashes[:8]).tolist() == [True, True, False, False, True, True, False, False]
 
 
 def brute_viterbi(model, text):
