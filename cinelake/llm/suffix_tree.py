@@ -36,7 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import table, written
+from cinelake.llm.common import short_lived, table, written
 from cinelake.llm.hashing import pair_hash
 
 #: A string or pair below this count cannot show a divergence.
@@ -166,7 +166,8 @@ def bitmap_of(grams: DataFrame) -> np.ndarray:
         packed = [np.packbits(x, bitorder="little").tobytes() for x in bits.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
 
-    rows = grams.select(place.alias("place")).repartition(block).mapInArrow(run, "block int, bits binary").collect()
+    with short_lived(grams.sparkSession):
+        rows = grams.select(place.alias("place")).repartition(block).mapInArrow(run, "block int, bits binary").collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for k, bits in rows:
         out[k * len(bits) : (k + 1) * len(bits)] = np.frombuffer(bytes(bits), np.uint8)
@@ -335,7 +336,8 @@ def frequent(of: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     rows = of.where(F.col("n") >= least).groupBy("gram").agg(
         F.sum("base").alias("base"), F.sum("value").alias("value"), F.max((F.col("base") != 0).cast("double")).alias("known")
     )
-    found = rows.toArrow()
+    with short_lived(of.sparkSession):
+        found = rows.toArrow()
     grams = found.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(grams)
     return least, grams[order], np.stack([found.column(c).to_numpy()[order] for c in ("base", "value", "known")], 1)
@@ -401,17 +403,17 @@ def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
         run,
         "row long, gram long, n long, text struct<doc_id: long, n_tokens: long, n_known: long, base: double, score: double>",
     )
-    rest = of.where(F.col("n") < least).select("gram", F.col("base").alias("of_base"), "value")
-    n, of_base = F.col("n"), F.coalesce("of_base", F.lit(0.0))
+    rest = of.where(F.col("n") < least).select("gram", "value", (F.col("base") != 0).alias("word"))
+    n, value = F.col("n"), F.coalesce("value", F.lit(0.0))
     return (
         rows.join(rest, "gram", "left")
         .groupBy("row")
         .agg(
             # One row of a text has these; taken apart, they are summed up by hash.
             *(F.max(f"text.{k}").alias(k) for k, _ in kinds),
-            F.sum(F.when(of_base != 0, n).otherwise(0)).alias("known"),
-            F.sum(n * of_base).alias("of_base"),
-            F.sum(n * F.coalesce("value", F.lit(0.0))).alias("value"),
+            F.sum(F.when(F.col("word"), n).otherwise(0)).alias("known"),
+            F.sum(F.when(F.col("word"), n * value).otherwise(0.0)).alias("of_base"),
+            F.sum(n * value).alias("value"),
         )
         .select(
             "doc_id",
