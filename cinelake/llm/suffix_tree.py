@@ -234,7 +234,10 @@ def pair_counts(docs: DataFrame, states: DataFrame, known: DataFrame, length: in
             here = here[~np.isin(here, first[:-1])]
         return [own[here - 1], own[here]]
 
-    return counted(docs, ["ctx", "suffix"], keys).where(F.col("n") >= LEAST)
+    out = written(counted(docs, ["ctx", "suffix"], keys).where(F.col("n") >= LEAST))
+    for x in maps:
+        x.destroy()
+    return out
 
 
 def judged(pairs: DataFrame) -> DataFrame:
@@ -283,7 +286,7 @@ def fit(docs: DataFrame, depth: int | None = None) -> Tree:
     states = words.where(F.col("n") >= LEAST).select("gram", F.col("n").alias("total"))
     while (depth is None or len(tree.levels) < depth) and not states.isEmpty():
         pairs = (
-            written(pair_counts(docs, states, known, len(tree.levels) + 1))
+            pair_counts(docs, states, known, len(tree.levels) + 1)
             .join(known.select(F.col("gram").alias("suffix"), "parent"), "suffix")
             .join(states.select(F.col("gram").alias("ctx"), "total"), "ctx")
         )
