@@ -20,8 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def plain_columns(docs: DataFrame) -> DataFrame:
-    """``docs`` without columns whose names begin with two underscores: those names are the operators' own."""
-    return docs.drop(*(c for c in docs.columns if c.startswith("__")))
+    """``docs``, with ``in`` put before the names that begin with two underscores: those names are the operators' own."""
+    taken, names = set(docs.columns), []
+    for c in docs.columns:
+        new = c
+        while new.startswith("__") or new != c and new in taken:
+            new = f"in{new}"
+        taken.add(new)
+        names.append(new)
+    return docs.toDF(*names)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -4,17 +4,19 @@ The windows of the benchmark (ten words, or a whole shorter item) are hashed int
 broadcast; each task slides the same windows over the words of its documents, looks the hashes up,
 verifies every hit word by word, and reports the covered word ranges and the items found.  No row is
 shuffled.  A benchmark above ``MAX_BLOCK_BYTES`` is cut into blocks that are scanned one after the
-other, so the broadcast stays bounded at any size.
+other, each pass written before the next block is made, so that the driver and a worker hold one block at
+any size of the benchmark.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window;
-items that repeat are found each; repeated documents are judged alike; an empty benchmark leaves
-every document clean; columns of ``docs`` whose names begin with two underscores are left out.
+items that repeat are found each; items without an id count as one, which has no name; very long texts are
+scanned whole; repeated documents are judged alike; an empty benchmark leaves every document clean; columns
+of ``docs`` whose names begin with two underscores are renamed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import plain_columns, table
+from cinelake.llm.common import plain_columns, table, written
 
 #: Words of a window.
 WINDOW = 10
-#: Benchmark text of one broadcast block, in bytes: above it, more blocks are made.
-MAX_BLOCK_BYTES = 32 << 20
+#: Benchmark text of one broadcast block, in bytes: above it, more blocks are made.  A block takes about twenty
+#: times that in memory while it is made, and ten times kept.
+MAX_BLOCK_BYTES = 8 << 20
 #: Document text that a task handles at a time, in bytes (one document may be longer).
 SLICE_BYTES = 2 << 20
 
@@ -45,65 +48,66 @@ def words_in(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
-def rolled(ids: np.ndarray, length: int, base: int) -> np.ndarray:
-    """Polynomial hash of each run of ``length`` ids, modulo 2**64."""
-    n = len(ids) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+def rolled(columns: np.ndarray, length: int, base: int) -> np.ndarray:
+    """Polynomial hash of rows of ids, given as their columns, modulo 2**64."""
+    out = np.zeros(columns.shape[1], np.uint64)
     for j in range(length):
         out *= np.uint64(base)
-        out += ids[j : j + n]
+        out += columns[j]
     return out
 
 
 class Windows:
-    """Hashed windows of one block of the benchmark."""
+    """Hashed windows of one block of the benchmark, in arrays."""
 
-    def __init__(self, items: list[tuple[int, bytes | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        give = self.vocabulary.setdefault
+        self.item_ids = [x for x, _ in items]
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for k, (_, text) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_in(text)]
+            ids = np.array([give(w, len(self.vocabulary) + 1) for w in words_in(text)], np.uint32)
             length = min(window, len(ids))
-            for i in range(len(ids) - length + 1 if length else 0):
-                owners = found.setdefault(length, {}).setdefault(tuple(ids[i : i + length]), [])
-                if not owners or owners[-1] != k:
-                    owners.append(k)
-        self.item_ids = [x for x, _ in items]
+            if length:
+                rows = np.lib.stride_tricks.sliding_window_view(ids, length)
+                parts.setdefault(length, []).append((rows, np.full(len(rows), k, np.int32)))
         self.by_length = []
-        for length, windows in sorted(found.items()):
-            rows = np.array(list(windows), np.uint64).reshape(-1, length)
-            owners = list(windows.values())
+        for length in sorted(parts):
+            rows = np.concatenate([r for r, _ in parts[length]])
+            owners = np.concatenate([o for _, o in parts.pop(length)])
             base = 0x9E3779B97F4A7C15
             while True:
-                hashes = np.array([self._one(row, base) for row in rows], np.uint64)
-                if len(np.unique(hashes)) == len(hashes):
+                hashes = rolled(rows.T, length, base)
+                order = np.lexsort((owners, hashes))
+                hashes, rows, owners = hashes[order], rows[order], owners[order]
+                same = hashes[1:] == hashes[:-1]
+                if (rows[1:][same] == rows[:-1][same]).all():
                     break
                 base = (base * 6364136223846793005 + 1442695040888963407) % (1 << 64) | 1
-            order = np.argsort(hashes)
-            self.by_length.append((length, base, hashes[order], rows[order], [owners[i] for i in order]))
+            # One row a window, and where its owners begin; an owner once.
+            new = np.append(True, ~same)
+            keep = new | np.append(True, owners[1:] != owners[:-1])
+            first = np.flatnonzero(new[keep])
+            self.by_length.append((length, base, hashes[new], rows[new], np.append(first, keep.sum()), owners[keep]))
 
-    @staticmethod
-    def _one(row: np.ndarray, base: int) -> int:
-        total = 0
-        for x in row.tolist():
-            total = (total * base + x) % (1 << 64)
-        return total
+    def owners(self, at: int, window: int) -> list[int]:
+        """Places of the items that hold a window."""
+        _, _, _, _, first, owners = self.by_length[at]
+        return owners[first[window] : first[window + 1]].tolist()
 
     def search(self, words: list[bytes]) -> list[tuple[int, int, int, int]]:
         """Hits as (start, length, index of the length, window); unknown words part the windows."""
         get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
+        ids = np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         hits = []
-        for at, (length, base, hashes, rows, _) in enumerate(self.by_length):
+        for at, (length, base, hashes, rows, _, _) in enumerate(self.by_length):
             if len(ids) < length:
                 continue
             starts = np.flatnonzero(unknown[length:] == unknown[:-length])
             if not len(starts):
                 continue
-            wanted = rolled(ids, length, base)[starts]
+            wanted = rolled(np.lib.stride_tricks.sliding_window_view(ids, length).T, length, base)[starts]
             place = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
             sure = hashes[place] == wanted
             starts, place = starts[sure], place[sure]
@@ -150,12 +154,12 @@ def scan_block(docs: DataFrame, block: Broadcast) -> DataFrame:
                     words.append(b" ")  # no word: parts the documents
                     starts.append(len(words))
                 own: list[list[tuple[int, int]]] = [[] for _ in texts]
-                items: list[set[int]] = [set() for _ in texts]
+                items: list[set[int | None]] = [set() for _ in texts]
                 hits = windows.search(words)
                 places = np.searchsorted(starts, [h[0] for h in hits], side="right") - 1
                 for (start, length, at, window), k in zip(hits, places.tolist()):
                     own[k].append((start - starts[k], length))
-                    items[k].update(windows.item_ids[i] for i in windows.by_length[at][4][window])
+                    items[k].update(windows.item_ids[i] for i in windows.owners(at, window))
                 if not first:
                     for k, (ranges, names) in enumerate(
                         zip(rows.column("__hits").to_pylist(), rows.column("__items").to_pylist())
@@ -171,7 +175,7 @@ def scan_block(docs: DataFrame, block: Broadcast) -> DataFrame:
                             [[{"start": a, "end": b} for a, b in covered(x)] for x in own],
                             pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
                         ),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                        pa.array([sorted(x, key=lambda i: (i is not None, i)) for x in items], pa.list_(pa.int64())),
                     ],
                     [*base.schema.names, "__n_words", "__hits", "__items"],
                 )
@@ -180,33 +184,32 @@ def scan_block(docs: DataFrame, block: Broadcast) -> DataFrame:
     return docs.mapInArrow(scan, ", ".join([*kept, "`__n_words` bigint", f"`__hits` {HITS}", "`__items` array<bigint>"]))
 
 
-def blocks(benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> list[Broadcast]:
-    """Broadcast windows of the benchmark, cut by the ids' hashes so that each block is bounded.
-
-    Items without an id cannot be named and are numbered -1.
-    """
+def blocks(benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> tuple[int, Callable[[int], Broadcast]]:
+    """How many blocks the benchmark is cut into by the items' hashes, and what makes and broadcasts one of them."""
     context = benchmark.sparkSession.sparkContext
     sized = benchmark.select(
-        F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text")
+        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     ).where(F.length("text") > 0)
     total = sized.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     count = max(1, -(-total // max_block_bytes))
-    if count == 1:
-        parts = [sized]
-    else:
-        of = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-        parts = [sized.where(of == k) for k in range(count)]
-    return [
-        context.broadcast(Windows(sorted((r["item_id"], r["text"].encode()) for r in part.collect()))) for part in parts
-    ]
+
+    def block(k: int) -> Broadcast:
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()
+        items = [(r["item_id"], r["text"].encode()) for r in rows]
+        return context.broadcast(Windows(sorted(items, key=lambda x: (x[0] is not None, x))))
+
+    return count, block
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``__n_words``, ``__hits`` (word ranges) and ``__items`` (ids of items found)."""
     docs = plain_columns(docs)
-    for block in blocks(benchmark, max_block_bytes):
-        docs = scan_block(docs, block)
-    return docs
+    count, block = blocks(benchmark, max_block_bytes)
+    for k in range(count - 1):
+        own = block(k)
+        docs = written(scan_block(docs, own))
+        own.destroy()
+    return scan_block(docs, block(count - 1))
 
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -220,17 +223,12 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
     return (b"".join([*out, data[at:]])).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """``docs`` with the benchmark's passages cut out of the texts; what is left without words goes.
+def cleaned(found: DataFrame, block: Broadcast | None) -> DataFrame:
+    """Texts of a scan with the words of ``__hits`` cut out; what is left without words goes.
 
-    A cut can bring words together that form another window, so a cut text is searched again until
-    no window is left.
+    With the one block of the benchmark, each text is searched again until no window is left.
     """
-    docs = plain_columns(docs)
-    found = blocks(benchmark, max_block_bytes)
-    for block in found:
-        docs = scan_block(docs, block)
-    columns = [c for c in docs.columns if not c.startswith("__")]
+    columns = [c for c in found.columns if not c.startswith("__")]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +242,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_block_bytes: int =
                     while ranges:
                         values[k] = cut(values[k], ranges)
                         words = words_in(values[k].encode())
-                        ranges = covered([h[:2] for block in found for h in block.value.search(words)])
+                        ranges = covered([h[:2] for h in block.value.search(words)]) if block else []
                     if not words:
                         values[k] = None
                 texts = pa.array(values, texts.type)
@@ -255,11 +253,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_block_bytes: int =
             )
             yield out.filter(pa.array(~gone))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    cleaned = docs.mapInArrow(clean, schema)
-    if "n_chars" in columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned
+    return found.mapInArrow(clean, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in columns))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """``docs`` with the benchmark's passages cut out of the texts; what is left without words goes.
+
+    A cut can bring words together that form another window, so a cut text is searched again until
+    no window is left.
+    """
+    docs = plain_columns(docs)
+    count, block = blocks(benchmark, max_block_bytes)
+    if count == 1:
+        own = block(0)
+        done = cleaned(scan_block(docs, own), own)
+    else:
+        done, left = None, docs
+        while done is None or not left.isEmpty():
+            found = written(scan(left, benchmark, max_block_bytes))
+            clean = found.where(F.size("__hits") == 0).select(*docs.columns)
+            done = clean if done is None else done.unionByName(clean)
+            left = written(cleaned(found.where(F.size("__hits") > 0), None))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

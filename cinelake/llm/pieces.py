@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 A text is escaped as SentencePiece does (a space becomes U+2581, one stands before the text) and cut
-into the pieces whose scores add up to the most.  The search runs over the text once and keeps the
-boundaries since the last commit: a boundary further back than the longest piece can start no more
-pieces, so whenever the backpointers of all younger ones meet at one boundary, the ids up to it are
-final and leave the window.  Where no piece holds U+2581 after another character, a word's start is
-such a boundary for certain; the words between are then searched once and remembered.
+into the pieces whose scores add up to the most.  The search runs over the text once.  Scores are kept for
+the boundaries within the longest piece; the backpointers of the boundaries since the last commit are a
+tree, of which dead ends are taken off, and as soon as all of it hangs on one boundary the ids up to there
+are final and leave the window.  Where no piece holds U+2581 after another character, every path meets at
+the start of a word, so the search begins anew there, and what it found for a word is remembered.
+
+The pieces are those of the public model of 32,000 pieces.  Its scores were made for merges: the ids here are
+the exact best sum of scores, not the merges' order, and the public encoder's own ids differ from them.
+Normalisation is the model's: it names the identity, keeps all white space, and puts one space first.
 
 Characters without a piece of their own are written as byte pieces, and so is U+2581 itself, so
 decoding gives every text back.  A control character that is in no longer piece parts words, too.
 
-Defined results: null gives null ids and null text; the empty text gives no ids; equal scores take the
-longer last piece; ids out of range raise an error; columns whose names begin with two underscores are left
-out by the encoder.
+Defined results: null gives null ids and null text; the empty text gives no ids; very long texts are searched
+whole (memory grows with the stretch on which paths do not meet, a word of the longest piece's length or so in
+practice); equal scores take the longer last piece; repeated rows are encoded each; ids out of range raise an
+error; columns of ``docs`` that bear the name of the new column are renamed; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,94 +68,77 @@ class Pieces:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
-    def _relax(self, text: str, at: int, base: int, score: list[float], step: list) -> None:
-        """Extends the boundary ``at`` by every piece that starts there."""
-        known, own = self.known, score[at - base]
-        for end in range(at + 1, len(text) + 1):
-            found = known.get(text[at:end])
-            if found is None:
-                break
-            if found and own + found[0] > score[end - base]:
-                score[end - base] = own + found[0]
-                step[end - base] = (end - at, found[1])
-        if step[at + 1 - base] is None:
-            ids = tuple(self.byte_ids[b] for b in text[at].encode())
-            score[at + 1 - base] = own + self.worst
-            step[at + 1 - base] = (1, ids)
-
-    def short(self, text: str) -> list[int]:
-        """The same ids for a text no longer than the window, committed at its end."""
+    def search(self, text: str) -> Iterator[int]:
+        """Ids of the best pieces of an escaped text, yielded as soon as all paths that may still win agree on them.
+
+        The backpointers make a tree under the last committed boundary.  A boundary behind the one at hand can
+        start no more pieces, so without children it goes, and its parent's count falls; a committed boundary with
+        one child is left by every path.  Each boundary joins and leaves the tree once, so a character costs the
+        pieces that start at it, however far back the paths meet.
+        """
         get, size = self.known.get, len(text)
-        score = [0.0] + [-np.inf] * size
-        step: list = [(0, ())] + [None] * size
+        offset = first = 0  # of the lists, and the last committed boundary
+        score, step = [0.0], [(0, ())]  # best sum, and (length, ids) of the piece that ends at a boundary; None: not reached
+        children, child = [0], [0]  # how many boundaries go back to one, and the sum of their places
+
+        def drop(place: int, end: int) -> None:
+            """``end`` no longer goes back to ``place``."""
+            while True:
+                children[place - offset] -= 1
+                child[place - offset] -= end
+                if children[place - offset] or place >= at or place == first:
+                    return
+                place, end = place - step[place - offset][0], place
+
         for at in range(size):
-            own = score[at]
+            own = score[at - offset]
             for end in range(at + 1, size + 1):
                 found = get(text[at:end])
-                if found is None:
+                last = found is None
+                if not found:
+                    if last and end > at + 1:
+                        break
+                    if end > at + 1:
+                        continue
+                    found = self.worst, tuple(self.byte_ids[b] for b in text[at].encode())
+                k = end - offset
+                while k >= len(score):
+                    score.append(-np.inf)
+                    step.append(None)
+                    children.append(0)
+                    child.append(0)
+                if own + found[0] > score[k]:
+                    if step[k] is not None:
+                        drop(end - step[k][0], end)
+                    score[k] = own + found[0]
+                    step[k] = (end - at, found[1])
+                    children[at - offset] += 1
+                    child[at - offset] += end
+                if last:
                     break
-                if found and own + found[0] > score[end]:
-                    score[end] = own + found[0]
-                    step[end] = (end - at, found[1])
-            if step[at + 1] is None:
-                score[at + 1] = own + self.worst
-                step[at + 1] = (1, tuple(self.byte_ids[b] for b in text[at].encode()))
-        out: list[int] = []
-        while size:
-            length, ids = step[size]
-            out += ids if len(ids) == 1 else reversed(ids)
-            size -= length
-        out.reverse()
-        return out
-
-    def search(self, text: str) -> Iterator[int]:
-        """Ids of the best pieces of an escaped text, yielded as they become final."""
-        first = 0  # the last committed boundary
-        score = [0.0]  # of the boundaries from it on
-        step: list = [(0, ())]  # length and ids of the piece that ends there; None: not reached yet
-        for at in range(len(text)):
-            last = min(at + self.longest, len(text))
-            grown = last + 1 - first - len(score)
-            score += [-np.inf] * grown
-            step += [None] * grown
-            self._relax(text, at, first, score, step)
-            if at + 1 == len(text):
-                yield from self._ids(step, at + 1 - first)
-            elif len(score) > 3 * self.longest:
-                meet = self._meet(step, at + 1 - first)
-                if meet:
-                    yield from self._ids(step, meet)
-                    del score[:meet], step[:meet]
-                    first += meet
-                    step[0] = (0, ())
-
-    @staticmethod
-    def _meet(step: list, youngest: int) -> int:
-        """The last boundary on the paths of all boundaries from ``youngest`` on that are reached."""
-        paths = None
-        for at in range(youngest, len(step)):
-            if step[at] is None:
-                continue
-            path = {at}
-            while at:
-                at -= step[at][0]
-                path.add(at)
-            paths = path if paths is None else paths & path
-        return max(paths)
-
-    @staticmethod
-    def _ids(step: list, at: int) -> list[int]:
+            if not children[at - offset] and at > first:
+                drop(at - step[at - offset][0], at)
+            while first <= at and children[first - offset] == 1:
+                first = child[first - offset]
+                yield from step[first - offset][1]
+            if first - offset > 4 * self.longest:
+                for x in (score, step, children, child):
+                    del x[: first - offset]
+                offset = first
+        # The end has one path.
         out: list[tuple[int, ...]] = []
-        while at:
-            out.append(step[at][1])
-            at -= step[at][0]
-        return [i for ids in reversed(out) for i in ids]
+        while size > first:
+            length, ids = step[size - offset]
+            out.append(ids)
+            size -= length
+        for ids in reversed(out):
+            yield from ids
 
     def _word(self, word: str) -> bytes:
+        """The search's ids of a word: its start is a boundary of every path, so they depend on the word alone."""
         ids = self.memo.get(word)
         if ids is None:
-            found = self.short(word) if len(word) <= 2 * self.longest else list(self.search(word))
-            ids = np.array(found, np.int32).tobytes()
+            ids = np.fromiter(self.search(word), np.int32).tobytes()
             if len(word) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO_WORDS:
                     self.memo.clear()

@@ -11,7 +11,7 @@ The index is restricted to the trigrams that the rules mention, so it holds a fe
 each, and rows without an id meet by null-safe comparison.
 
 Defined results: a null or empty text has no spans; an empty table gives an empty result; columns
-of ``docs`` whose names begin with two underscores are left out.
+of ``docs`` whose names begin with two underscores are renamed.
 """
 
 from __future__ import annotations

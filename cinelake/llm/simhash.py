@@ -8,8 +8,8 @@ fingerprints agree on the whole mask.  Every pair within the radius therefore me
 Inside the buckets nothing is paired off.  Equal fingerprints are merged first.  A bucket of two is
 compared directly; in a larger one every member is compared with the smallest, and components of
 these stars are formed.  Only buckets that then still hold several components are searched further:
-in blocks of bounded size, comparing members of different components and returning one link for each
-pair of components.  So the links that are left out join what is joined already.
+in blocks of bounded size, comparing members of different components and returning a spanning forest of the
+components in sight: fewer links than components.  So the links that are left out join what is joined already.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked
 like any other; a text of fewer words than a shingle is one shingle; rows without an id are
@@ -98,7 +98,8 @@ def crossing(members: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the labels of a bucket's members that are near, by pairs of blocks.
 
     ``members``: (t, k, fp, label, n).  A bucket's members are dealt into blocks by hash; each pair of
-    blocks is a task of its own with two blocks of rows at most, and returns a pair of labels once.
+    blocks is a task of its own with two blocks of rows at most, and returns only links that join labels which
+    its links before do not join.
     """
     count = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), count).cast("int")
@@ -113,14 +114,19 @@ def crossing(members: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy().view(np.uint64)
         label = rows["label"].to_numpy()
-        found: set[tuple[int, int]] = set()
+        names, own = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))  # the least label that each is joined to so far
+        found: list[tuple[int, int]] = []
         for k in range(0, len(fp), 256):
             close = np.bitwise_count(fp[k : k + 256, None] ^ fp[None, :]) <= radius
-            close &= label[k : k + 256, None] < label[None, :]
+            close &= root[own[k : k + 256, None]] < root[own[None, :]]
             i, j = np.nonzero(close)
-            if len(i):
-                found.update(map(tuple, np.unique(np.stack([label[i + k], label[j]], 1), axis=0).tolist()))
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+            for a, b in np.unique(np.stack([own[i + k], own[j]], 1), axis=0).tolist() if len(i) else ():
+                least, other = sorted((root[a], root[b]))
+                if least != other:
+                    root[root == other] = least
+                    found.append((names[a], names[b]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("t", "k", "x", "y").applyInPandas(compare, "a long, b long")
 

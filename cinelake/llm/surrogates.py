@@ -17,7 +17,7 @@ reserved for documentation): a free value always exists.
 
 Defined results: null and empty texts stay as they are; rows without an id are replaced too (they are
 one document where values drawn again are looked up); repeated rows get equal surrogates; columns whose
-names begin with two underscores are left out.
+names begin with two underscores are renamed.
 """
 
 from __future__ import annotations

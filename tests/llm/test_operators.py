@@ -615,7 +615,7 @@ def test_clashing_names_and_no_rows(spark, clashing, none, model):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     plain = [c for c in clashing.columns if not c.startswith("__")]
     for frame, n in ((clashing, len(ROWS)), (none, 0)):
-        names = [c for c in frame.columns if not c.startswith("__")]
+        names = [f"in{c}" if c.startswith("__") else c for c in frame.columns]
         assert quality_rules.quality_rules(frame, labels).select(*names).count() == n
         assert decontaminate.scan(frame, items).select(*names).count() == n
         assert secret_scan.scan(frame).select(*names).count() == n
