@@ -8,7 +8,7 @@ runs on the executors.
 Defined results: a null or empty text has no words and fails the base rules; a document without
 n-grams scores 0; repeated rows are judged alike; an empty corpus gives an empty result; without
 trusted documents every ratio is 0, so the base rules decide alone; columns of ``docs`` whose names begin
-with two underscores are left out.
+with two underscores are renamed.
 """
 
 from __future__ import annotations

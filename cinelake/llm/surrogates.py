@@ -2,22 +2,30 @@
 
 A detected value is replaced by a value of its own format under a keyed cipher: letters and digits are
 enciphered among the letters and digits of their class (digits, vowels and consonants of three scripts;
-all other letters and marks within their Unicode script, category and case), separators stay, case is put back, and what a type checks (an octet of an address, the check digit of a
-card) holds after as before.  Given names are replaced within the list of their gender and script, by another one.
-Each word of a name is replaced by itself, under its gender, so that it is the same in all names.  A
-cipher is a bijection, so different values of a format stay different and equal ones stay equal, in
-every document and task, without a table of values.
+all other letters and marks within their Unicode script, category and case), separators stay, case is put back, and
+what a type checks (an octet of an address, the check digit of a card, the check digits of an account number) holds
+after as before.  Given names are replaced within the list of their gender and script, by another one; titles stay.
+
+Mentions of one value corefer: a number is enciphered by its digits alone, whatever parts them, an account number
+without its blanks, a mailbox in small letters, and each word of a name by itself, in small letters and whatever its
+title, so that "Mrs Anna Smith", "Anna Smith" and "DR SMITH" share their words.  A cipher is a bijection, so
+different values of a format stay different and equal ones stay equal, in every document and task, without a table
+of values.
 
 Collisions are checked all the same, over the distinct values of the whole corpus: a surrogate may be
 another value of the corpus, or meet one that was drawn again.  Such values are drawn again under the
-next tweak until none is left; only they travel to their documents in a join.  A format may have too few
+next tweak until none is left; only they travel to their texts in a join.  A format may have too few
 free values, so mailboxes and words of names grow by a letter with every draw after the first, and the
 other kinds by digits after ``NARROW_DRAWS`` draws (an address then becomes one of the range that is
 reserved for documentation): a free value always exists.
 
-Defined results: null and empty texts stay as they are; rows without an id are replaced too (they are
-one document where values drawn again are looked up); repeated rows get equal surrogates; columns whose
-names begin with two underscores are renamed.
+Names are found behind a title (in title case or capitals), or as a listed given name before a capitalised word;
+other names are not found.
+
+Defined results: null and empty texts stay as they are; very long texts are searched whole; an empty table gives no
+rows; rows without an id are replaced like any other; repeated rows get equal surrogates; of values whose surrogates
+tie, the one of the earlier draw, then the smaller, keeps it; columns whose names begin with two underscores are
+renamed.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ import re
 import sys
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import count, zip_longest
 
@@ -37,8 +45,8 @@ from pyspark.sql import functions as F
 
 from cinelake.llm.common import plain_columns, table, written
 
-#: The key of tests and of the query; users give their own.
-KEY = b"a key for tests only"
+#: The key of the query over test data; ``replace`` has no key of its own.
+TEST_KEY = b"a key for tests only"
 ROUNDS = 8
 #: Draws within the format of a kind of fixed width, before the format is widened.
 NARROW_DRAWS = 16
@@ -50,10 +58,7 @@ NAMES = {
     ("cyrillic", "female"): "Анна Мария Елена Ольга Ирина Наталья Татьяна Юлия Дарья Вера".split(),
     ("cyrillic", "male"): "Иван Пётр Сергей Андрей Михаил Николай Павел Дмитрий Олег Юрий".split(),
 }
-TITLES = {
-    "female": "Mrs Ms Miss Mme Frau Sra Señora Madame Г-жа".split(),
-    "male": "Mr M Herr Sr Señor Monsieur Г-н".split(),
-}
+TITLES = "Mrs Ms Miss Mme Frau Sra Señora Madame Г-жа Mr M Herr Sr Señor Monsieur Г-н Dr Prof".split()
 VOWELS = {"latin": "aeiou", "cyrillic": "аеёиоуыэюя", "greek": "αεηιουω"}
 CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзйклмнпрстфхцчшщъь", "greek": "βγδζθκλμνξπρστφχψ"}
 
@@ -61,17 +66,30 @@ CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзйкл
 MARKS = "\u200c\u200d" + "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c) in ("Mn", "Mc"))
 LETTER = rf"(?:[^\W\d_]|[{MARKS}])"
 
+def any_of(words: Iterable[str]) -> str:
+    """A regex of some words, longer ones first."""
+    return "(?:" + "|".join(sorted(words, key=lambda t: (-len(t), t))) + ")"
+
+
+#: Titles, titles in capitals, listed given names in either form, a capitalised word and a word in capitals, as regexes.
+TITLE, LOUD_TITLE = any_of(TITLES), any_of(t.upper() for t in TITLES if len(t) > 1)
+GIVEN = any_of(f(n) for names in NAMES.values() for n in names for f in (str, str.upper))
+CAPITAL = rf"[^\W\d_a-zа-яё]{LETTER}+"
+LOUD = r"[^\W\d_a-zà-öø-ÿа-яёα-ω]{2,}"
+
 KINDS = ("email", "iban", "ssn", "card", "ip", "phone", "name")
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<=SSN )\d{9}(?!\w)|(?<=SSN: )\d{9}(?!\w))"
     r"|(?P<card>(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w))"
-    rf"|(?P<name>(?<!\w)(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? [^\W\d_]{LETTER}*(?:[ -][^\W\d_a-zа-яё]{LETTER}+)?)"
+    rf"|(?P<name>(?<!\w)(?:(?:{TITLE}\.? )+[^\W\d_]{LETTER}*(?:[ -]{CAPITAL}){{0,2}}"
+    rf"|(?:{LOUD_TITLE}\.? )+{LOUD}(?:[ -]{LOUD}){{0,2}}|{GIVEN}(?:[ -]{CAPITAL}){{1,2}})(?!{LETTER}))"
 )
-HINT = re.compile(rf"[0-9@]|(?<!\w)(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? ")
+HINT = re.compile(rf"[0-9@]|(?<!\w)(?:(?:{TITLE}|{LOUD_TITLE})\.? |{GIVEN}[ -])")
+TITLED = re.compile(rf"(?:(?:{TITLE}|{LOUD_TITLE})\.? )*")
 
 
 def script_of(letter: str) -> str:
@@ -150,41 +168,36 @@ def luhn(digits: list[int]) -> int:
     return sum(doubled) % 10
 
 
-def refilled(text: str, digits: list[int]) -> str:
-    it = iter(digits)
-    return "".join(str(next(it)) if c.isdigit() else c for c in text)
-
-
-def listed(gender: str, token: str) -> tuple[str, str] | None:
+def listed(token: str) -> tuple[str, str] | None:
     """The list of given names that holds a word of a name."""
-    return next((k for k, names in NAMES.items() if k[1] == gender and token in names), None)
+    return next((k for k, names in NAMES.items() if token.capitalize() in names), None)
 
 
-def name_token(gender: str, token: str, key: bytes, draw: int) -> str:
+def name_token(token: str, key: bytes, draw: int) -> str:
     """The replacement of a word of a name; no given name of a list comes from a word outside it."""
-    own = listed(gender, token)
+    own = listed(token)
     if own:
         names = NAMES[own]
-        return names[(names.index(token) + 1 + stream(key, own) % (len(names) - 1)) % len(names)]
-    tweak = (gender, draw)
-    out = enciphered(widened(token, draw), key, "name", *tweak)
+        new = names[(names.index(token.capitalize()) + 1 + stream(key, own) % (len(names) - 1)) % len(names)]
+        return new.lower() if token.islower() else new
+    out = enciphered(widened(token, draw), key, "name", draw)
     for _ in range(8):
-        if not listed(gender, out):
+        if not listed(out):
             break
-        out = enciphered(out, key, "name", *tweak)
+        out = enciphered(out, key, "name", draw)
     return out
 
 
 def mentions(value: str) -> list[tuple[str, str]]:
-    """The parts of a name with its title: (text, "") of what stays, (gender and word, "token") of what is replaced."""
-    title, _, name = value.partition(" ")
-    gender = next(g for g, titles in TITLES.items() if title.rstrip(".") in titles)
-    parts = re.split(r"([ -])", name)
-    return [(f"{title} ", ""), *((p, "") if i % 2 else (f"{gender} {p}", "token") for i, p in enumerate(parts) if p)]
+    """The parts of a name with its titles: (text, "") of what stays, (word, "token") of what is replaced."""
+    title = TITLED.match(value)[0]
+    parts = re.split(r"([ -])", value[len(title) :])
+    return [(title, ""), *((p, "") if i % 2 else (p, "token") for i, p in enumerate(parts) if p)]
 
 
-def replaced(part: tuple[str, str], key: bytes, draw: int) -> str:
-    return surrogate("token", part[0], key, draw).partition(" ")[2]
+def residue(iban: str) -> int:
+    """What an account number leaves modulo 97; 1 if it is valid."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
 def widened(text: str, draw: int) -> str:
@@ -194,7 +207,13 @@ def widened(text: str, draw: int) -> str:
 
 
 def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
-    """The replacement of a value under the ``draw``-th tweak."""
+    """The replacement of a mention under the ``draw``-th tweak."""
+    parts = mentions(value) if kind == "name" else [(value, kind)]
+    return "".join(formatted(k, v, ciphered(k, normal(k, v), key, draw)) if k else v for v, k in parts)
+
+
+def ciphered(kind: str, value: str, key: bytes, draw: int) -> str:
+    """The replacement of a value in its normal form."""
     tweak = (kind, draw)
     wide = max(0, draw - NARROW_DRAWS + 1)
     if wide and kind == "ip":
@@ -208,7 +227,7 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
         body = permuted(digits[:-1], [10] * (len(digits) - 1), key, len(digits), *tweak)
         # The last digit keeps the remainder of the check sum, so valid numbers stay valid.
         last = (luhn(digits) - luhn([*body, 0])) % 10
-        return refilled(value, [*body, last])
+        return "".join(map(str, [*body, last]))
     if kind == "ip":
         octets = permuted([int(x) for x in value.split(".")], [256] * 4, key, *tweak)
         return ".".join(map(str, octets))
@@ -224,18 +243,26 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
             return enciphered(f"{widened(local, draw)}@{host}", key, rest.lower(), *tweak) + dot + rest
         return enciphered(widened(local, draw), key, domain.lower(), *tweak) + "@" + domain
     if kind == "iban":
-        return value[:2] + enciphered(value[2:], key, value[:2], *tweak)
-    if kind == "name":
-        return "".join(replaced(x, key, draw) if x[1] == "token" else x[0] for x in mentions(value))
+        new = enciphered(value[4:], key, value[:2], *tweak)
+        # Check digits that leave the remainder as it was, from 02 to 98.
+        check = (residue(value) - residue(f"{value[:2]}00{new}")) % 97
+        return f"{value[:2]}{check + 97 * (check < 2):02d}{new}"
     if kind == "token":
-        gender, _, token = value.partition(" ")
-        return f"{gender} {name_token(gender, token, key, draw)}"
+        return name_token(value, key, draw)
     return enciphered(value, key, *tweak)
 
 
 def normal(kind: str, value: str) -> str:
-    """What makes two mentions the same value."""
-    return value.lower() if kind == "email" else unicodedata.normalize("NFC", value) if kind == "name" else value
+    """What makes two mentions the same value: without separators and case."""
+    if kind in ("email", "token"):
+        return unicodedata.normalize("NFC", value).lower()
+    if kind in ("card", "ssn"):
+        return "".join(c for c in value if c.isdigit())
+    if kind == "phone":
+        head = re.match(r"\+\d{1,3}(?=\D)", value)
+        digits = "".join(c for c in value[head.end() if head else 0 :] if c.isdigit())
+        return f"{head[0]} {digits}" if head else digits
+    return value.replace(" ", "") if kind == "iban" else value
 
 
 def recased(value: str, new: str) -> str:
@@ -244,10 +271,25 @@ def recased(value: str, new: str) -> str:
     return "@".join("".join(b.upper() if a.isupper() else b for a, b in zip_longest(x, y, fillvalue="")) for x, y in sides)
 
 
+def formatted(kind: str, value: str, new: str) -> str:
+    """A surrogate of the normal form, in the form of the mention: case and separators put back, and the rest at the end."""
+    if kind == "email":
+        return recased(value, new)
+    if kind == "token":
+        if len(value) > 1 and value.isupper():
+            return new.upper()
+        return "".join(b.upper() if a.isupper() and cased(b) else b for a, b in zip_longest(value, new, fillvalue=""))
+    if kind not in ("card", "ssn", "phone", "iban"):
+        return new
+    it = iter(new.replace(" ", "").replace("+", ""))
+    return "".join(next(it) if c.isalnum() else c for c in value) + "".join(it)
+
+
 def checked(kind: str, value: str) -> list[tuple[str, str]]:
-    """(kind, value) of what a mention is looked up by: itself, or the words of a name."""
-    value = normal(kind, value)
-    return [(k, v) for v, k in mentions(value) if k] if kind == "name" else [(kind, value)]
+    """(kind, normal form) of what a mention is looked up by: itself, or the words of a name."""
+    if kind == "name":
+        return [(k, normal(k, v)) for v, k in mentions(value) if k]
+    return [(kind, normal(kind, value))]
 
 
 def found(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -260,24 +302,22 @@ def found(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 
 def values(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, value): the distinct values of each document; the words of names are of kind ``token``."""
+    """(tie, kind, value): the distinct values of each text, by its hash; the words of names are of kind ``token``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 rows = set()
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for tie, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if text:
-                        rows |= {(doc_id, *x) for _, _, kind, value in found(text) for x in checked(kind, value)}
+                        rows |= {(tie, *x) for _, _, kind, value in found(text) for x in checked(kind, value)}
                 columns = list(zip(*rows)) or [(), (), ()]
                 kinds = (pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "kind", "value"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["tie", "kind", "value"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, kind string, value string")
+    text = F.col("text").cast("string")
+    return docs.select(F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "tie long, kind string, value string")
 
 
 def drawn(entities: DataFrame, key: bytes) -> DataFrame:
@@ -286,7 +326,7 @@ def drawn(entities: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            out = [surrogate(k, v, key, d) for k, v, d in zip(rows["kind"], rows["value"], rows["draw"])]
+            out = [ciphered(k, v, key, d) for k, v, d in zip(rows["kind"], rows["value"], rows["draw"])]
             names = ["kind", "value", "draw", "surrogate"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names)
 
@@ -295,7 +335,7 @@ def drawn(entities: DataFrame, key: bytes) -> DataFrame:
     )
 
 
-def redrawn(seen: DataFrame, key: bytes = KEY) -> DataFrame | None:
+def redrawn(seen: DataFrame, key: bytes) -> DataFrame | None:
     """(kind, value, draw) of the values whose first surrogate collides, with the draw that does not.
 
     A surrogate must be no value of the corpus of its kind, its own value included (listed given names are
@@ -304,7 +344,7 @@ def redrawn(seen: DataFrame, key: bytes = KEY) -> DataFrame | None:
     originals = written(seen.select("kind", "value").distinct())
     current = written(drawn(originals.withColumn("draw", F.lit(0)), key))
     moved = False
-    given = [f"{gender} {name}" for (_, gender), names in NAMES.items() for name in names]
+    given = [name.lower() for names in NAMES.values() for name in names]
     for draw in count(1):
         real = originals.where((F.col("kind") != "token") | ~F.col("value").isin(given)).select("kind", F.col("value").alias("surrogate"))
         taken = current.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value")
@@ -329,7 +369,7 @@ def redrawn(seen: DataFrame, key: bytes = KEY) -> DataFrame | None:
         )
 
 
-def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in the texts, and ``__found`` (kind, and start and end in the old text)."""
     docs = plain_columns(docs)
     seen = written(values(docs))
@@ -338,15 +378,15 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     if moved is not None:
         of = (
             seen.join(moved, ["kind", "value"])
-            .groupBy("doc_id")
+            .groupBy("tie")
             .agg(F.collect_set(F.struct("kind", "value", "draw")).alias("__draws"))
-            .withColumnRenamed("doc_id", "__id")
+            .withColumnRenamed("tie", "__tie")
         )
-        source = docs.join(of, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+        source = docs.join(of, F.xxhash64(F.col("text").cast("string")) == F.col("__tie"), "left").drop("__tie")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = lru_cache(100_000)(lambda kind, value, draw: surrogate(kind, value, key, draw))
+        cached = lru_cache(100_000)(lambda kind, value, draw: ciphered(kind, value, key, draw))
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -354,22 +394,17 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 texts, spans = [], []
                 for text, draws in zip(part.column("text").to_pylist(), part.column("__draws").to_pylist()):
                     draw = {(x["kind"], x["value"]): x["draw"] for x in draws or ()}
-                    out, at, own = [], 0, []
+                    out, at, spans_of = [], 0, []
                     for start, end, kind, value in found(text) if text else ():
-                        if kind == "name":
-                            new = "".join(
-                                cached(k, v, draw.get((k, v), 0)).partition(" ")[2] if k else v
-                                for v, k in mentions(normal(kind, value))
-                            )
-                        else:
-                            new = cached(kind, normal(kind, value), draw.get((kind, normal(kind, value)), 0))
-                        if kind == "email":
-                            new = recased(value, new)
+                        new = ""
+                        for word, what in mentions(value) if kind == "name" else [(value, kind)]:
+                            own = normal(what, word)
+                            new += formatted(what, word, cached(what, own, draw.get((what, own), 0))) if what else word
                         out += [text[at:start], new]
                         at = end
-                        own.append({"kind": kind, "start": start, "end": end})
-                    texts.append("".join([*out, text[at:]]) if own else text)
-                    spans.append(own)
+                        spans_of.append({"kind": kind, "start": start, "end": end})
+                    texts.append("".join([*out, text[at:]]) if spans_of else text)
+                    spans.append(spans_of)
                 columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(span))], [*names, "__found"])
 
@@ -378,7 +413,7 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    replaced = replace(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
 
     def of(kind: str):
         return F.size(F.filter("__found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

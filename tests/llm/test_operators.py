@@ -543,7 +543,7 @@ def test_label_accuracies_are_found():
 
 
 def test_surrogates(docs):
-    got = {r["doc_id"]: r for r in surrogates.replace(docs).collect()}
+    got = {r["doc_id"]: r for r in surrogates.replace(docs, b"k").collect()}
     assert len(got) == len({r[0] for r in ROWS})
     seen = {}
     for r in ROWS:
@@ -574,7 +574,7 @@ def test_surrogates_are_bijective_and_drawn_again(spark):
 
 def test_surrogates_of_names_in_any_script(spark):
     people = ["Mr 王小明", "Mrs שרה כהן", "Mr محمد", "Ms 김민지", "Mr राम", "Mr José Ñúñez", "Mr Jose\u0301", "Г-н Ёжий Юрьев", "Mme Zoé Straße", "Mrs 王"]
-    got = surrogates.replace(spark.createDataFrame(list(enumerate(people)), "doc_id long, text string")).collect()
+    got = surrogates.replace(spark.createDataFrame(list(enumerate(people)), "doc_id long, text string"), b"k").collect()
     for r in got:
         before, after = (x.split()[1:] for x in (people[r["doc_id"]], r["text"]))
         assert len(before) == len(after) and all(a != b for a, b in zip(before, after))
@@ -601,7 +601,7 @@ def test_surrogates_of_crowded_formats(spark):
     vowels = [f"{c}@x.com" for c in "aeiou"]
     names = [f"Mr {a.upper()}{b}" for a in "aeiou" for b in "aeiou"]
     rows = list(enumerate([*digits, *vowels, *names, "A@X.com"]))
-    texts = [r["text"] for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    texts = [r["text"] for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), b"k").orderBy("doc_id").collect()]
     assert len({t.lower() for t in texts}) == 40 and texts[10].lower() == texts[-1].lower()
     assert not {t.lower() for t in texts} & {r[1].lower() for r in rows}
     assert all(t.endswith("@X.com") and t[0].isupper() for t in texts[-1:])
@@ -610,6 +610,41 @@ def test_surrogates_of_crowded_formats(spark):
         assert len(wide[-1]) > len(wide[0]) and len(set(wide)) == len(wide)
 
 
+def test_surrogates_corefer_in_any_form(spark):
+    rows = [
+        "+1 555 123 4567 or +1-555-123-4567 or +1 (555) 1234567",
+        "4111 1111 1111 1111 or 4111-1111-1111-1111 or 4111111111111111",
+        "GB29 NWBK 6016 1331 9268 19 or GB29NWBK60161331926819",
+        "123-45-6789 or SSN 123456789",
+        "Mrs Anna Smith or Anna Smith or DR ANNA SMITH or Prof. Smith or Dr. Anna or Frau Smith",
+        "Ann.Lee@Mail.example.com or ann.lee@mail.example.com",
+        None,
+    ]
+    frame = spark.createDataFrame([(None, t, k) for k, t in enumerate(rows)] * 2, "doc_id long, text string, k int")
+    got = {(r["k"], r["text"]) for r in surrogates.replace(frame, b"k").collect()}
+    assert len(got) == len(rows) and (6, None) in got
+    texts = dict(got)
+    for k, old in enumerate(rows[:-1]):
+        new = texts[k]
+        before, after = old.split(" or "), new.split(" or ")
+        if "@" in old or old[0] in "+4G1":
+            plain = {re.sub(r"\W|SSN", "", x).lower() for x in after}
+            assert len(plain) == 1 and plain != {re.sub(r"\W|SSN", "", x).lower() for x in before}
+            assert [re.sub(r"\w", "", x) for x in after] == [re.sub(r"\w", "", x) for x in before]
+        else:
+            given, family = after[0].split()[1:]
+            assert given in surrogates.NAMES["latin", "female"] and (given, family) != ("Anna", "Smith")
+            assert after[1:] == [f"{given} {family}", f"DR {given} {family}".upper(), f"Prof. {family}", f"Dr. {given}", f"Frau {family}"]
+    for value in ("GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00"):
+        for k in range(20):
+            assert surrogates.residue(surrogates.surrogate("iban", value, b"%d" % k).replace(" ", "")) == surrogates.residue(value.replace(" ", "")) == 1
+
+
+def test_surrogates_leave_other_words(spark):
+    for text in ("MS Office and Dr. no", "Paris is in May", "The Anna of old", "Dr", "version 1.2.3", "Rosa parks"):
+        assert not [x for x in surrogates.found(text) if x[3] not in ("Dr. no",)], text
+
+
 def test_clashing_names_and_no_rows(spark, clashing, none, model):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -622,7 +657,7 @@ def test_clashing_names_and_no_rows(spark, clashing, none, model):
         assert secret_scan.redact(frame).columns == names
         assert sharding.external_shuffle(frame, 3).select(*names).count() == n
         assert pieces.encode(frame, model).select(*names).count() == n
-        assert surrogates.replace(frame).select(*names).count() == n
+        assert surrogates.replace(frame, b"k").select(*names).count() == n
         assert simhash.near_duplicates(frame).count() == n
         assert suffix_tree.score_texts(frame).count() == n
         assert weak_labels.classify(frame)[0].count() == n
