@@ -78,61 +78,70 @@ class Pieces:
         """
         get, size = self.known.get, len(text)
         offset = first = 0  # of the lists, and the last committed boundary
-        score, step = [0.0], [(0, ())]  # best sum, and (length, ids) of the piece that ends at a boundary; None: not reached
-        children, child = [0], [0]  # how many boundaries go back to one, and the sum of their places
-
-        def drop(place: int, end: int) -> None:
-            """``end`` no longer goes back to ``place``."""
-            while True:
-                children[place - offset] -= 1
-                child[place - offset] -= end
-                if children[place - offset] or place >= at or place == first:
-                    return
-                place, end = place - step[place - offset][0], place
-
+        room = min(size, 4 * self.longest) + 1
+        # Best sum, and length and ids of the piece that ends at a boundary; length 0: not reached yet.
+        score, length, ids = [-np.inf] * room, [0] * room, [()] * room
+        children, child = [0] * room, [0] * room  # how many boundaries go back to one, and the sum of their places
+        score[0] = 0.0
         for at in range(size):
-            own = score[at - offset]
+            here = at - offset
+            own = score[here]
             for end in range(at + 1, size + 1):
                 found = get(text[at:end])
-                last = found is None
                 if not found:
-                    if last and end > at + 1:
-                        break
                     if end > at + 1:
+                        if found is None:
+                            break
                         continue
                     found = self.worst, tuple(self.byte_ids[b] for b in text[at].encode())
+                    alone = end == size or get(text[at : end + 1]) is None
+                else:
+                    alone = False
                 k = end - offset
-                while k >= len(score):
-                    score.append(-np.inf)
-                    step.append(None)
-                    children.append(0)
-                    child.append(0)
-                if own + found[0] > score[k]:
-                    if step[k] is not None:
-                        drop(end - step[k][0], end)
-                    score[k] = own + found[0]
-                    step[k] = (end - at, found[1])
-                    children[at - offset] += 1
-                    child[at - offset] += end
-                if last:
+                if k >= len(score):
+                    more = self.longest
+                    score += [-np.inf] * more
+                    for x in (length, children, child):
+                        x += [0] * more
+                    ids += [()] * more
+                total = own + found[0]
+                if total > score[k]:
+                    place = k - length[k]
+                    score[k], length[k], ids[k] = total, end - at, found[1]
+                    if place < k:  # it no longer goes back there
+                        children[place] -= 1
+                        child[place] -= end
+                        if not children[place]:
+                            self._dead(place, here, first - offset, offset, length, children, child)
+                    children[here] += 1
+                    child[here] += end
+                if alone:
                     break
-            if not children[at - offset] and at > first:
-                drop(at - step[at - offset][0], at)
+            if not children[here]:
+                self._dead(here, here + 1, first - offset, offset, length, children, child)
             while first <= at and children[first - offset] == 1:
                 first = child[first - offset]
-                yield from step[first - offset][1]
+                yield from ids[first - offset]
             if first - offset > 4 * self.longest:
-                for x in (score, step, children, child):
+                for x in (score, length, ids, children, child):
                     del x[: first - offset]
                 offset = first
         # The end has one path.
         out: list[tuple[int, ...]] = []
         while size > first:
-            length, ids = step[size - offset]
-            out.append(ids)
-            size -= length
-        for ids in reversed(out):
-            yield from ids
+            out.append(ids[size - offset])
+            size -= length[size - offset]
+        for x in reversed(out):
+            yield from x
+
+    @staticmethod
+    def _dead(place: int, young: int, root: int, offset: int, length: list, children: list, child: list) -> None:
+        """Takes boundaries without children, older than ``young``, off the tree, from ``place`` on back to the root."""
+        while place < young and place != root and not children[place]:
+            parent = place - length[place]
+            children[parent] -= 1
+            child[parent] -= place + offset
+            place = parent
 
     def _word(self, word: str) -> bytes:
         """The search's ids of a word: its start is a boundary of every path, so they depend on the word alone."""
