@@ -48,14 +48,51 @@ def gcd(a: Column, b: Column) -> Column:
     )
 
 
+#: Largest denominator of a rate that is given as a decimal.
+MAX_DENOMINATOR = 100_000
+
+
+def nearest_fraction(x: Column, limit: int = MAX_DENOMINATOR) -> Column:
+    """The fraction nearest to a positive decimal of nine places at most, as struct(num, den), den <= ``limit``.
+
+    Continued fraction in whole numbers: convergents until the denominator passes the limit, then the better of the
+    last convergent and the last mediant before the limit.
+    """
+    scale = 1_000_000_000
+    long = lambda c: c.cast("long")
+    names = ("p0", "q0", "p1", "q1", "n", "d")
+    pack = lambda *values: F.struct(*(long(v).alias(k) for k, v in zip(names, values)))
+    start = pack(F.lit(0), F.lit(1), F.lit(1), F.lit(0), x.cast("decimal(38,9)") * scale, F.lit(scale))
+
+    def step(s: Column, _: Column) -> Column:
+        whole = F.floor(F.try_divide(s["n"].cast("decimal(38,0)"), s["d"]))
+        more = (s["d"] > 0) & (s["q0"] + whole * s["q1"] <= limit)
+        grown = pack(
+            s["p1"], s["q1"], s["p0"] + whole * s["p1"], s["q0"] + whole * s["q1"], s["d"], s["n"] - whole * s["d"]
+        )
+        return F.when(more, grown).otherwise(s)
+
+    def best(s: Column) -> Column:
+        k = F.floor((limit - s["q0"]) / F.greatest(s["q1"], F.lit(1)))
+        p, q = s["p0"] + k * s["p1"], s["q0"] + k * s["q1"]
+        far = lambda a, b: F.abs(F.try_divide(a, b) - x.cast("double"))
+        last = (s["d"] == 0) | (far(s["p1"], s["q1"]) <= far(p, q))
+        return F.struct(
+            F.when(last, s["p1"]).otherwise(long(p)).alias("num"), F.when(last, s["q1"]).otherwise(long(q)).alias("den")
+        )
+
+    return F.when(x > 0, F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, step, best))
+
+
 def rational(text: Column) -> Column:
-    """"n/d" or a whole number as a reduced struct(num, den); null for anything else, zero parts included."""
+    """"n/d", a whole number or a decimal as a reduced struct(num, den); null for anything else, zero parts included."""
     parts = F.split(F.trim(text), "/")
-    num = F.expr("1") * F.get(parts, 0).try_cast("long")
+    num = F.get(parts, 0).try_cast("long")
     den = F.when(F.size(parts) == 1, F.lit(1).cast("long")).otherwise(F.get(parts, 1).try_cast("long"))
     sure = (F.size(parts) <= 2) & (num > 0) & (den > 0)
     divisor = gcd(num, den)
-    return F.when(
+    decimal = F.when((F.size(parts) == 1) & F.get(parts, 0).contains("."), F.get(parts, 0).try_cast("decimal(38,9)"))
+    return F.when(decimal.isNotNull(), nearest_fraction(decimal)).when(
         sure, F.struct((num / divisor).cast("long").alias("num"), (den / divisor).cast("long").alias("den"))
     )
 

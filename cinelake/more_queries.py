@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelake.functions import scalar as fn
-from cinelake.operators import timeline
+from cinelake.operators import jobs, media, timeline
 from cinelake.queries import STREAM, query, stream, table
 
 
@@ -247,3 +247,107 @@ def a15_groups(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     near = e.groupBy("event_type").agg((F.abs(F.approx_count_distinct("event_id", 0.02) - F.countDistinct("event_id")) <= 0.1 * F.countDistinct("event_id") + 1).alias("approx"))
     return e.groupBy("event_type", "user_id").agg(F.count("*").alias("n")).join(near, "event_type").select("event_type", "user_id", "n", "approx")
+
+
+@query("""SELECT o_orderkey AS id, cents // gcd(cents, 100) AS num, 100 // gcd(cents, 100) AS den
+FROM (SELECT o_orderkey, (1000 + o_orderkey * 37 % 9000)::BIGINT AS cents FROM orders)""")
+def f01_decimal_rates(spark: SparkSession, d: str) -> DataFrame:
+    """rates given as decimals, as fractions."""
+    cents = (1000 + F.col("o_orderkey") * 37 % 9000).cast("long")
+    rate = fn.rational((cents / F.lit(100)).cast("decimal(10,2)").cast("string"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), rate.num.alias("num"), rate.den.alias("den"))
+
+
+BASE_SETTINGS = """'{"encoder":{"codec":"hevc","rc":{"mode":"crf","value":' || (k % 30) || '}},"audio":{"copy":true},"name":"n' || k || '"}'"""
+OVER_SETTINGS = """CASE k % 3 WHEN 0 THEN '{"encoder":{"rc":{"value":' || (k % 7) || '}}}' WHEN 1 THEN '{"encoder":{"rc":"off","args":[1,2]},"name":"new"}' ELSE '{"audio":{"copy":false,"lang":{"first":"en"}}}' END"""
+
+
+@query(f"""SELECT k AS id, m->>'$.encoder.codec' AS codec, m->>'$.encoder.rc.mode' AS mode, m->>'$.encoder.rc.value' AS value,
+  m->>'$.encoder.args[1]' AS arg, m->>'$.audio.copy' AS copy, m->>'$.audio.lang.first' AS lang, m->>'$.name' AS name
+FROM (SELECT k, json_merge_patch({BASE_SETTINGS}, {OVER_SETTINGS}) AS m FROM (SELECT c_custkey AS k FROM customer))""")
+def u07_deep_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Overrides merged at every depth, lists replaced whole."""
+    keyed = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).select("k", F.expr(BASE_SETTINGS).alias("a"), F.expr(OVER_SETTINGS).alias("b"))
+    paths = {"codec": "encoder.codec", "mode": "encoder.rc.mode", "value": "encoder.rc.value", "arg": "encoder.args[1]", "copy": "audio.copy", "lang": "audio.lang.first", "name": "name"}
+    merged = keyed.select(F.col("k").alias("id"), jobs.deep_merged("a", "b").alias("m"))
+    return merged.select("id", *(F.get_json_object("m", f"$.{path}").alias(name) for name, path in paths.items()))
+
+
+@query("""WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS file_id, l_orderkey % 3 AS ea, l_partkey % 3 AS ga, l_orderkey % 4 AS ec, l_suppkey % 4 AS gc,
+  1920 AS ew, 1920 - l_partkey % 5 AS gw, CASE l_orderkey % 4 WHEN 0 THEN 'smpte2084' WHEN 1 THEN 'arib-std-b67' WHEN 2 THEN '' ELSE 'bt709' END AS et,
+  CASE l_suppkey % 4 WHEN 0 THEN 'SMPTE2084' WHEN 1 THEN 'arib-std-b67' WHEN 2 THEN '' ELSE 'bt709' END AS gt, l_orderkey % 3 AS ead, l_suppkey % 3 AS gad,
+  l_partkey % 2 AS esd, l_linenumber % 2 AS gsd, l_linenumber % 2 = 0 AS mkv, l_orderkey % 5 <> 0 AS cc, l_orderkey % 7 <> 0 AS ca, l_partkey % 2 = 0 AS pres,
+  l_suppkey % 3 <> 0 AS hdr, l_orderkey % 2 = 0 AS rt FROM lineitem)
+SELECT file_id, 'attachments_lost' AS code, 'failure' AS severity, ea::VARCHAR AS expected, ga::VARCHAR AS got FROM p WHERE ca AND mkv AND ea > 0 AND ga <> ea
+UNION ALL SELECT file_id, 'chapters_lost', 'failure', ec::VARCHAR, gc::VARCHAR FROM p WHERE cc AND ec > 0 AND gc <> ec
+UNION ALL SELECT file_id, 'video_resolution_drift', 'failure', ew::VARCHAR, gw::VARCHAR FROM p WHERE pres AND abs(ew - gw) > 2
+UNION ALL SELECT file_id, 'hdr_transfer_residual', 'failure', 'bt709 (or unspecified)', lower(gt) FROM p WHERE hdr AND rt AND lower(gt) IN ('smpte2084', 'arib-std-b67')
+UNION ALL SELECT file_id, 'hdr_transfer_lost', 'failure', et, lower(gt) FROM p WHERE hdr AND NOT rt AND et <> '' AND gt <> '' AND et <> lower(gt)
+UNION ALL SELECT file_id, 'audio_streams_default_lost', CASE WHEN gad = 0 THEN 'failure' ELSE 'note' END, ead::VARCHAR, gad::VARCHAR FROM p WHERE gad < ead
+UNION ALL SELECT file_id, 'subtitle_streams_default_lost', 'failure', esd::VARCHAR, gsd::VARCHAR FROM p WHERE gsd < esd""")
+def d12_report(spark: SparkSession, d: str) -> DataFrame:
+    """Losses of attachments, chapters, size, transfer and default flags, with their severity."""
+    o, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    transfer = lambda k, first: F.element_at(F.array(*map(F.lit, (first, "arib-std-b67", "", "bt709"))), (k % 4 + 1).cast("int"))
+    pairs = table(spark, d, "lineitem").select(
+        (o * 10 + n).alias("file_id"), (o % 3).alias("e_attachments"), (p % 3).alias("g_attachments"), (o % 4).alias("e_chapters"), (s % 4).alias("g_chapters"),
+        F.lit(1920).alias("e_width"), (1920 - p % 5).alias("g_width"), transfer(o, "smpte2084").alias("e_transfer"), transfer(s, "SMPTE2084").alias("g_transfer"),
+        (o % 3).alias("e_audio_default"), (s % 3).alias("g_audio_default"), (p % 2).alias("e_subtitle_default"), (n % 2).alias("g_subtitle_default"),
+        F.when(n % 2 == 0, "mkv").otherwise("mp4").alias("container"), (o % 5 != 0).alias("copy_chapters"), (o % 7 != 0).alias("copy_attachments"),
+        (p % 2 == 0).alias("preserve"), (s % 3 != 0).alias("hdr"), (o % 2 == 0).alias("roundtripped"),
+    )
+    return media.validation_report(pairs)
+
+
+@query("SELECT l_orderkey AS job_id, l_linenumber AS stage FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def s13_deleted_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Cached stages that stay when jobs are deleted."""
+    every = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    cache = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("stage"))
+    return jobs.deleted(every, cache, every.where("o_orderstatus = 'F'"))[1]
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def j10_running(spark: SparkSession, d: str) -> DataFrame:
+    """Those of some jobs that run."""
+    every = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("state"))
+    return jobs.running_of(every, table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id"))).select("id")
+
+
+@query("""SELECT event_id, coalesce(nullif(trim(m, ' '), ''), nullif(trim(x->>'$.ffmpeg_line', ' '), '')) AS text
+FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ' ' || event_type || ' ' WHEN 1 THEN '  ' END AS m,
+  CASE WHEN event_id % 2 = 0 THEN '{"ffmpeg_line": " frame ' || event_id || '"}' ELSE '{"other": 1}' END AS x FROM events)""")
+def f34_event_text(spark: SparkSession, d: str) -> DataFrame:
+    """what an event says: its message, else the tool's line."""
+    n = F.col("event_id")
+    message = F.when(n % 3 == 0, F.concat(F.lit(" "), "event_type", F.lit(" "))).when(n % 3 == 1, "  ")
+    extra = F.when(n % 2 == 0, F.concat(F.lit('{"ffmpeg_line": " frame '), n.cast("string"), F.lit('"}'))).otherwise('{"other": 1}')
+    return table(spark, d, "events").select("event_id", jobs.event_text(message, extra).alias("text"))
+
+
+@query(f"WITH {STREAM} SELECT source_id, n, n - 1 AS k FROM s WHERE n >= 2 AND n < 7")
+def w05_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """The first two frames of each source dropped, five kept and renumbered."""
+    return timeline.trimmed(stream(spark, d).select("source_id", "n"), 2, 5).select("source_id", "n", F.col("k").cast("long").alias("k"))
+
+
+@query("""SELECT o_custkey AS source_id, o_orderkey AS batch, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 3 END AS plan_id FROM orders""")
+def j13_stored_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Stored plans whose start and end agree to six decimals."""
+    at = F.col("o_orderkey") / 7.0
+    batches = table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("batch"), at.alias("start"), (at + 1).alias("end"))
+    off = F.when(F.col("batch") % 2 == 0, 2e-8).otherwise(1e-3)
+    stored = batches.select("source_id", (F.col("batch") * 3).alias("plan_id"), (F.round("start", 6) + off).alias("start"), (F.round("end", 6) + off).alias("end"))
+    return timeline.stored_plans(batches, stored).select("source_id", "batch", "plan_id")
+
+
+@query("""SELECT s_suppkey, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd, nth_value(s_suppkey, 2) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second,
+  count(*) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS near FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)""")
+def rel_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """percent_rank, cume_dist, nth_value and a RANGE frame (Spark's own)."""
+    w = W.partitionBy("s_nationkey").orderBy("s_suppkey")
+    whole, near = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), w.rangeBetween(-10, 10)
+    return table(spark, d, "supplier").select(
+        "s_suppkey", F.percent_rank().over(w).alias("pr"), F.cume_dist().over(w).alias("cd"),
+        F.nth_value("s_suppkey", 2).over(whole).alias("second"), F.count("*").over(near).alias("near"),
+    )

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def next_queued(jobs: DataFrame, policy: str = "fifo", state: str = "queued") -> DataFrame:
@@ -77,6 +81,46 @@ def merged_json(base: Column, overrides: Column) -> Column:
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.coalesce(F.try_element_at(b, k), F.try_element_at(a, k)))))
 
 
+@F.pandas_udf(StringType())
+def deep_merged(base: pd.Series, overrides: pd.Series) -> pd.Series:
+    """Settings (JSON texts) with overrides merged at every depth, keys in order; lists and leaves are replaced.
+
+    A text that is null or no map counts as no settings.
+    """
+
+    def loaded(text: str | None) -> dict:
+        try:
+            found = json.loads(text or "{}")
+        except ValueError:
+            return {}
+        return found if isinstance(found, dict) else {}
+
+    def merged(a: dict, b: dict) -> dict:
+        both = {k: merged(a[k], b[k]) for k in a.keys() & b.keys() if isinstance(a[k], dict) and isinstance(b[k], dict)}
+        return a | b | both
+
+    return pd.Series([json.dumps(merged(loaded(a), loaded(b)), sort_keys=True) for a, b in zip(base, overrides)], dtype=object)
+
+
+def deleted(jobs: DataFrame, cache: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs and their cached stages without the jobs of ``gone`` (id): the cascade is an anti join of its own."""
+    return (
+        jobs.join(gone.select("id"), "id", "left_anti"),
+        cache.join(gone.select(F.col("id").alias("job_id")), "job_id", "left_anti"),
+    )
+
+
+def running_of(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The running ones of some jobs."""
+    return jobs.where(F.col("state") == "running").join(wanted.select("id"), "id", "left_semi")
+
+
+def event_text(message: Column, extra: Column) -> Column:
+    """What an event says: its message, else the tool's line among its extras (a JSON text), trimmed; blank is null."""
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(said(message), said(F.get_json_object(extra, "$.ffmpeg_line")))
+
+
 def performance(results: DataFrame) -> DataFrame:
     """Roll-up of stage results (A02, D17): sums of times and calls, the largest of cumulative counters.
 

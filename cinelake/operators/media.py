@@ -71,6 +71,47 @@ def validation(pairs: DataFrame) -> DataFrame:
     return pairs.select("file_id", F.explode(broken).alias("r")).select("file_id", "r.*")
 
 
+#: Transfers that count as converted to BT.709.
+BT709_TRANSFERS = "", "unknown", "bt709", "smpte170m", "bt470bg", "iec61966-2-1"
+
+
+def validation_report(pairs: DataFrame) -> DataFrame:
+    """(file_id, code, severity, expected, got): what an output lost against its source and plan.
+
+    ``pairs`` holds expected and got values side by side (``e_`` and ``g_``): attachments, chapters, width, transfer,
+    audio_default and subtitle_default; and container, copy_chapters, copy_attachments, preserve (no size was planned),
+    hdr (the source was HDR or 10-bit) and roundtripped (the plan made it 8-bit).  Losing every default flag of a kind
+    is a failure, losing some a note.
+    """
+    c = F.col
+    e_transfer, g_transfer = (F.lower(F.coalesce(c(k), F.lit(""))) for k in ("e_transfer", "g_transfer"))
+
+    def rule(code: str, broken: Column, expected: Column, got: Column, severity: Column | str = "failure") -> Column:
+        level = F.lit(severity) if isinstance(severity, str) else severity
+        values = (F.lit(code), level, expected.cast("string"), got.cast("string"))
+        return F.when(broken, F.struct(*(v.alias(k) for v, k in zip(values, ("code", "severity", "expected", "got")))))
+
+    def count_lost(what: str, wanted: Column) -> Column:
+        e, g = c(f"e_{what}"), c(f"g_{what}")
+        return rule(f"{what}_lost", wanted & (e > 0) & (g != e), e, g)
+
+    def default_lost(kind: str) -> Column:
+        e, g = c(f"e_{kind}_default"), c(f"g_{kind}_default")
+        severity = F.when(g == 0, "failure").otherwise("note")
+        return rule(f"{kind}_streams_default_lost", (e > 0) & (g < e), e, g, severity)
+
+    found = F.array(
+        count_lost("chapters", c("copy_chapters")),
+        count_lost("attachments", c("copy_attachments") & (c("container") == "mkv")),
+        rule("video_resolution_drift", c("preserve") & (F.abs(c("e_width") - c("g_width")) > 2), c("e_width"), c("g_width")),
+        rule("hdr_transfer_residual", c("hdr") & c("roundtripped") & ~g_transfer.isin(*BT709_TRANSFERS), F.lit("bt709 (or unspecified)"), g_transfer),
+        rule("hdr_transfer_lost", c("hdr") & ~c("roundtripped") & (e_transfer != "") & (g_transfer != "") & (e_transfer != g_transfer), e_transfer, g_transfer),
+        default_lost("audio"),
+        default_lost("subtitle"),
+    )
+    return pairs.select("file_id", F.explode(F.filter(found, lambda r: r.isNotNull())).alias("r")).select("file_id", "r.*")
+
+
 def missing_pins(pins: DataFrame, installed: DataFrame) -> DataFrame:
     """Pinned tools to fetch: missing, or of another version."""
     found = pins.join(installed, "tool_id", "left")

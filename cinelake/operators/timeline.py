@@ -242,3 +242,19 @@ def packed(items: DataFrame, limit: int) -> DataFrame:
         return F.struct(pack.alias("pack"), used.alias("used"), F.array_append(s["out"], pack).alias("out"))
 
     return items.select("source_id", F.posexplode(F.aggregate("sizes", state, step, lambda s: s["out"])).alias("item", "pack"))
+
+
+def trimmed(frames: DataFrame, skip: int, keep: int | None = None) -> DataFrame:
+    """Frames (source_id, n) without the first ``skip`` of each source, ``keep`` of the rest at most, renumbered as ``k`` from 1."""
+    k = F.row_number().over(W.partitionBy("source_id").orderBy("n")) - skip
+    out = frames.withColumn("k", k).where(F.col("k") > 0)
+    return out if keep is None else out.where(F.col("k") <= keep)
+
+
+def stored_plans(batches: DataFrame, stored: DataFrame) -> DataFrame:
+    """Batches with the stored plan of their source whose start and end are theirs, to six decimals."""
+    at = lambda c: F.round(F.col(c).cast("double"), 6)
+    keys = ["source_id", "__start", "__end"]
+    left = batches.withColumn("__start", at("start")).withColumn("__end", at("end"))
+    right = stored.select("source_id", "plan_id", at("start").alias("__start"), at("end").alias("__end"))
+    return left.join(right, keys, "left").drop("__start", "__end")

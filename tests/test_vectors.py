@@ -52,7 +52,7 @@ def test_batch_counts(spark):
 
 @pytest.mark.parametrize(
     "text,want",
-    [("24000/1001", (24000, 1001)), ("24/1", (24, 1)), ("48/2", (24, 1)), ("", None), (None, None), ("0/0", None), ("N/A", None), ("garbage", None), ("1/0", None)],
+    [("24000/1001", (24000, 1001)), ("24/1", (24, 1)), ("48/2", (24, 1)), ("", None), (None, None), ("0/0", None), ("N/A", None), ("garbage", None), ("1/0", None), ("23.976", (2997, 125)), ("29.97", (2997, 100)), ("0.333333333", (1, 3)), ("3.141592653", (103993, 33102)), ("59.94005994", (60000, 1001)), ("25.0", (25, 1)), ("0.0", None)],
 )
 def test_rational(spark, text, want):
     got = one(spark, fn.rational(F.lit(text).cast("string")))
@@ -254,3 +254,26 @@ def test_folders(spark, tmp_path):
     assert sources.videos(spark, f"file://{tmp_path}").count() == 1
     (tmp_path / "log.txt").write_text("a\nb\r\nc")
     assert [r["value"] for r in logs.read_lines(spark, f"file://{tmp_path}/log.txt").orderBy("line_no").collect()] == ["a", "b", "c"]
+
+
+def test_deep_settings(spark):
+    from cinelake.operators import jobs
+
+    cases = [
+        ('{"a":{"b":1,"c":[1,2]},"d":1}', '{"a":{"c":[3]},"e":{"f":2}}', '{"a": {"b": 1, "c": [3]}, "d": 1, "e": {"f": 2}}'),
+        ('{"a":1}', '{"a":{"b":null}}', '{"a": {"b": null}}'),
+        (None, '{"a":1}', '{"a": 1}'),
+        ("no json", None, "{}"),
+    ]
+    got = spark.createDataFrame([c[:2] for c in cases], "a string, b string").select(jobs.deep_merged("a", "b").alias("m")).collect()
+    assert [r["m"] for r in got] == [c[2] for c in cases]
+
+
+def test_decimal_rates_agree_with_exact_fractions(spark):
+    from fractions import Fraction
+
+    texts = [f"{k * 7919 % 240}.{k * 104729 % 10**9:09d}" for k in range(1, 200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fn.rational(F.col("t")).alias("r")).collect()
+    for t, r in rows:
+        want = Fraction(t).limit_denominator(fn.MAX_DENOMINATOR)
+        assert (r and (r["num"], r["den"])) == (want and (want.numerator, want.denominator) or None), t
