@@ -54,7 +54,7 @@ BLOCK_BITS = 21
 #: The end of a text, as a word; no word holds a space.
 END_WORD = b" end"
 #: Text bytes that a task handles at a time (one text may be longer), and tokens whose counts it holds.
-SLICE_BYTES, HELD = 2 << 20, 2_500_000
+SLICE_BYTES, HELD = 2 << 20, 2_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
