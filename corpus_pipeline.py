@@ -52,7 +52,7 @@ STAGES = [
     ("pieces", encoded),
 ]
 
-#: The hashes and the search for pieces have no counterpart in SQL; the tests hold run() against plain Python.
+#: The hashes and the search for pieces have no counterpart in SQL; each stage's operator is tested against plain Python.
 ORACLE_SQL = None
 
 
