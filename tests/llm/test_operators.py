@@ -138,6 +138,57 @@ def test_quality_long_texts_sort_their_windows(spark, monkeypatch):
     assert packed == [6, 5, 0, 0] == [r["n"] for r in frame.select(expr()).collect()]
 
 
+def test_quality_windows_of_one_hash(spark, monkeypatch):
+    """Different windows that share a hash, between each other in the order of places, hide no repeat."""
+    from cinelake.llm.common import let, words_of
+
+    texts = [" ".join(random.Random(k).choices("abcd", k=5 * k)) for k in range(1, 30)] + [t for _, t, *_ in ROWS if t]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    expr = lambda: let(words_of(frame["text"]), quality_rules.repeat_words).alias("n")
+    want = []
+    for t in texts:
+        w = words(t)
+        windows = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        want.append(len({j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}))
+    for bits in (62, 60, 21):
+        monkeypatch.setattr(quality_rules, "PLACE_BITS", bits)
+        assert [r["n"] for r in frame.select(expr()).collect()] == want
+
+
+def test_quality_avoided_words(spark):
+    """Words that the trusted documents avoid, against counts in plain Python; documents full of them go."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(5)
+    common = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(120):
+        text = [draw.choice(common) for _ in range(100)]
+        if i % 3 == 0:
+            for k in range(0, 100, 20):
+                text[k] = draw.choice(["vile", "foul"])
+        rows.append((i, " ".join(text)))
+    rows.append((200, " ".join([*common, *common, "vile"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = {i for i, _ in rows if i % 3 == 1}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    vocabulary = sorted({w for _, t in rows for w in words(t)})
+    place = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").withColumn("b", quality_rules.fine_bucket(F.col("w"))).collect()}
+    raw = collections.Counter(place[w] for _, t in rows for w in words(t))
+    target = collections.Counter(place[w] for i, t in rows if i in good for w in words(t))
+    share, more = sum(target.values()) / sum(raw.values()), quality_rules.AVOIDED_PSEUDO
+    low = {b for b in raw if math.log((target[b] + more) / (raw[b] * share + more)) < quality_rules.AVOIDED}
+    bits = quality_rules.avoided(quality_rules.counted(docs, quality_rules.trusted_ids(labels)))
+    assert {64 * k + j for k, x in enumerate(bits) for j in range(64) if x >> j & 1} == low == {place["vile"], place["foul"]}
+    for r in quality_rules.quality_rules(docs, labels).collect():
+        n = sum(place[w] in low for w in words(r["text"]))
+        assert r["__q"]["n_avoided"] == n
+        assert r["__base_failed"] or r["__kept"] == (n < 2 or n <= quality_rules.MAX_AVOIDED_SHARE * r["__q"]["n_words"])
+    top = spark.createDataFrame([(quality_rules.FINE - 1, 900, 0), (63, 900, 0), (5, 100, 100)], "b long, raw long, target long")
+    bits = quality_rules.avoided(top)
+    assert [k for k, x in enumerate(bits) if x] == [0, quality_rules.FINE // 64 - 1] and all(x < 0 for x in (bits[0], bits[-1]))
+
+
 def brute_simhash(text):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not w:
