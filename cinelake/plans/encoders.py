@@ -12,25 +12,38 @@ FALLBACKS = (
     ("h264_qsv", 1, "libx264"), ("hevc_amf", 1, "h264_amf"), ("hevc_amf", 2, "libx265"), ("h264_amf", 1, "libx264"),
     ("av1_d3d12", 1, "av1_vulkan"), ("av1_d3d12", 2, "libsvtav1"), ("libsvtav1", 1, "libx265"), ("libx265", 1, "libx264"),
 )
-#: Longest chain of fallbacks that is followed.
-STEPS = 6
 
 
-def resolved(requests: DataFrame, capable: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
+def longest_chain(edges: DataFrame) -> int:
+    """Steps of the longest chain of fallbacks that comes to no encoder twice: one small job a step."""
+    level = edges.select(F.col("fallback").alias("encoder"), F.array("encoder", "fallback").alias("path"))
+    steps = 0
+    while not level.isEmpty():
+        steps += 1
+        level = (
+            level.join(edges, "encoder")
+            .where(~F.array_contains("path", F.col("fallback")))
+            .select(F.col("fallback").alias("encoder"), F.array_append("path", F.col("fallback")).alias("path"))
+            .distinct()
+        )
+    return steps
+
+
+def resolved(requests: DataFrame, capable: DataFrame, edges: DataFrame) -> DataFrame:
     """The nearest capable encoder along the fallbacks: fewest steps, then the ranks in order.
 
     ``requests``: (host, wanted); ``capable``: (host, encoder); ``edges``: (encoder, rank, fallback).  The graph
-    is small and fixed, so it is joined once a step; hosts are the parallel axis.
+    is small, so it is joined once a step of its longest chain; hosts are the parallel axis.
     """
-    start = requests.select("host", "wanted", F.col("wanted").alias("encoder"), F.array("wanted").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("ranks"))
+    start = requests.select("host", "wanted", F.col("wanted").alias("encoder"), F.array("wanted").alias("path"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("ranks"))
     level, every = start, start
-    for k in range(1, steps + 1):
+    for k in range(1, longest_chain(edges) + 1):
         level = (
             level.join(edges, "encoder")
             .where(~F.array_contains("path", F.col("fallback")))
             .select(
                 "host", "wanted", F.col("fallback").alias("encoder"), F.array_append("path", F.col("fallback")).alias("path"),
-                F.lit(k).alias("depth"), F.concat("ranks", F.col("rank").cast("string")).alias("ranks"),
+                F.lit(k).alias("depth"), F.array_append("ranks", F.col("rank")).alias("ranks"),
             )
         )
         every = every.unionByName(level)

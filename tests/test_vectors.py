@@ -226,6 +226,16 @@ def test_encoders(spark):
     assert resolve(spark, "hevc_nvenc", ["h264_qsv"]) is None
 
 
+def test_long_chains_of_encoders(spark):
+    """Chains of any length are followed to their end, circles are left, and ranks are numbers."""
+    chain = [(f"e{k}", 1, f"e{k + 1}") for k in range(9)] + [("e9", 1, "e0"), ("a", 10, "b"), ("a", 9, "c"), ("a", 1, "a")]
+    edges = frame(spark, chain, "encoder string, rank int, fallback string")
+    wanted = frame(spark, [(1, "e0"), (2, "e3"), (3, "a"), (4, "e1")], "host int, wanted string")
+    can = frame(spark, [(1, "e9"), (2, "e2"), (3, "b"), (3, "c"), (4, "x")], "host int, encoder string")
+    got = {r["host"]: (r["encoder"], r["depth"]) for r in encoders.resolved(wanted, can, edges).collect()}
+    assert got == {1: ("e9", 9), 2: ("e2", 9), 3: ("c", 1), 4: (None, None)}
+
+
 def test_pins(spark):
     pins = frame(spark, [("ffmpeg", "7.1"), ("rife", "4"), ("mkv", "90")], "tool_id string, expected string")
     have = frame(spark, [("ffmpeg", " 7.1.2"), ("rife", "3.9")], "tool_id string, version string")
