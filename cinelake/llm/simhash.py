@@ -14,7 +14,8 @@ components in sight: fewer links than components.  So the links that are left ou
 Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked
 like any other; a text of fewer words than a shingle is one shingle; rows without an id are
 fingerprinted and grouped but never name a group (a group of such rows alone has a null id); repeated
-rows are one group; an empty table gives an empty result.
+rows are one group; an empty table gives an empty result.  A very long text is taken whole, its shingles'
+bits counted a stretch at a time.  Other columns of any name are not looked at.
 """
 
 from __future__ import annotations
@@ -94,6 +95,24 @@ def near(a, b, radius: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
+def spanning_links(fp: np.ndarray, label: np.ndarray, radius: int, rows: int = 256) -> list[tuple[int, int]]:
+    """A spanning forest, by label, of the links between members of different labels that are near."""
+    names, own = np.unique(label, return_inverse=True)
+    root = np.arange(len(names))  # the least label that each is joined to so far
+    found: list[tuple[int, int]] = []
+    for k in range(0, len(fp), rows):
+        close = np.bitwise_count(fp[k : k + rows, None] ^ fp[None, :]) <= radius
+        # Roots change from one stretch of rows to the next, so an order of roots would drop links: only equal ones may go.
+        close &= root[own[k : k + rows, None]] != root[own[None, :]]
+        i, j = np.nonzero(close)
+        for a, b in np.unique(np.stack([own[i + k], own[j]], 1), axis=0).tolist() if len(i) else ():
+            least, other = sorted((root[a], root[b]))
+            if least != other:
+                root[root == other] = least
+                found.append((names[a], names[b]))
+    return found
+
+
 def crossing(members: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the labels of a bucket's members that are near, by pairs of blocks.
 
@@ -112,20 +131,7 @@ def crossing(members: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        fp = rows["fp"].to_numpy().view(np.uint64)
-        label = rows["label"].to_numpy()
-        names, own = np.unique(label, return_inverse=True)
-        root = np.arange(len(names))  # the least label that each is joined to so far
-        found: list[tuple[int, int]] = []
-        for k in range(0, len(fp), 256):
-            close = np.bitwise_count(fp[k : k + 256, None] ^ fp[None, :]) <= radius
-            close &= root[own[k : k + 256, None]] < root[own[None, :]]
-            i, j = np.nonzero(close)
-            for a, b in np.unique(np.stack([own[i + k], own[j]], 1), axis=0).tolist() if len(i) else ():
-                least, other = sorted((root[a], root[b]))
-                if least != other:
-                    root[root == other] = least
-                    found.append((names[a], names[b]))
+        found = spanning_links(rows["fp"].to_numpy().view(np.uint64), rows["label"].to_numpy(), radius)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("t", "k", "x", "y").applyInPandas(compare, "a long, b long")
