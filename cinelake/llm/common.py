@@ -77,10 +77,27 @@ def short_lived(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, computed once and written as a Parquet table in the shared folder; its shuffle files are removed."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df``, computed once and written as a Parquet table in the shared folder, and its path; shuffle files are removed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
     with short_lived(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written as a Parquet table in the shared folder; its shuffle files are removed."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing will read any more, by Hadoop's file system of that path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and all its entries are there and finite."""
+    fine = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    return vector.isNotNull() & F.coalesce(fine, F.lit(False))

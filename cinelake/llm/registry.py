@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cinelake.llm import (
+    centroids,
     decontaminate,
     exact_repeats,
     pieces,
@@ -17,6 +18,8 @@ from cinelake.llm import (
     suffix_tree,
     surrogates,
     weak_labels,
+    whitening,
+    word_repeats,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_repeats": exact_repeats.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_centroids": centroids.query,
+    "op12_word_repeats": word_repeats.query,
+    "op13_whitening": whitening.query,
 }
 
 #: SQL has no XXH64, CRC-32 or search for pieces, and is too slow for the exact repeats of whole tables: those
@@ -37,4 +43,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op7_secret_scan": secret_scan.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_centroids": centroids.SQL,
+    "op12_word_repeats": word_repeats.SQL,
 }
