@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.plans import batching, recommend
+from cinelake.functions import canonical
+from cinelake.plans import batching, paths, recommend
 from cinelake.queries import STREAM, query, stream, table
 
 
@@ -197,3 +198,123 @@ def d08_layouts(spark: SparkSession, d: str) -> DataFrame:
 def d08_auto_batches(spark: SparkSession, d: str) -> DataFrame:
     """The batches of each source's length, with their bytes."""
     return batching.auto_batches(*scratch_sources(spark, d))
+
+
+PLAN_COLUMNS = {
+    "pipeline_order": "CASE WHEN o_orderkey % 2 = 0 THEN 'interpolate_first' ELSE 'upscale_first' END",
+    "num": "CASE o_custkey % 5 WHEN 0 THEN 24000 WHEN 1 THEN 30000 WHEN 2 THEN 25 WHEN 3 THEN 24 END",
+    "den": "CASE WHEN o_custkey % 5 < 2 THEN 1001 ELSE 1 END",
+    "pix_fmt": "CASE o_custkey % 7 WHEN 0 THEN 'yuv420p10le' WHEN 1 THEN 'YUV422P12BE' WHEN 2 THEN 'p010le' WHEN 3 THEN NULL ELSE 'yuv420p' END",
+    "transfer": "CASE o_custkey % 11 WHEN 0 THEN 'smpte2084' WHEN 1 THEN 'ARIB-STD-B67' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE 'bt709' END",
+    "width": "CASE WHEN o_custkey % 2 = 0 THEN 1920 ELSE 1280 END",
+    "height": "CASE WHEN o_custkey % 2 = 0 THEN 1080 ELSE 720 END",
+    "upscale_enabled": "o_totalprice < 150000",
+    "engine": "CASE o_orderkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'anime4kcpp-vs' ELSE 'realesrgan-ncnn-vulkan' END",
+    "hdr_policy": "CASE WHEN o_orderstatus = 'F' THEN 'skip' ELSE 'allow_8bit_roundtrip' END",
+    "interpolate_enabled": "o_orderkey % 3 > 0",
+    "interpolator": "CASE WHEN o_orderkey % 10 > 0 THEN 'rife-ncnn-vulkan' END",
+    "target_fps": "CASE o_orderkey % 6 WHEN 0 THEN 60.0D WHEN 1 THEN 47.5D WHEN 2 THEN 24.0D WHEN 3 THEN 0.0D END",
+    "multiplier": "CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 1 END",
+    "post_enabled": "o_orderpriority < '3'",
+    "deband": "o_custkey % 2 = 0",
+    "deblock": "o_custkey % 3 = 0",
+    "grain": "o_custkey % 4",
+    "target_mode": "CASE o_orderkey % 8 WHEN 0 THEN 'explicit' WHEN 1 THEN 'scale_only' ELSE 'named' END",
+    "target_w": "640",
+    "target_h": "360",
+    "target_named": "CASE o_orderkey % 9 WHEN 0 THEN '720p' WHEN 1 THEN '1080p' WHEN 2 THEN '9p' WHEN 3 THEN '2160p' END",
+    "batches": "CASE WHEN o_totalprice > 280000 THEN 3 ELSE 0 END",
+    "manual": "o_totalprice > 300000",
+    "dedupe_enabled": "o_custkey % 2 = 1",
+}
+D14_SQL = f"""WITH p AS (SELECT o_orderkey AS plan, {", ".join(f"{e.replace('0D', '0::DOUBLE').replace('5D', '5::DOUBLE')} AS {c}" for c, e in PLAN_COLUMNS.items())} FROM orders),
+f AS (SELECT *, coalesce(regexp_matches(lower(pix_fmt), 'p10|p012|p12'), false) AS deep, coalesce(lower(transfer) IN ('smpte2084', 'arib-std-b67'), false) AS hdr,
+  upscale_enabled AND engine <> 'none' AS wants, interpolate_enabled AND coalesce(interpolator = 'rife-ncnn-vulkan', false) AS asks,
+  post_enabled AND (deband OR deblock OR grain > 0) AS post, num::DOUBLE / den AS fps FROM p),
+g AS (SELECT *, CASE WHEN asks THEN target_fps END AS goal, CASE WHEN asks THEN multiplier END AS m, wants AND (deep OR hdr) AND hdr_policy = 'skip' AS skipped,
+  wants AND (deep OR hdr) AND hdr_policy <> 'skip' AS trip FROM f),
+h AS (SELECT *, wants AND NOT skipped AS up, CASE WHEN num IS NULL THEN coalesce(m, 1) WHEN m < 1 THEN 1 WHEN m IS NOT NULL THEN m WHEN goal > 0 THEN greatest(1, round_even(goal / fps, 0)) ELSE 1 END::BIGINT AS times FROM g),
+i AS (SELECT *, asks AND times > 1 AS inter, abs(fps * times - goal) / goal AS drift FROM h),
+j AS MATERIALIZED (SELECT *, up OR inter OR post OR batches > 0 OR manual AS framed,
+  CASE target_mode WHEN 'explicit' THEN target_w WHEN 'scale_only' THEN NULL ELSE CASE target_named WHEN '720p' THEN 1280 WHEN '1080p' THEN 1920 WHEN '2160p' THEN 3840 END END AS tw,
+  CASE target_mode WHEN 'explicit' THEN target_h WHEN 'scale_only' THEN NULL ELSE CASE target_named WHEN '720p' THEN 720 WHEN '1080p' THEN 1080 WHEN '2160p' THEN 2160 END END AS th,
+  CASE WHEN inter THEN times ELSE 1 END AS k FROM i)
+"""
+
+
+def plans(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("plan"), *(F.expr(e).alias(c) for c, e in PLAN_COLUMNS.items()))
+
+
+@query(f"""{D14_SQL} SELECT plan, up AS upscale, inter AS interpolate, post AS postprocess, CASE WHEN framed THEN 'frames' ELSE 'source' END AS encode_input_mode, times AS multiplier,
+  CASE WHEN num > 0 THEN (num * k // gcd(num * k, den))::BIGINT || '/' || (den // gcd(num * k, den))::BIGINT ELSE '' END AS output_fps,
+  CASE WHEN framed AND NOT up AND (tw IS DISTINCT FROM width OR th IS DISTINCT FROM height) THEN tw END AS decode_w,
+  CASE WHEN framed AND NOT up AND (tw IS DISTINCT FROM width OR th IS DISTINCT FROM height) THEN th END AS decode_h,
+  dedupe_enabled AND framed AND (up OR inter) AND engine <> 'anime4kcpp-vs' AS dedupe, CASE WHEN deep OR hdr THEN hdr_policy ELSE 'n/a' END AS hdr_policy,
+  CASE WHEN trip THEN 'yuv420p' END AS target_pix_fmt, CASE WHEN trip THEN 'bt709' ELSE nullif(transfer, '') END AS target_transfer, trip AS roundtripped,
+  array_to_string([x for x in [CASE WHEN skipped THEN {sql_text(paths.SKIPPED)} END, CASE WHEN trip THEN {sql_text(paths.ROUNDTRIP)} END,
+    CASE WHEN num IS NULL AND m IS NOT NULL THEN {sql_text(paths.UNKNOWN_RATE)} WHEN num IS NULL THEN {sql_text(paths.ASSUMED)} WHEN m < 1 THEN 'fps: multiplier ' || m || ' < 1 is invalid; using 1'
+      WHEN m IS NULL AND goal > 0 AND drift > 0.005 THEN 'fps: target ' || goal || 'fps from source ' || printf('%.3f', fps) || 'fps requires non-integer multiplier ' || printf('%.3f', goal / fps)
+        || '; rounded to ' || times || '× → ' || printf('%.3f', fps * times) || 'fps (drift ' || printf('%.2f', drift * 100) || '%)' END] if x IS NOT NULL], '|') AS warnings FROM j""")
+def d14_plans(spark: SparkSession, d: str) -> DataFrame:
+    """What each plan does, its rate, HDR policy, decode size and warnings."""
+    return paths.planned(plans(spark, d)).drop("stages").withColumn("warnings", F.array_join("warnings", "|"))
+
+
+@query(f"""{D14_SQL}, o AS (SELECT plan, framed, CASE WHEN pipeline_order = 'interpolate_first' THEN ['decode', 'interpolate', 'upscale', 'postprocess', 'encode'] ELSE ['decode', 'upscale', 'interpolate', 'postprocess', 'encode'] END AS names,
+  inter, up, post FROM j),
+r AS (SELECT plan, framed, i - 1 AS position, names[i] AS stage, CASE names[i] WHEN 'interpolate' THEN inter WHEN 'upscale' THEN up WHEN 'postprocess' THEN post ELSE true END AS active FROM o, range(1, 6) t(i))
+SELECT plan, position::INT AS position, stage, CASE WHEN stage = 'decode' THEN framed ELSE active END AS active, CASE WHEN stage = 'encode' AND NOT framed THEN 'source'
+  ELSE coalesce(last_value(CASE WHEN active THEN stage END IGNORE NULLS) OVER (PARTITION BY plan ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'source') END AS reads FROM r""")
+def d14_stages(spark: SparkSession, d: str) -> DataFrame:
+    """The stages of each plan, and what each reads."""
+    return paths.stages(paths.planned(plans(spark, d)))
+
+
+LADDER_COLUMNS = {
+    "encoder": "CASE o_orderkey % 6 WHEN 0 THEN 'h264_nvenc' WHEN 1 THEN 'hevc_nvenc' WHEN 2 THEN 'av1_nvenc' WHEN 3 THEN 'hevc_amf' WHEN 4 THEN 'h264_amf' ELSE 'libx265' END",
+    "multipass": "CASE o_custkey % 4 WHEN 0 THEN 'fullres' WHEN 1 THEN 'qres' WHEN 2 THEN 'disabled' END",
+    "temporal_aq": "o_totalprice < 150000",
+    "spatial_aq": "o_orderstatus = 'F'",
+    "b_ref_mode": "CASE WHEN o_custkey % 3 = 0 THEN 'middle' ELSE 'each' END",
+    "bframes": "o_custkey % 4",
+    "bit_depth": "CASE o_custkey % 5 WHEN 0 THEN '8' WHEN 1 THEN '10' ELSE 'auto' END",
+    "ten_bit": "o_orderpriority < '3'",
+}
+
+
+@query(f"""WITH j AS (SELECT o_orderkey AS job, {", ".join(f"{e} AS {c}" for c, e in LADDER_COLUMNS.items())} FROM orders),
+n AS (SELECT * FROM j WHERE encoder LIKE '%nvenc'), w AS (SELECT * FROM n WHERE encoder <> 'h264_nvenc' AND ten_bit),
+a AS (SELECT job, 0 AS k, encoder, multipass, temporal_aq, spatial_aq, b_ref_mode, bframes, bit_depth, NULL AS pix_fmt FROM j
+  UNION ALL SELECT job, 1, encoder, 'qres', temporal_aq, spatial_aq, b_ref_mode, bframes, bit_depth, NULL FROM n WHERE multipass = 'fullres'
+  UNION ALL SELECT job, 2, encoder, 'disabled', temporal_aq, spatial_aq, b_ref_mode, bframes, bit_depth, NULL FROM n WHERE multipass IN ('fullres', 'qres')
+  UNION ALL SELECT job, 3, encoder, 'disabled', false, spatial_aq, b_ref_mode, bframes, bit_depth, NULL FROM n WHERE temporal_aq
+  UNION ALL SELECT job, 4, encoder, 'disabled', false, spatial_aq, b_ref_mode, bframes, bit_depth, 'yuv420p' FROM w
+  UNION ALL SELECT job, 5, encoder, multipass, temporal_aq, spatial_aq, b_ref_mode, bframes, '8', NULL FROM j WHERE encoder = 'hevc_amf' AND (bit_depth = '10' OR bit_depth = 'auto' AND ten_bit)),
+u AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY job, multipass, temporal_aq, spatial_aq, b_ref_mode, bframes, bit_depth, pix_fmt ORDER BY k) = 1)
+SELECT job, (row_number() OVER (PARTITION BY job ORDER BY k) - 1)::INT AS attempt, encoder, multipass, temporal_aq, spatial_aq, b_ref_mode, bframes, bit_depth, pix_fmt FROM u""")
+def u06_relaxed(spark: SparkSession, d: str) -> DataFrame:
+    """The attempts of each job's encoder, from the preset's to the most careful, equal ones once."""
+    return paths.relaxed(table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), *(F.expr(e).alias(c) for c, e in LADDER_COLUMNS.items())))
+
+
+@query("""SELECT l_orderkey AS job_id, l_linenumber AS stage, '{"params":{"a":[' || l_linenumber || ',{"x":null,"y":"\\u00e9"}],"scale":' || l_suppkey % 4 || ',"tta":' || CASE WHEN l_partkey % 2 = 0 THEN 'true' ELSE 'false' END
+  || '},"source":"' || l_orderkey || '","stage":"' || l_linenumber || '","tools":{"ffmpeg":"' || l_suppkey % 2 || '","rife":"4"}}' AS canonical, true AS same_key, l_partkey % 2 = 0 AS hit FROM lineitem""")
+def d16_built_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are built from source, stage, tools and settings, against those of stored results."""
+    c, text = F.col, lambda x: x.cast("string")
+    scale, tta = text(c("l_suppkey") % 4), F.when(c("l_partkey") % 2 == 0, "true").otherwise("false")
+    own = F.concat(F.lit('{"tta": '), tta, F.lit(', "scale": '), scale, F.lit(', "a": ['), text(c("l_linenumber")), F.lit(', {"y": "é", "x": null}]}'))
+    other = F.concat(F.lit('{"a":['), text(c("l_linenumber")), F.lit(',{"x":null,"y":"\\u00e9"}],"scale":'), scale, F.lit(',\n"tta":'), tta, F.lit("}"))
+    stored = F.regexp_replace(other, "false", "true")
+    tools = F.create_map(F.lit("rife"), F.lit("4"), F.lit("ffmpeg"), text(c("l_suppkey") % 2))
+    turned = F.create_map(F.lit("ffmpeg"), text(c("l_suppkey") % 2), F.lit("rife"), F.lit("4"))
+    key = lambda tools, params: canonical.cache_key(text(c("l_orderkey")), text(c("l_linenumber")), tools, params)
+    payload = F.concat(F.lit('{"stage":"'), text(c("l_linenumber")), F.lit('","tools":'), F.to_json(tools), F.lit(',"source":"'), text(c("l_orderkey")), F.lit('","params":'), own, F.lit("}"))
+    keyed = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", canonical.canonical_json(payload).alias("canonical"), canonical.hash_json(payload).alias("whole"),
+        key(tools, own).alias("a"), key(turned, other).alias("b"), key(turned, stored).alias("stored"),
+    )
+    return keyed.select(
+        c("l_orderkey").alias("job_id"), c("l_linenumber").alias("stage"), "canonical", ((c("a") == c("b")) & (c("a") == c("whole"))).alias("same_key"), (c("a") == c("stored")).alias("hit")
+    )

@@ -170,3 +170,94 @@ def test_all_lengths_against_a_scan(spark, seed):
         for chunk in range(low, high + 1, 7):
             want = plain(duration, chunk, own, fps)
             assert got[k, chunk] == (len(want), max(n for *_, n in want)), (k, chunk)
+
+
+PLAN = "plan long, pipeline_order string, num int, den int, pix_fmt string, transfer string, width int, height int, upscale_enabled boolean, engine string, hdr_policy string, interpolate_enabled boolean, interpolator string, target_fps double, multiplier int, post_enabled boolean, deband boolean, deblock boolean, grain int, target_mode string, target_w int, target_h int, target_named string, batches int, manual boolean, dedupe_enabled boolean"
+QUIET = {"pipeline_order": "interpolate_first", "num": 24, "den": 1, "pix_fmt": "yuv420p", "transfer": None, "width": 1280, "height": 720, "upscale_enabled": False, "engine": "realesrgan-ncnn-vulkan", "hdr_policy": "skip", "interpolate_enabled": False, "interpolator": "rife-ncnn-vulkan", "target_fps": None, "multiplier": None, "post_enabled": False, "deband": False, "deblock": False, "grain": 0, "target_mode": "scale_only", "target_w": None, "target_h": None, "target_named": None, "batches": 0, "manual": False, "dedupe_enabled": False}
+HDR10 = {"pix_fmt": "yuv420p10le", "transfer": "smpte2084", "upscale_enabled": True}
+PLANS = [
+    {},
+    {"manual": True},
+    {"upscale_enabled": True},
+    {"post_enabled": True, "deband": True},
+    {"post_enabled": True},
+    HDR10,
+    HDR10 | {"hdr_policy": "allow_8bit_roundtrip"},
+    HDR10 | {"transfer": None},
+    {"num": 24000, "den": 1001, "interpolate_enabled": True, "multiplier": 2},
+    {"interpolate_enabled": True, "multiplier": 1},
+    {"interpolate_enabled": True, "target_fps": 60.0},
+    {"upscale_enabled": True, "interpolate_enabled": True, "multiplier": 2, "post_enabled": True, "grain": 1},
+    {"upscale_enabled": True, "interpolate_enabled": True, "multiplier": 2, "pipeline_order": "upscale_first", "dedupe_enabled": True},
+    {"num": None, "interpolate_enabled": True, "multiplier": 2},
+    {"batches": 4, "target_mode": "named", "target_named": "1080p"},
+]
+
+
+def test_path_plans(spark):
+    from cinelake.plans import paths
+
+    frame = spark.createDataFrame([(k, *(QUIET | p).values()) for k, p in enumerate(PLANS)], PLAN)
+    planned = paths.planned(frame)
+    got = {r["plan"]: r for r in planned.collect()}
+    assert [got[k]["encode_input_mode"] for k in range(len(PLANS))] == ["source", "frames", "frames", "frames", "source", "source", "frames", "source", "frames", "source", "frames", "frames", "frames", "frames", "frames"]
+    assert [got[k]["upscale"] for k in (2, 5, 6, 7)] == [True, False, True, False]
+    assert got[5]["warnings"] == [paths.SKIPPED] == got[7]["warnings"] and got[6]["warnings"] == [paths.ROUNDTRIP]
+    assert (got[6]["target_pix_fmt"], got[6]["target_transfer"], got[6]["roundtripped"]) == ("yuv420p", "bt709", True)
+    assert (got[5]["target_transfer"], got[5]["hdr_policy"], got[0]["hdr_policy"]) == ("smpte2084", "skip", "n/a")
+    assert (got[8]["output_fps"], got[8]["multiplier"], got[0]["output_fps"]) == ("48000/1001", 2, "24/1")
+    assert not got[9]["interpolate"] and got[9]["output_fps"] == "24/1"
+    assert got[10]["multiplier"] == 2 and "rounded to 2× → 48.000fps (drift 20.00%)" in got[10]["warnings"][0]
+    assert got[12]["dedupe"] and not got[11]["dedupe"]
+    assert got[13]["output_fps"] == "" and got[13]["interpolate"] and got[13]["warnings"] == [paths.UNKNOWN_RATE]
+    assert (got[14]["decode_w"], got[14]["decode_h"]) == (1920, 1080)
+    reads = {(r["plan"], r["stage"]): (r["active"], r["reads"]) for r in paths.stages(planned).collect()}
+    assert reads[0, "decode"] == (False, "source") and reads[0, "encode"] == (True, "source")
+    assert [reads[11, s][1] for s in ("interpolate", "upscale", "postprocess", "encode")] == ["decode", "interpolate", "upscale", "postprocess"]
+    assert [reads[12, s] for s in ("upscale", "interpolate", "encode")] == [(True, "decode"), (True, "upscale"), (True, "interpolate")]
+    assert reads[2, "interpolate"] == (False, "decode") and reads[2, "encode"] == (True, "upscale") and reads[3, "encode"] == (True, "postprocess")
+
+
+def test_relaxed_attempts(spark):
+    from cinelake.plans import paths
+
+    jobs = [
+        (0, "hevc_nvenc", "fullres", True, True, "middle", 3, "auto", True),
+        (1, "h264_nvenc", "disabled", True, True, "middle", 3, "auto", True),
+        (2, "hevc_nvenc", "disabled", False, True, "middle", 3, "auto", False),
+        (3, "hevc_amf", None, None, None, None, None, "auto", True),
+        (4, "h264_amf", None, None, None, None, None, "10", True),
+        (5, "libx265", "fullres", True, True, None, 0, "auto", True),
+    ]
+    frame = spark.createDataFrame(jobs, "job long, encoder string, multipass string, temporal_aq boolean, spatial_aq boolean, b_ref_mode string, bframes int, bit_depth string, ten_bit boolean")
+    got = {}
+    for r in sorted(paths.relaxed(frame).collect(), key=lambda r: (r["job"], r["attempt"])):
+        got.setdefault(r["job"], []).append((r["multipass"], r["temporal_aq"], r["bit_depth"], r["pix_fmt"]))
+    assert got[0] == [("fullres", True, "auto", None), ("qres", True, "auto", None), ("disabled", True, "auto", None), ("disabled", False, "auto", None), ("disabled", False, "auto", "yuv420p")]
+    assert got[1] == [("disabled", True, "auto", None), ("disabled", False, "auto", None)]
+    assert len(got[2]) == len(got[4]) == len(got[5]) == 1
+    assert [x[2] for x in got[3]] == ["auto", "8"]
+
+
+def test_canonical_keys(spark):
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from cinelake.functions import canonical
+
+    texts = ['{"b": 1, "a": {"d": [3, {"z": null, "y": "é"}], "c": 1.0}}', "[]", "null", "{", None, '"\\ud83d\\ude42"', "1e3"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r for r in frame.select("t", canonical.canonical_json("t").alias("c"), canonical.hash_json("t").alias("k"), canonical.hash_text("t").alias("h")).collect()}
+    assert got[texts[0]]["c"] == '{"a":{"c":1.0,"d":[3,{"y":"\\u00e9","z":null}]},"b":1}'
+    for t in texts:
+        fine = t not in ("{", None)
+        want = json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")) if fine else None
+        assert got[t]["c"] == want
+        assert got[t]["k"] == (hashlib.blake2b(want.encode(), digest_size=16).hexdigest() if fine else None)
+        assert got[t]["h"] == (None if t is None else hashlib.blake2b(t.encode(), digest_size=16).hexdigest())
+    payload = {"source": "s\"1", "stage": "04", "tools": {"a": "1", "b": "2"}, "params": {"x": [1, {"k": False}]}}
+    want = hashlib.blake2b(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode(), digest_size=16).hexdigest()
+    key = canonical.cache_key(F.lit('s"1'), F.lit("04"), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")), F.lit('{"x": [1, {"k": false}]}'))
+    assert spark.range(1).select(key.alias("k")).first()["k"] == want
