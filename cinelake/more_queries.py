@@ -281,6 +281,7 @@ def u07_deep_settings(spark: SparkSession, d: str) -> DataFrame:
 SELECT file_id, 'attachments_lost' AS code, 'failure' AS severity, ea::VARCHAR AS expected, ga::VARCHAR AS got FROM p WHERE ca AND mkv AND ea > 0 AND ga <> ea
 UNION ALL SELECT file_id, 'chapters_lost', 'failure', ec::VARCHAR, gc::VARCHAR FROM p WHERE cc AND ec > 0 AND gc <> ec
 UNION ALL SELECT file_id, 'video_resolution_drift', 'failure', ew::VARCHAR, gw::VARCHAR FROM p WHERE pres AND abs(ew - gw) > 2
+UNION ALL SELECT file_id, 'hdr_roundtripped', 'note', et, lower(gt) FROM p WHERE hdr AND rt AND lower(gt) NOT IN ('smpte2084', 'arib-std-b67')
 UNION ALL SELECT file_id, 'hdr_transfer_residual', 'failure', 'bt709 (or unspecified)', lower(gt) FROM p WHERE hdr AND rt AND lower(gt) IN ('smpte2084', 'arib-std-b67')
 UNION ALL SELECT file_id, 'hdr_transfer_lost', 'failure', et, lower(gt) FROM p WHERE hdr AND NOT rt AND et <> '' AND gt <> '' AND et <> lower(gt)
 UNION ALL SELECT file_id, 'audio_streams_default_lost', CASE WHEN gad = 0 THEN 'failure' ELSE 'note' END, ead::VARCHAR, gad::VARCHAR FROM p WHERE gad < ead
@@ -294,7 +295,7 @@ def d12_report(spark: SparkSession, d: str) -> DataFrame:
         F.lit(1920).alias("e_width"), (1920 - p % 5).alias("g_width"), transfer(o, "smpte2084").alias("e_transfer"), transfer(s, "SMPTE2084").alias("g_transfer"),
         (o % 3).alias("e_audio_default"), (s % 3).alias("g_audio_default"), (p % 2).alias("e_subtitle_default"), (n % 2).alias("g_subtitle_default"),
         F.when(n % 2 == 0, "mkv").otherwise("mp4").alias("container"), (o % 5 != 0).alias("copy_chapters"), (o % 7 != 0).alias("copy_attachments"),
-        (p % 2 == 0).alias("preserve"), (s % 3 != 0).alias("hdr"), (o % 2 == 0).alias("roundtripped"),
+        F.when(p % 2 != 0, 0 * o + 1920 - p % 5).alias("target_w"), F.lit(1080).alias("target_h"), F.lit(1080).alias("g_height"), (s % 3 != 0).alias("hdr"), (o % 2 == 0).alias("roundtripped"),
     )
     return media.validation_report(pairs)
 

@@ -47,50 +47,37 @@ def attachment_sizes(attachments: DataFrame, sizes: DataFrame) -> DataFrame:
     return attachments.join(sizes, ["file_id", "filename"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
 
 
-def validation(pairs: DataFrame) -> DataFrame:
-    """One row for each rule that an output breaks.
-
-    ``pairs``: expected and got values side by side (``e_`` and ``g_``).
-    """
-    def rule(code: str, broken: Column, expected: str, got: str) -> Column:
-        return F.when(
-            broken,
-            F.struct(F.lit(code).alias("code"), F.col(expected).cast("string").alias("expected"), F.col(got).cast("string").alias("got")),
-        )
-
-    rules = F.array(
-        rule("duration_mismatch", F.abs(F.col("e_duration") - F.col("g_duration")) > 0.20, "e_duration", "g_duration"),
-        rule("video_stream_count", F.col("g_video") != 1, "e_video", "g_video"),
-        rule("video_resolution", (F.abs(F.col("e_width") - F.col("g_width")) > 2) | (F.abs(F.col("e_height") - F.col("g_height")) > 2), "e_width", "g_width"),
-        rule("audio_stream_count", F.col("e_audio") != F.col("g_audio"), "e_audio", "g_audio"),
-        rule("subtitle_stream_count", F.col("e_subtitle") != F.col("g_subtitle"), "e_subtitle", "g_subtitle"),
-        rule("chapters_lost", (F.col("e_chapters") > 0) & (F.col("g_chapters") == 0), "e_chapters", "g_chapters"),
-        rule("audio_default_lost", (F.col("e_audio_default") > 0) & (F.col("g_audio_default") == 0), "e_audio_default", "g_audio_default"),
-    )
-    broken = F.filter(rules, lambda r: r.isNotNull())
-    return pairs.select("file_id", F.explode(broken).alias("r")).select("file_id", "r.*")
-
-
 #: Transfers that count as converted to BT.709.
 BT709_TRANSFERS = "", "unknown", "bt709", "smpte170m", "bt470bg", "iec61966-2-1"
 
 
+#: Seconds and pixels that an output may differ by.
+DURATION_TOLERANCE, PIXEL_TOLERANCE = 0.20, 2
+
+
 def validation_report(pairs: DataFrame) -> DataFrame:
     """(file_id, code, severity, expected, got): what an output lost against its source and plan.
 
-    ``pairs`` holds expected and got values side by side (``e_`` and ``g_``): attachments, chapters, width, transfer,
-    audio_default and subtitle_default; and container, copy_chapters, copy_attachments, preserve (no size was planned),
-    hdr (the source was HDR or 10-bit) and roundtripped (the plan made it 8-bit).  Losing every default flag of a kind
-    is a failure, losing some a note.
+    ``pairs`` holds expected and got values side by side (``e_`` and ``g_``): duration, video (pictures attached do not
+    count), width, height, audio, subtitle, chapters, attachments, transfer, audio_default and subtitle_default; and
+    container, copy_chapters, copy_attachments, target_w and target_h (what the plan asked for; null or 0 keeps the source's
+    size), hdr (the source was HDR or 10-bit) and roundtripped (the plan made it 8-bit).  Columns that are left out say
+    nothing of their rules.  Losing every default flag of a kind is a failure, losing some a note; a duration that is not
+    known is a note.  An output passes if it has no failure.
     """
-    c = F.col
+    c = lambda k: F.col(k) if k in pairs.columns else F.lit(None)
+    yes = lambda k: F.coalesce(c(k), F.lit(False))
     e_transfer, g_transfer = (F.lower(F.coalesce(c(k), F.lit(""))) for k in ("e_transfer", "g_transfer"))
+    seconds = lambda k: F.format_string("%.3fs", c(k).cast("double"))
 
     def rule(code: str, broken: Column, expected: Column, got: Column, severity: Column | str = "failure") -> Column:
         level = F.lit(severity) if isinstance(severity, str) else severity
         values = (F.lit(code), level, expected.cast("string"), got.cast("string"))
         return F.when(broken, F.struct(*(v.alias(k) for v, k in zip(values, ("code", "severity", "expected", "got")))))
 
+    def count_differs(what: str) -> Column:
+        return rule(f"{what}_stream_count", c(f"e_{what}") != c(f"g_{what}"), c(f"e_{what}"), c(f"g_{what}"))
+
     def count_lost(what: str, wanted: Column) -> Column:
         e, g = c(f"e_{what}"), c(f"g_{what}")
         return rule(f"{what}_lost", wanted & (e > 0) & (g != e), e, g)
@@ -100,16 +87,28 @@ def validation_report(pairs: DataFrame) -> DataFrame:
         severity = F.when(g == 0, "failure").otherwise("note")
         return rule(f"{kind}_streams_default_lost", (e > 0) & (g < e), e, g, severity)
 
-    found = F.array(
-        count_lost("chapters", c("copy_chapters")),
-        count_lost("attachments", c("copy_attachments") & (c("container") == "mkv")),
-        rule("video_resolution_drift", c("preserve") & (F.abs(c("e_width") - c("g_width")) > 2), c("e_width"), c("g_width")),
-        rule("hdr_transfer_residual", c("hdr") & c("roundtripped") & ~g_transfer.isin(*BT709_TRANSFERS), F.lit("bt709 (or unspecified)"), g_transfer),
-        rule("hdr_transfer_lost", c("hdr") & ~c("roundtripped") & (e_transfer != "") & (g_transfer != "") & (e_transfer != g_transfer), e_transfer, g_transfer),
+    far = lambda want, got: got.isNull() | (F.abs(got - want) > PIXEL_TOLERANCE)
+    size = lambda w, h: F.concat(F.coalesce(w.cast("string"), F.lit("?")), F.lit("x"), F.coalesce(h.cast("string"), F.lit("?")))
+    planned = F.coalesce((c("target_w") > 0) & (c("target_h") > 0), F.lit(False))
+    rules = [
+        rule("duration_mismatch", F.abs(c("e_duration") - c("g_duration")) > DURATION_TOLERANCE, seconds("e_duration"), seconds("g_duration")),
+        rule("duration_unknown", c("e_duration").isNull() | c("g_duration").isNull(), c("e_duration"), c("g_duration"), "note"),
+        rule("video_stream_count", c("g_video") != 1, F.lit(1), c("g_video")),
+        rule("video_resolution", planned & (far(c("target_w"), c("g_width")) | far(c("target_h"), c("g_height"))), size(c("target_w"), c("target_h")), size(c("g_width"), c("g_height"))),
+        rule("video_resolution_drift", ~planned & (F.abs(c("e_width") - c("g_width")) > PIXEL_TOLERANCE), c("e_width"), c("g_width")),
+        count_differs("audio"),
+        count_differs("subtitle"),
+        count_lost("chapters", F.coalesce(c("copy_chapters"), F.lit(False))),
+        count_lost("attachments", F.coalesce(c("copy_attachments"), F.lit(True)) & (c("container") == "mkv")),
+        rule("hdr_transfer_residual", yes("hdr") & yes("roundtripped") & ~g_transfer.isin(*BT709_TRANSFERS), F.lit("bt709 (or unspecified)"), g_transfer),
+        rule("hdr_roundtripped", yes("hdr") & yes("roundtripped") & g_transfer.isin(*BT709_TRANSFERS), e_transfer, g_transfer, "note"),
+        rule("hdr_transfer_lost", yes("hdr") & ~yes("roundtripped") & (e_transfer != "") & (g_transfer != "") & (e_transfer != g_transfer), e_transfer, g_transfer),
         default_lost("audio"),
         default_lost("subtitle"),
-    )
-    return pairs.select("file_id", F.explode(F.filter(found, lambda r: r.isNotNull())).alias("r")).select("file_id", "r.*")
+    ]
+    if not {"e_duration", "g_duration"} <= set(pairs.columns):
+        rules = rules[2:]
+    return pairs.select("file_id", F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("r")).select("file_id", "r.*")
 
 
 def missing_pins(pins: DataFrame, installed: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@ join is partitioned by it; none needs a range join, since each is a look back or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -198,11 +201,20 @@ def expanded(compact: DataFrame, multiplier: int) -> DataFrame:
     )
 
 
-def cuts_in_batches(cuts: DataFrame, batches: DataFrame) -> DataFrame:
-    """Local numbers of the cuts that fall into a batch's input (J02): 2 up to the input's length."""
+def cuts_in_batches(cuts: DataFrame, batches: DataFrame, width: int = 1024) -> DataFrame:
+    """Local numbers of the cuts that fall into a batch's input (J02): 2 up to the input's length.
+
+    Frames are dealt into bins of ``width``, and a batch stands in each bin that it touches, so a cut meets the few batches
+    of its bin and not all of its source's.
+    """
     local = F.col("n") - F.col("input_base") + 1
+    bin_of = lambda n: F.floor(n / width).cast("long")
+    spread = batches.where(F.col("input_count") >= 2).withColumn(
+        "bin", F.explode(F.sequence(bin_of(F.col("input_base") + 1), bin_of(F.col("input_base") + F.col("input_count") - 1)))
+    )
     return (
-        cuts.join(batches, "source_id")
+        cuts.withColumn("bin", bin_of(F.col("n")))
+        .join(spread, ["source_id", "bin"])
         .where((local >= 2) & (local <= F.col("input_count")))
         .select("source_id", "index", local.alias("local_n"))
     )
@@ -229,19 +241,29 @@ def chunks(frames: DataFrame, size: int) -> DataFrame:
 
 
 def packed(items: DataFrame, limit: int) -> DataFrame:
-    """Greedy packing: ``items`` (source_id, sizes in order) with the number of the pack of each.
+    """Greedy packing: ``items`` (source_id, item, size) with the number of the pack of each.
 
-    A pack takes items while their sizes fit the limit, one at least.
+    A pack takes items in order while their sizes fit the limit, one at least; a null size counts as 0.  A source's items
+    stream by in order, and only its open pack and that pack's size are held.
     """
-    state = F.struct(F.lit(0).cast("long").alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        opens = (s["used"] > 0) & (s["used"] + x > limit)
-        pack = s["pack"] + F.when(opens, 1).otherwise(0)
-        used = F.when(opens, x).otherwise(s["used"] + x)
-        return F.struct(pack.alias("pack"), used.alias("used"), F.array_append(s["out"], pack).alias("out"))
-
-    return items.select("source_id", F.posexplode(F.aggregate("sizes", state, step, lambda s: s["out"])).alias("item", "pack"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, pack, used = None, 0, 0
+        for batch in batches:
+            own, sizes, out = batch.column("source_id").to_pylist(), batch.column("size").to_pylist(), []
+            for s, size in zip(own, sizes):
+                if s != source:
+                    source, pack, used = s, 0, 0
+                if used > 0 and used + (size or 0) > limit:
+                    pack, used = pack + 1, 0
+                used += size or 0
+                out.append(pack)
+            yield pa.RecordBatch.from_arrays([batch.column("source_id"), batch.column("item"), pa.array(out, pa.int64())], ["source_id", "item", "pack"])
+
+    rows = items.select("source_id", F.col("item").cast("long").alias("item"), F.col("size").cast("long").alias("size"))
+    kind = rows.schema["source_id"].dataType.simpleString()
+    ordered = rows.where(F.col("source_id").isNotNull()).repartition("source_id").sortWithinPartitions("source_id", "item")
+    return ordered.mapInArrow(run, f"source_id {kind}, item long, pack long")
 
 
 def trimmed(frames: DataFrame, skip: int, keep: int | None = None) -> DataFrame:
@@ -252,9 +274,12 @@ def trimmed(frames: DataFrame, skip: int, keep: int | None = None) -> DataFrame:
 
 
 def stored_plans(batches: DataFrame, stored: DataFrame) -> DataFrame:
-    """Batches with the stored plan of their source whose start and end are theirs, to six decimals."""
+    """Batches with the stored plan of their source whose start and end are theirs, to six decimals.
+
+    Of several plans of one span the newest is taken: the largest ``plan_id``.
+    """
     at = lambda c: F.round(F.col(c).cast("double"), 6)
     keys = ["source_id", "__start", "__end"]
     left = batches.withColumn("__start", at("start")).withColumn("__end", at("end"))
-    right = stored.select("source_id", "plan_id", at("start").alias("__start"), at("end").alias("__end"))
+    right = stored.groupBy("source_id", at("start").alias("__start"), at("end").alias("__end")).agg(F.max("plan_id").alias("plan_id"))
     return left.join(right, keys, "left").drop("__start", "__end")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import scalar as fn
 from cinelake.operators import jobs, media, timeline
-from cinelake.plans import encoders
+from cinelake.plans import batching, encoders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +87,13 @@ def d01_batches_exact(spark: SparkSession, d: str) -> DataFrame:
     return timeline.plan_batches(requests(spark, d), DAY)
 
 
+def day_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Key-frame batches of about a day."""
+    s = stream(spark, d)
+    ask = s.groupBy("source_id").agg(F.max("pts").alias("duration")).select("source_id", "duration", F.lit(24.0).alias("fps"), F.lit(DAY).alias("chunk_lo"), F.lit(DAY).alias("chunk_hi"))
+    return batching.walked(ask, s.where("is_key").select("source_id", "pts"), False)
+
+
 SNAPPED = """WITH RECURSIVE %s, e AS (SELECT source_id, max(pts) AS duration FROM s GROUP BY source_id),
 r AS (SELECT source_id, duration, 0.0::DOUBLE AS picked, 86400.0::DOUBLE AS target FROM e WHERE duration > 0
   UNION ALL SELECT source_id, duration, p, p + 86400 FROM (SELECT r.source_id, r.duration,
@@ -101,22 +108,25 @@ b AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY e) -
 @query(f"{SNAPPED} SELECT source_id, index, start_pts, end_pts, round_even((end_pts - start_pts) * 24.0::DOUBLE, 0)::BIGINT AS frames FROM b WHERE end_pts IS NOT NULL")
 def d01_batches_keyframe(spark: SparkSession, d: str) -> DataFrame:
     """D01 keyframe: batches of about a day that end at key frames."""
-    return timeline.plan_batches(requests(spark, d), DAY, "keyframe")
+    return day_batches(spark, d)
 
 
 @query(f"{SNAPPED} SELECT b.source_id, b.index, count(s.n) AS packets FROM b LEFT JOIN s ON s.source_id = b.source_id AND s.pts >= b.start_pts AND s.pts < b.end_pts WHERE b.end_pts IS NOT NULL GROUP BY b.source_id, b.index")
 def flagship_batch_packets(spark: SparkSession, d: str) -> DataFrame:
     """Packets of each key-frame batch.
 
-    Each packet looks its batch up in the source's sorted bounds, so no range join is needed.
+    Packets and starts of batches stand in one order, and a packet takes the last start up to it: one shuffle, no range
+    join, and no list of bounds.
     """
-    edges = timeline.batch_edges(requests(spark, d), DAY, "keyframe")
-    clean = F.array_sort(F.array_distinct(F.transform("edges", lambda x: F.round(x, 6))))
-    bounds = edges.select("source_id", clean.alias("e"))
-    index = (F.size(F.filter("e", lambda x: x <= F.col("pts"))) - 1).cast("long")
-    found = stream(spark, d).join(bounds, "source_id").where(F.col("pts") < F.element_at("e", -1)).groupBy("source_id", index.alias("index")).agg(F.count("*").alias("packets"))
-    every = bounds.select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.size("e").cast("long") - 2)).alias("index"))
-    return every.join(found, ["source_id", "index"], "left").select("source_id", "index", F.coalesce("packets", F.lit(0)).alias("packets"))
+    batches = day_batches(spark, d)
+    starts = batches.select("source_id", F.col("start_pts").alias("pts"), "index", F.lit(0).alias("packet"))
+    packets = stream(spark, d).select("source_id", "pts", F.lit(None).cast("long").alias("index"), F.lit(1).alias("packet"))
+    order = W.partitionBy("source_id").orderBy("pts", "packet").rowsBetween(W.unboundedPreceding, 0)
+    last = W.partitionBy("source_id")
+    placed = starts.union(packets).select("source_id", "pts", "packet", F.last("index", ignorenulls=True).over(order).alias("index"), F.max("pts").over(last).alias("end"))
+    # The last packet of a source stands at its end, which belongs to no batch.
+    inside = F.when((F.col("packet") == 1) & (F.col("pts") < F.col("end")), 1).otherwise(0)
+    return placed.where(F.col("index").isNotNull()).groupBy("source_id", "index").agg(F.sum(inside).cast("long").alias("packets"))
 
 
 @query(f"WITH {STREAM} SELECT a.source_id, a.n, k.pts AS key_pts FROM s a ASOF LEFT JOIN (SELECT * FROM s WHERE is_key) k ON a.source_id = k.source_id AND a.pts >= k.pts")
@@ -218,13 +228,12 @@ def w09_chunks(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT source, item, 0::BIGINT AS pack, x AS used FROM i WHERE item = 0 UNION ALL
   SELECT i.source, i.item, pack + (used > 0 AND used + x > 8000)::BIGINT, CASE WHEN used > 0 AND used + x > 8000 THEN x ELSE used + x END
   FROM r JOIN i ON i.source = r.source AND i.item = r.item + 1)
-SELECT source AS source_id, item::INT AS item, pack FROM r""")
+SELECT source AS source_id, item::BIGINT AS item, pack FROM r""")
 def w10_packed(spark: SparkSession, d: str) -> DataFrame:
     """Texts packed up to 8,000 characters, in order."""
     docs = table(spark, d, "documents")
-    pairs = F.array_sort(F.collect_list(F.struct("doc_id", "n_chars")))
-    items = docs.groupBy(F.col("source").alias("source_id")).agg(F.transform(pairs, lambda p: p["n_chars"]).alias("sizes"))
-    return timeline.packed(items, 8000)
+    number = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    return timeline.packed(docs.select(F.col("source").alias("source_id"), number.alias("item"), F.col("n_chars").alias("size")), 8000)
 
 
 # Jobs: orders, with states O queued, P paused, F failed.
@@ -407,28 +416,29 @@ def d11_muxer(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("file_id"), tool.alias("tool"))
 
 
-@query("""WITH p AS (SELECT o_orderkey AS file_id, o_totalprice AS ed, o_totalprice + (o_orderkey % 5) / 10.0::DOUBLE AS gd, 1 AS ev, 1 + (o_orderkey % 7 = 0)::INT AS gv, 1920 AS ew, 1920 - o_orderkey % 4 AS gw,
-  o_orderkey % 3 AS ea, o_custkey % 3 AS ga, 2 AS es, 2 - (o_custkey % 9 = 0)::INT AS gs, o_custkey % 4 AS ec, o_orderkey % 2 AS gc, o_orderkey % 2 AS ead, o_custkey % 2 AS gad FROM orders),
-r AS (SELECT file_id, 'duration_mismatch' AS code, ed::VARCHAR AS expected, gd::VARCHAR AS got, abs(ed - gd) > 0.20 AS b FROM p
-UNION ALL SELECT file_id, 'video_stream_count', ev::VARCHAR, gv::VARCHAR, gv <> 1 FROM p
-UNION ALL SELECT file_id, 'video_resolution', ew::VARCHAR, gw::VARCHAR, abs(ew - gw) > 2 FROM p
-UNION ALL SELECT file_id, 'audio_stream_count', ea::VARCHAR, ga::VARCHAR, ea <> ga FROM p
-UNION ALL SELECT file_id, 'subtitle_stream_count', es::VARCHAR, gs::VARCHAR, es <> gs FROM p
-UNION ALL SELECT file_id, 'chapters_lost', ec::VARCHAR, gc::VARCHAR, ec > 0 AND gc = 0 FROM p
-UNION ALL SELECT file_id, 'audio_default_lost', ead::VARCHAR, gad::VARCHAR, ead > 0 AND gad = 0 FROM p)
-SELECT file_id, code, CASE WHEN code = 'duration_mismatch' THEN '' ELSE expected END AS expected, CASE WHEN code = 'duration_mismatch' THEN '' ELSE got END AS got FROM r WHERE b""")
+@query("""WITH p AS (SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 13 > 0 THEN o_totalprice END AS ed, o_totalprice + (o_orderkey % 5) / 10.0::DOUBLE AS gd, 1 + (o_orderkey % 7 = 0)::INT AS gv,
+  CASE WHEN o_custkey % 3 > 0 THEN 1920 END AS tw, 1080 AS th, 1920 - o_orderkey % 4 AS gw, CASE WHEN o_orderkey % 11 > 0 THEN 1080 END AS gh,
+  o_orderkey % 3 AS ea, o_custkey % 3 AS ga, 2 AS es, 2 - (o_custkey % 9 = 0)::INT AS gs, o_custkey % 4 AS ec, o_orderkey % 2 AS gc, o_orderkey % 2 AS ead, o_custkey % 2 AS gad FROM orders)
+SELECT file_id, 'duration_mismatch' AS code, 'failure' AS severity, printf('%.3fs', ed) AS expected, printf('%.3fs', gd) AS got FROM p WHERE abs(ed - gd) > 0.20
+UNION ALL SELECT file_id, 'duration_unknown', 'note', NULL, gd::VARCHAR FROM p WHERE ed IS NULL
+UNION ALL SELECT file_id, 'video_stream_count', 'failure', '1', gv::VARCHAR FROM p WHERE gv <> 1
+UNION ALL SELECT file_id, 'video_resolution', 'failure', tw || 'x' || th, gw || 'x' || coalesce(gh::VARCHAR, '?') FROM p WHERE tw IS NOT NULL AND (abs(tw - gw) > 2 OR gh IS NULL OR abs(th - gh) > 2)
+UNION ALL SELECT file_id, 'video_resolution_drift', 'failure', '1920', gw::VARCHAR FROM p WHERE tw IS NULL AND abs(1920 - gw) > 2
+UNION ALL SELECT file_id, 'audio_stream_count', 'failure', ea::VARCHAR, ga::VARCHAR FROM p WHERE ea <> ga
+UNION ALL SELECT file_id, 'subtitle_stream_count', 'failure', es::VARCHAR, gs::VARCHAR FROM p WHERE es <> gs
+UNION ALL SELECT file_id, 'chapters_lost', 'failure', ec::VARCHAR, gc::VARCHAR FROM p WHERE ec > 0 AND gc <> ec
+UNION ALL SELECT file_id, 'audio_streams_default_lost', 'failure', ead::VARCHAR, gad::VARCHAR FROM p WHERE gad < ead""")
 def d12_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Rules that an output breaks (durations are left out as text)."""
+    """Rules that an output breaks, with their severity."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     pairs = table(spark, d, "orders").select(
-        o.alias("file_id"), F.col("o_totalprice").alias("e_duration"), (F.col("o_totalprice") + (o % 5) / 10.0).alias("g_duration"),
-        F.lit(1).alias("e_video"), (1 + (o % 7 == 0).cast("int")).alias("g_video"), F.lit(1920).alias("e_width"), (1920 - o % 4).alias("g_width"),
-        F.lit(1080).alias("e_height"), F.lit(1080).alias("g_height"), (o % 3).alias("e_audio"), (c % 3).alias("g_audio"),
+        o.alias("file_id"), F.when(o % 13 > 0, F.col("o_totalprice")).alias("e_duration"), (F.col("o_totalprice") + (o % 5) / 10.0).alias("g_duration"),
+        (1 + (o % 7 == 0).cast("int")).alias("g_video"), F.when(c % 3 > 0, 1920).alias("target_w"), F.lit(1080).alias("target_h"), F.lit(1920).alias("e_width"),
+        (1920 - o % 4).alias("g_width"), F.when(o % 11 > 0, 1080).alias("g_height"), (o % 3).alias("e_audio"), (c % 3).alias("g_audio"),
         F.lit(2).alias("e_subtitle"), (2 - (c % 9 == 0).cast("int")).alias("g_subtitle"), (c % 4).alias("e_chapters"), (o % 2).alias("g_chapters"),
-        (o % 2).alias("e_audio_default"), (c % 2).alias("g_audio_default"),
+        F.lit(True).alias("copy_chapters"), (o % 2).alias("e_audio_default"), (c % 2).alias("g_audio_default"),
     )
-    text = lambda k: F.when(F.col("code") == "duration_mismatch", "").otherwise(F.col(k)).alias(k)
-    return media.validation(pairs).select("file_id", "code", text("expected"), text("got"))
+    return media.validation_report(pairs)
 
 
 @query("SELECT s_suppkey::VARCHAR AS tool_id, '7.' || (s_suppkey % 3)::VARCHAR AS expected, CASE WHEN s_suppkey % 4 <> 0 THEN ' 7.' || (s_suppkey % 2)::VARCHAR || '.1' END AS version, CASE WHEN s_suppkey % 4 = 0 THEN 'missing' ELSE 'mismatch' END AS status FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 3 <> s_suppkey % 2")

@@ -165,8 +165,10 @@ def test_band(spark):
 
 
 def test_packing(spark):
-    items = frame(spark, [("a", [3, 4, 5, 20, 1])], "source_id string, sizes array<bigint>")
-    assert [r["pack"] for r in timeline.packed(items, 8).orderBy("item").collect()] == [0, 0, 1, 2, 3]
+    sizes = {"a": [3, 4, 5, 20, 1], "b": [None, 9, 0, 0]}
+    items = frame(spark, [(s, k, x) for s, v in sizes.items() for k, x in enumerate(v)], "source_id string, item int, size int")
+    got = timeline.packed(items.repartition(3), 8).orderBy("source_id", "item").collect()
+    assert [(r["source_id"], r["pack"]) for r in got] == [("a", 0), ("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("b", 0), ("b", 1), ("b", 1)]
 
 
 def test_queue(spark):
