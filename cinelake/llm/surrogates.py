@@ -19,8 +19,9 @@ free values, so mailboxes and words of names grow by a letter with every draw af
 other kinds by digits after ``NARROW_DRAWS`` draws (an address then becomes one of the range that is
 reserved for documentation): a free value always exists.
 
-Names are found behind a title (in title case or capitals), or as a listed given name before a capitalised word;
-other names are not found.
+Names are found behind a title (in title case or capitals), or as a listed given name before a capitalised word, with
+apostrophes, hyphens and small words within (a possessive is no part of a name); other names are not found.  Given names
+move along their list in an order of the key.
 
 Defined results: null and empty texts stay as they are; very long texts are searched whole; an empty table gives no
 rows; rows without an id are replaced like any other; repeated rows get equal surrogates; of values whose surrogates
@@ -74,8 +75,14 @@ def any_of(words: Iterable[str]) -> str:
 #: Titles, titles in capitals, listed given names in either form, a capitalised word and a word in capitals, as regexes.
 TITLE, LOUD_TITLE = any_of(TITLES), any_of(t.upper() for t in TITLES if len(t) > 1)
 GIVEN = any_of(f(n) for names in NAMES.values() for n in names for f in (str, str.upper))
-CAPITAL = rf"[^\W\d_a-zа-яё]{LETTER}+"
-LOUD = r"[^\W\d_a-zà-öø-ÿа-яёα-ω]{2,}"
+#: What goes on with a word of a name: letters, and apostrophes and hyphens before a letter, but for a possessive.
+INNER = rf"(?:{LETTER}|['’](?!s(?!{LETTER}))(?={LETTER})|-(?={LETTER}))"
+CAPITAL = rf"[^\W\d_a-zа-яё]{INNER}+"
+LOUD_LETTER = r"[^\W\d_a-zà-öø-ÿа-яёα-ω]"
+LOUD = rf"{LOUD_LETTER}(?:{LOUD_LETTER}|['’-](?={LOUD_LETTER}))+"
+#: Small words within surnames; they tell no one apart and stay.
+PARTICLES = "van von der den dem de del della di da do dos das du la le las los ten ter te zu zur zum af av bin ibn al el y".split()
+SMALL = rf"(?:{any_of(PARTICLES)} )*"
 
 KINDS = ("email", "iban", "ssn", "card", "ip", "phone", "name")
 PATTERN = re.compile(
@@ -85,8 +92,8 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w))"
-    rf"|(?P<name>(?<!\w)(?:(?:{TITLE}\.? )+[^\W\d_]{LETTER}*(?:[ -]{CAPITAL}){{0,2}}"
-    rf"|(?:{LOUD_TITLE}\.? )+{LOUD}(?:[ -]{LOUD}){{0,2}}|{GIVEN}(?:[ -]{CAPITAL}){{1,2}})(?!{LETTER}))"
+    rf"|(?P<name>(?<!\w)(?:(?:{TITLE}\.? )+(?:{SMALL}{CAPITAL}|[^\W\d_]{INNER}*)(?:[ -]{SMALL}{CAPITAL}){{0,2}}"
+    rf"|(?:{LOUD_TITLE}\.? )+{LOUD}(?:[ -]{LOUD}){{0,2}}|{GIVEN}(?:[ -]{SMALL}{CAPITAL}){{1,2}})(?!{LETTER}))"
 )
 HINT = re.compile(rf"[0-9@]|(?<!\w)(?:(?:{TITLE}|{LOUD_TITLE})\.? |{GIVEN}[ -])")
 TITLED = re.compile(rf"(?:(?:{TITLE}|{LOUD_TITLE})\.? )*")
@@ -107,7 +114,8 @@ def classes() -> tuple[dict[str, tuple[str, int]], list[str]]:
     """The class and place of every letter, mark and digit, and the classes.
 
     A class has one script (the first word of the character's Unicode name), category and kind of case, and
-    letters with accents apart from others.  Classes of few characters are merged over their scripts.
+    letters with accents apart from others.  Latin letters of common use (up to U+017F) are classes of their own.
+    Classes of few characters are merged over their scripts.
     """
     basic = [*VOWELS.values(), *CONSONANTS.values(), "0123456789"]
     done = set("".join(basic))
@@ -120,10 +128,12 @@ def classes() -> tuple[dict[str, tuple[str, int]], list[str]]:
         if pair and c != c.lower():  # stands in the class of its small letter
             continue
         composed = bool(unicodedata.decomposition(c)) and category[0] == "L"
-        groups[unicodedata.name(c, "?").split()[0], category, pair, composed].append(c)
+        script = unicodedata.name(c, "?").split()[0]
+        usual = script == "LATIN" and c < "\u0180" and category in ("Ll", "Lu")
+        groups["usual" if usual else script, category, pair, composed and not usual].append(c)
     merged: dict[tuple, list[str]] = defaultdict(list)
     for key, members in groups.items():
-        merged[key if len(members) >= 8 else key[1:3]] += members
+        merged[key if len(members) >= 8 or key[0] == "usual" else key[1:3]] += members
     every = basic + ["".join(x) for x in merged.values()]
     return {c: (a, i) for a in every for i, c in enumerate(a)}, every
 
@@ -177,8 +187,9 @@ def name_token(token: str, key: bytes, draw: int) -> str:
     """The replacement of a word of a name; no given name of a list comes from a word outside it."""
     own = listed(token)
     if own:
-        names = NAMES[own]
-        new = names[(names.index(token.capitalize()) + 1 + stream(key, own) % (len(names) - 1)) % len(names)]
+        # One round trip through the list in an order of the key: none stays, and a known pair tells of no other.
+        names = sorted(NAMES[own], key=lambda n: stream(key, own, n))
+        new = names[(names.index(token.capitalize()) + 1) % len(names)]
         return new.lower() if token.islower() else new
     out = enciphered(widened(token, draw), key, "name", draw)
     for _ in range(8):
@@ -192,7 +203,8 @@ def mentions(value: str) -> list[tuple[str, str]]:
     """The parts of a name with its titles: (text, "") of what stays, (word, "token") of what is replaced."""
     title = TITLED.match(value)[0]
     parts = re.split(r"([ -])", value[len(title) :])
-    return [(title, ""), *((p, "") if i % 2 else (p, "token") for i, p in enumerate(parts) if p)]
+    stays = lambda i, p: i % 2 or p in PARTICLES and i + 1 < len(parts)
+    return [(title, ""), *((p, "" if stays(i, p) else "token") for i, p in enumerate(parts) if p)]
 
 
 def residue(iban: str) -> int:
