@@ -234,3 +234,42 @@ def output_rate(text: Column) -> Column:
 def epoch_seconds(text: Column) -> Column:
     """Seconds since 1970 of an ISO time in UTC, null for anything else."""
     return F.unix_timestamp(F.try_to_timestamp(text))
+
+
+# Rate controls that a name of the preset editor stands for, by family of encoders.
+RATE_CONTROLS = {
+    "amf": {"cqp": ("cqp", "constqp", "qp"), "vbr": ("vbr_peak", "vbr_latency"), "cbr": ("cbr",)},
+    "nvenc": {"cqp": ("constqp",), "vbr": ("vbr",), "cbr": ("cbr",)},
+}
+
+
+def rate_control_matches(wanted: Column, family: Column, rc: Column) -> Column:
+    """Whether a rate control is the one that an editor's name stands for.
+
+    A name without an entry stands for itself; other families match nothing.
+    """
+    key, cur, out = F.lower(wanted), F.lower(rc), F.lit(False)
+    for name, controls in RATE_CONTROLS.items():
+        own = key == cur
+        for k, values in controls.items():
+            own = F.when(key == k, cur.isin(*values)).otherwise(own)
+        out = F.when(family == name, own).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
+#: A date of eight digits that is no part of a longer word.
+DATE_TAG = r"(?<![\p{L}\p{N}_])(20[0-9]{6})(?![\p{L}\p{N}_])"
+
+
+def plausible_date(tag: Column) -> Column:
+    """Whether eight digits are a day from 2018 to 2099."""
+    day = F.try_to_timestamp(tag, F.lit("yyyyMMdd"))
+    return tag.rlike("^[0-9]{8}$") & day.isNotNull() & F.coalesce(F.year(day).between(2018, 2099), F.lit(False))
+
+
+def first_date_tag(blobs: Column, prefer: Column) -> Column:
+    """The first plausible date in an array of texts; ``prefer`` wins if it is plausible and stands in any of them."""
+    known = F.filter(blobs, lambda b: b.isNotNull())
+    wins = F.coalesce(plausible_date(prefer), F.lit(False)) & F.exists(known, lambda b: F.contains(b, prefer))
+    tags = F.flatten(F.transform(known, lambda b: F.regexp_extract_all(b, F.lit(DATE_TAG), F.lit(1))))
+    return F.when(wins, prefer).otherwise(F.get(F.filter(tags, plausible_date), F.lit(0)))

@@ -207,3 +207,29 @@ def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
 def recent(rows: DataFrame, keys: list[str], order: list[Column], count: int = 5) -> DataFrame:
     """The newest ``count`` rows of each key."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= count)
+
+
+def listed(jobs: DataFrame) -> DataFrame:
+    """Jobs with their position from 0 in the order of their creation, then of their ids.
+
+    Days are numbered each, and offset by the counts of the days before, so no task sorts all jobs; jobs without a time come
+    first.  The counts are a row a day.
+    """
+    day = F.coalesce(F.to_date("created_at"), F.lit("0001-01-01").cast("date"))
+    dated = jobs.withColumn("__day", day)
+    own = F.row_number().over(W.partitionBy("__day").orderBy("created_at", "id")) - 1
+    counts = dated.groupBy("__day").agg(F.count("*").alias("__c"))
+    before = counts.select("__day", (F.sum("__c").over(W.orderBy("__day")) - F.col("__c")).alias("__before"))
+    return dated.withColumn("__n", own).join(before, "__day").withColumn("position", F.col("__n") + F.col("__before")).drop("__day", "__n", "__before")
+
+
+def usable_segments(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(job_id, path) of the segments that a resumed job goes on with.
+
+    Those it knows of; a job that knows of none takes its non-empty files named ``segment_*.mkv`` from ``found`` (job_id, path,
+    length).  A path counts once.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    whole = found.where((F.col("length") > 0) & name.startswith("segment_") & name.endswith(".mkv"))
+    recovered = whole.join(known.select("job_id").distinct(), "job_id", "left_anti")
+    return known.select("job_id", "path").union(recovered.select("job_id", "path")).distinct()

@@ -118,3 +118,18 @@ def missing_pins(pins: DataFrame, installed: DataFrame) -> DataFrame:
         ~F.startswith(F.ltrim("version"), F.col("expected")), "mismatch"
     )
     return found.withColumn("status", status).where(F.col("status").isNotNull()).select("tool_id", "expected", "version", "status")
+
+
+#: Tools that come with another's pin.
+SUPPLIED_BY = {"ffprobe": "ffmpeg", "mkvpropedit": "mkvmerge", "mkvinfo": "mkvmerge"}
+
+
+def supplying_pins(tools: DataFrame, pins: DataFrame) -> DataFrame:
+    """(tool_id, pin, expected) of tools (tool_id): the pin of each one, or of the tool that it comes with.
+
+    ``pins``: (tool_id, expected), a row a tool.  A tool without a pin has nulls.
+    """
+    own = F.coalesce(*(F.when(F.col("tool_id") == a, b) for a, b in SUPPLIED_BY.items()), F.col("tool_id"))
+    return tools.select("tool_id", own.alias("__pin")).join(
+        pins.select(F.col("tool_id").alias("__pin"), F.col("tool_id").alias("pin"), "expected"), "__pin", "left"
+    ).drop("__pin")

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinelake.functions import scalar as fn
 from cinelake.functions import sql as sql_functions
+from cinelake.operators import jobs, media
 from cinelake.queries import STREAM, query, stream, table
 from cinelake.sinks import migrate, published
 
@@ -83,3 +85,57 @@ def x06_sql_functions(spark: SparkSession, d: str) -> DataFrame:
         items=items,
         keyed=keyed,
     )
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders")
+def s12_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs in the order of their creation."""
+    jobs_ = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    return jobs.listed(jobs_).select("id", "position")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS job_id, CASE WHEN l_linenumber % 5 = 0 THEN 'part_' ELSE 'segment_' END || l_linenumber || CASE WHEN l_partkey % 7 = 0 THEN '.tmp' ELSE '.mkv' END AS name, (l_quantity::INT - 10) AS length FROM lineitem),
+k AS (SELECT o_orderkey AS job_id, '/w/segment_0.mkv' AS path FROM orders WHERE o_orderstatus = 'F')
+SELECT job_id, path FROM k UNION SELECT job_id, '/w/' || name FROM f WHERE length > 0 AND name LIKE 'segment!_%.mkv' ESCAPE '!' AND job_id NOT IN (SELECT job_id FROM k)""")
+def p08_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that resumed jobs go on with."""
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    name = F.concat(F.lit("/w/"), F.when(n % 5 == 0, "part_").otherwise("segment_"), n.cast("string"), F.when(p % 7 == 0, ".tmp").otherwise(".mkv"))
+    found = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), name.alias("path"), (F.col("l_quantity").cast("int") - 10).alias("length"))
+    known = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("job_id"), F.lit("/w/segment_0.mkv").alias("path"))
+    return jobs.usable_segments(found, known)
+
+
+@query("""WITH e AS (SELECT event_id, strftime(ts, '%Y%m%d') AS day, ts FROM events), b AS (SELECT event_id, day, CASE event_id % 4 WHEN 0 THEN 'v20170101 x' || day WHEN 1 THEN 'built 20241399, ' || day || '-1' WHEN 2 THEN '20240230' ELSE NULL END AS a,
+  CASE event_id % 3 WHEN 0 THEN 'from ' || strftime(ts + INTERVAL 400 DAY, '%Y%m%d') || '.' ELSE 'none' END AS c FROM e)
+SELECT event_id, CASE WHEN event_id % 5 = 0 AND coalesce(contains(a, day), false) THEN day WHEN event_id % 4 = 1 THEN day WHEN event_id % 3 = 0 THEN substr(c, 6, 8) END AS tag FROM b""")
+def o09_date_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The first plausible date among texts, a preferred one first."""
+    k, day = F.col("event_id"), F.date_format("ts", "yyyyMMdd")
+    a = F.when(k % 4 == 0, F.concat(F.lit("v20170101 x"), day)).when(k % 4 == 1, F.concat(F.lit("built 20241399, "), day, F.lit("-1"))).when(k % 4 == 2, "20240230")
+    c = F.when(k % 3 == 0, F.concat(F.lit("from "), F.date_format(F.col("ts") + F.expr("INTERVAL 400 DAYS"), "yyyyMMdd"), F.lit("."))).otherwise("none")
+    return table(spark, d, "events").select("event_id", fn.first_date_tag(F.array(a, c), F.when(k % 5 == 0, day)).alias("tag"))
+
+
+RC = {"wanted": "CASE o_custkey % 5 WHEN 0 THEN 'cqp' WHEN 1 THEN 'VBR' WHEN 2 THEN 'cbr' WHEN 3 THEN 'vbr_peak' END", "family": "CASE o_orderkey % 3 WHEN 0 THEN 'amf' WHEN 1 THEN 'nvenc' ELSE 'qsv' END", "rc": "CASE o_orderkey % 7 WHEN 0 THEN 'CQP' WHEN 1 THEN 'constqp' WHEN 2 THEN 'vbr_peak' WHEN 3 THEN 'vbr_latency' WHEN 4 THEN 'cbr' WHEN 5 THEN 'vbr' ELSE 'qp' END"}
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS id, lower({RC['wanted']}) AS w, {RC['family']} AS f, lower({RC['rc']}) AS rc FROM orders)
+SELECT id, coalesce(CASE WHEN f = 'amf' THEN (w, rc) IN (('cqp', 'cqp'), ('cqp', 'constqp'), ('cqp', 'qp'), ('vbr', 'vbr_peak'), ('vbr', 'vbr_latency'), ('cbr', 'cbr'), ('vbr_peak', 'vbr_peak'))
+  WHEN f = 'nvenc' THEN (w, rc) IN (('cqp', 'constqp'), ('vbr', 'vbr'), ('cbr', 'cbr'), ('vbr_peak', 'vbr_peak')) ELSE false END, false) AS matches FROM r""")
+def f23_rate_controls(spark: SparkSession, d: str) -> DataFrame:
+    """rate controls against an editor's names."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), fn.rate_control_matches(*(F.expr(RC[k]) for k in ("wanted", "family", "rc"))).alias("matches"))
+
+
+@query("""WITH t AS (SELECT CASE s_suppkey % 5 WHEN 0 THEN 'ffprobe' WHEN 1 THEN 'mkvinfo' WHEN 2 THEN 'ffmpeg' ELSE 'tool' || s_suppkey END AS tool_id FROM supplier),
+p AS (SELECT 'tool' || s_suppkey AS tool_id, s_name AS expected FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT * FROM (VALUES ('ffmpeg', '7.1'), ('mkvmerge', '90')))
+SELECT t.tool_id, p.tool_id AS pin, expected FROM t LEFT JOIN p ON p.tool_id = CASE t.tool_id WHEN 'ffprobe' THEN 'ffmpeg' WHEN 'mkvinfo' THEN 'mkvmerge' ELSE t.tool_id END""")
+def j07_pins(spark: SparkSession, d: str) -> DataFrame:
+    """The pin that supplies each tool."""
+    k = F.col("s_suppkey")
+    named = F.concat(F.lit("tool"), k.cast("string"))
+    s = table(spark, d, "supplier")
+    tools = s.select(F.when(k % 5 == 0, "ffprobe").when(k % 5 == 1, "mkvinfo").when(k % 5 == 2, "ffmpeg").otherwise(named).alias("tool_id"))
+    more = spark.createDataFrame([("ffmpeg", "7.1"), ("mkvmerge", "90")], "tool_id string, expected string")
+    return media.supplying_pins(tools, s.where(k % 2 == 0).select(named.alias("tool_id"), F.col("s_name").alias("expected")).union(more))

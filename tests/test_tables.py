@@ -93,3 +93,26 @@ def test_functions_in_sql(spark):
     spark.createDataFrame([("a", k, x) for k, x in enumerate([3, 4, 5, 20, 1])] + [("b", 0, None)], "source_id string, item long, size long").createOrReplaceTempView("items")
     got = spark.sql("SELECT * FROM pack_items(8, TABLE(items) PARTITION BY source_id ORDER BY item)").collect()
     assert sorted(map(tuple, got)) == [("a", 0, 0), ("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("a", 4, 3), ("b", 0, 0)]
+
+
+def test_small_rules(spark):
+    from cinelake.functions import scalar as fn
+    from cinelake.operators import jobs
+
+    cases = {
+        (("v20240115", "20240115 and 20230101"), None): "20240115", (("built 20230101", None), None): "20230101", (("20171231", "20241301"), None): None,
+        (("20230101 20240115",), "20240115"): "20240115", (("20230101", "x20240115y"), "20240115"): "20240115", (("20230101",), "20170101"): "20230101",
+        (("é20240115 20240230 20240229",), None): "20240229", ((), None): None,
+    }
+    frame = spark.createDataFrame([(k, list(blobs), prefer) for k, (blobs, prefer) in enumerate(cases)], "k int, blobs array<string>, prefer string")
+    got = {r["k"]: r["tag"] for r in frame.select("k", fn.first_date_tag(F.col("blobs"), F.col("prefer")).alias("tag")).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+    rows = [("cqp", "amf", "QP", True), ("vbr", "amf", "vbr_latency", True), ("vbr", "nvenc", "vbr_latency", False), ("cqp", "nvenc", "constqp", True), ("cqp", "qsv", "cqp", False), ("Custom", "amf", "custom", True), (None, "amf", "cqp", False)]
+    frame = spark.createDataFrame(rows, "w string, f string, r string, want boolean")
+    assert all(r["got"] == r["want"] for r in frame.select("want", fn.rate_control_matches(F.col("w"), F.col("f"), F.col("r")).alias("got")).collect())
+    made = spark.createDataFrame([("c", "2024-01-02 00:00:00"), ("b", "2024-01-02 00:00:00"), ("a", "2024-01-03 00:00:00"), ("z", "2023-01-01 00:00:00"), ("n", None)], "id string, t string")
+    listed = jobs.listed(made.withColumn("created_at", F.col("t").cast("timestamp")))
+    assert [r["id"] for r in listed.orderBy("position").collect()] == ["n", "z", "b", "c", "a"] and listed.agg(F.max("position")).first()[0] == 4
+    found = spark.createDataFrame([(1, "/w/segment_1.mkv", 5), (1, "/w/segment_2.mkv", 0), (1, "/w/x.mkv", 3), (2, "/w/segment_1.mkv", 5), (1, "/w/segment_1.mkv", 5)], "job_id int, path string, length long")
+    known = spark.createDataFrame([(2, "/w/segment_9.mkv")], "job_id int, path string")
+    assert sorted(map(tuple, jobs.usable_segments(found, known).collect())) == [(1, "/w/segment_1.mkv"), (2, "/w/segment_9.mkv")]
