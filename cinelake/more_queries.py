@@ -153,7 +153,7 @@ def f12_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, floor(value / 50)::BIGINT AS slot, count(*) AS n FROM events WHERE value > 0 GROUP BY ALL UNION ALL SELECT user_id, -1, count(*) FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def s28_concatenated(spark: SparkSession, d: str) -> DataFrame:
-    """Segments put together in one result."""
+    """Segments put together in one result."""
     e = table(spark, d, "events")
     one = e.where("value > 0").groupBy("user_id", F.floor(F.col("value") / 50).cast("long").alias("slot")).agg(F.count("*").alias("n"))
     two = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", F.lit(-1).cast("long").alias("slot"), "n")
@@ -211,7 +211,7 @@ def f04_target_rates(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN s_suppkey % 2 = 0 THEN 1704067200 + s_suppkey % 60 END::BIGINT AS epoch,
   CASE s_suppkey % 2 WHEN 0 THEN (s_suppkey % 1000)::VARCHAR || ' B' ELSE '1.5 MiB' END AS size FROM supplier""")
 def f08_loose_values(spark: SparkSession, d: str) -> DataFrame:
-    """text read into values, null or a default where it cannot be."""
+    """text read into values, null or a default where it cannot be."""
     k = F.col("s_suppkey")
     pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (k % n + 1).cast("int"))
     text = pick(4, "12.5", "N/A", "", "0")

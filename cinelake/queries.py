@@ -198,7 +198,7 @@ q AS (SELECT *, CASE WHEN index % 2 = 0 THEN ic - 7 ELSE ic + 3 END AS actual FR
 SELECT source_id, index, greatest(actual - ic, 0) AS trimmed, CASE WHEN actual < ic THEN greatest(actual - v, 0) ELSE content END AS content,
   2 * CASE WHEN actual < ic THEN greatest(actual - v, 0) ELSE content END AS output_count FROM q""")
 def d05_reconciled(spark: SparkSession, d: str) -> DataFrame:
-    """Plans against what was decoded."""
+    """Plans against what was decoded."""
     plan = d04_frame_accounting(spark, d)
     change = F.when(F.col("index") % 2 == 0, F.col("input_count") - 7).otherwise(F.col("input_count") + 3)
     return timeline.reconciled(plan, plan.select("source_id", "index", change.alias("actual")), 2)
@@ -281,7 +281,7 @@ def d15_moved(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o.o_orderkey AS id FROM orders o WHERE o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_returnflag = 'N')")
 def j14_orphans(spark: SparkSession, d: str) -> DataFrame:
-    """Running jobs without an active worker."""
+    """Running jobs without an active worker."""
     running = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.lit("running").alias("state"))
     active = table(spark, d, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("id"))
     return jobs.orphans(running, active).select("id")
@@ -289,7 +289,7 @@ def j14_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'user' ELSE 'builtin' END AS origin, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer")
 def u02_layered(spark: SparkSession, d: str) -> DataFrame:
-    """User rows over built-in ones."""
+    """User rows over built-in ones."""
     c = table(spark, d, "customer")
     builtin = c.select("c_custkey", F.lit("builtin").alias("origin"), F.col("c_name").alias("name"))
     user = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("user").alias("origin"), F.upper("c_name").alias("name"))
@@ -365,7 +365,7 @@ r AS (SELECT job_id, 0::BIGINT AS seq, NULL::BIGINT AS stage, 0.0::DOUBLE AS pro
   FROM r JOIN e ON e.job_id = r.job_id AND e.seq = r.seq + 1)
 SELECT job_id, arg_max(stage, seq) AS stage, arg_max(progress, seq) AS progress FROM r GROUP BY job_id""")
 def t04_job_progress(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs folded from their events."""
+    """Jobs folded from their events."""
     e = F.col("event_id")
     kind = F.when(e % 3 == 0, "started").when(e % 3 == 1, "progress").otherwise("completed")
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -537,7 +537,7 @@ def j06_attachment_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT l_orderkey AS job_id, l_linenumber AS stage_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 10 = o_custkey % 10")
 def d16_cache_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Stages whose stored key is the wanted one."""
+    """Stages whose stored key is the wanted one."""
     w = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("stage_name"), (F.col("l_suppkey") % 10).alias("wanted_key"))
     c = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("stage_name"), (F.col("o_custkey") % 10).alias("cache_key"))
     return jobs.cache_hits(w.distinct(), c.distinct()).select("job_id", "stage_name").distinct()
