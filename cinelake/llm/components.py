@@ -14,7 +14,8 @@ def connected(edges: DataFrame) -> DataFrame:
     Each round hangs the larger neighbours of a node, then the smaller ones, on the smallest of them,
     until nothing changes; the number of rounds grows with the logarithm of the diameter.  Minima are
     taken before the shuffle, and adaptive joins split the neighbours of a hub.  Lineage is cut each
-    round by a checkpoint.
+    round by a checkpoint.  Edges with a null end, and those of a node with itself, join nothing and name no
+    node; repeated edges count once; without edges there are no nodes.
     """
 
     def starred(e: DataFrame, of: DataFrame) -> DataFrame:

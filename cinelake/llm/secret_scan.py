@@ -10,8 +10,8 @@ The index is restricted to the trigrams that the rules mention, so it holds a fe
 ``doc_id`` identifies a document in the postings; repeated rows share their postings and are verified
 each, and rows without an id meet by null-safe comparison.
 
-Defined results: a null or empty text has no spans; an empty table gives an empty result; columns
-of ``docs`` whose names begin with two underscores are renamed.
+Defined results: a null or empty text has no spans; a very long text is searched whole; an empty table
+gives an empty result; columns of ``docs`` whose names begin with two underscores are renamed.
 """
 
 from __future__ import annotations

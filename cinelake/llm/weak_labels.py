@@ -6,7 +6,9 @@ at most, whatever the size of the corpus, and every document is counted.  The po
 sample of documents then train a hashed linear scorer, which scores every document.
 
 Defined results: a null or empty text has no votes, the posterior of the class share, and a score from the
-intercept and the length feature; repeated rows are scored alike; without documents the result is empty.
+intercept and the length feature; a very long text votes and is scored whole; rows without an id count and are scored
+like any other; repeated rows are scored alike; a score equal to the threshold is kept; columns other than ``doc_id``
+and ``text``, of any name, are not looked at; without documents the result is empty.
 """
 
 from __future__ import annotations
