@@ -15,8 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Bytes of a key.  Fixed value.
-KEY_BYTES = 16
+#: Bytes of a key, and of a host's.  Fixed values.
+KEY_BYTES, HOST_BYTES = 16, 12
 
 
 def canonical_text(text: str | None) -> str | None:
@@ -58,3 +58,33 @@ def cache_key(source: Column, stage: Column, tools: Column, params: Column) -> C
     """
     head = F.to_json(F.struct(source.alias("source"), stage.alias("stage"), F.coalesce(tools, F.create_map().cast("map<string,string>")).alias("tools")))
     return hash_json(F.concat(F.regexp_replace(head, "[}]$", ""), F.lit(',"params":'), F.coalesce(params, F.lit("{}")), F.lit("}")))
+
+
+#: What a host's key is made of, in order, with what stands for nothing; groups of flags are written as digits.  Fixed values.
+HOST_PIECES = (("cores", "0"), ("ram_mib", "0"), ("arch", "none"), ("vram_mib", "0"), ("driver", "none"), ("ffmpeg", "none"), ("vendor", "none"))
+HOST_FLAGS = (
+    ("qsv_h264", "qsv_hevc", "qsv_av1"),
+    ("amf_h264", "amf_hevc", "amf_av1"),
+    ("d3d12_h264", "d3d12_av1"),
+    ("vulkan_h264", "vulkan_hevc", "vulkan_av1"),
+)
+
+
+def host_text(flags: Column, encoders: Column) -> Column:
+    """The twelve pieces that tell hosts apart, each followed by a bar.
+
+    The plain pieces are read from columns of their names; ``flags`` is a map of what the host can do (what it lacks is off),
+    ``encoders`` an array of names in any order.  Empty texts count as none, as nulls do.
+    """
+    plain = [F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(none)) for c, none in HOST_PIECES]
+    has = lambda name: F.when(F.coalesce(F.try_element_at(flags, F.lit(name)), F.lit(False)), "1").otherwise("0")
+    digits = [F.concat(*(has(n) for n in group)) for group in HOST_FLAGS]
+    names = F.coalesce(F.array_join(F.array_sort(encoders), ","), F.lit(""))
+    return F.concat(*(x for piece in [*plain, *digits, names] for x in (piece, F.lit("|"))))
+
+
+@F.pandas_udf(StringType())
+def host_key(text: pd.Series) -> pd.Series:
+    """BLAKE2b of 96 bits of a host's text, as hex digits."""
+    known = {t: hashlib.blake2b(t.encode(), digest_size=HOST_BYTES).hexdigest() for t in text.dropna().unique()}
+    return text.map(known)

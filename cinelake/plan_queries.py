@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.functions import canonical
-from cinelake.plans import batching, paths, recommend
+from cinelake.plans import batching, models, paths, recommend
 from cinelake.queries import STREAM, query, stream, table
 
 
@@ -226,7 +226,78 @@ PLAN_COLUMNS = {
     "batches": "CASE WHEN o_totalprice > 280000 THEN 3 ELSE 0 END",
     "manual": "o_totalprice > 300000",
     "dedupe_enabled": "o_custkey % 2 = 1",
+    "model": "CASE o_custkey % 6 WHEN 0 THEN 'realesr-animevideov3' WHEN 1 THEN 'realesrgan-x4plus' WHEN 2 THEN 'acnet' WHEN 3 THEN 'models-pro' WHEN 4 THEN 'models-cunet' ELSE 'models-upconv_7_photo' END",
+    "scale": "o_orderkey % 6",
+    "denoise": "o_custkey % 7 - 2",
+    "version": "CASE o_custkey % 3 WHEN 0 THEN 'v4.25-lite' WHEN 1 THEN 'v4.24' ELSE 'v9' END",
 }
+
+
+def notes_sql(when: str) -> str:
+    """P12's notes as entries of a list in SQL, null where there is none."""
+    catalogue = ", ".join(sql_text(m) for m in models.ANIME_MODELS)
+    is_ = lambda e: f"{when} AND engine = '{e}'"
+    anime = "engine || ': Anime4K"
+    rows = [
+        f"""{is_(models.CUGAN)} AND NOT CASE WHEN model = 'models-pro' THEN scale IN (2, 3) AND denoise IN (-1, 0, 3) ELSE scale = 2 AND denoise BETWEEN -1 AND 3 OR scale IN (3, 4) AND denoise IN (-1, 0, 3) END
+        THEN 'realcugan: Real-CUGAN ' || model || ' does not ship a (scale=' || scale || ', denoise=' || denoise || ') checkpoint; the binary will silently fall back. Consider scale=2/3 with denoise=3 for cel anime.'""",
+        f"{is_(models.CUGAN)} AND scale = 4 AND model = 'models-pro' THEN 'realcugan: Real-CUGAN pro lacks a native 4x checkpoint; the binary cascades 2x→2x. Real-ESRGAN x4 is usually preferable for 4x.'",
+        f"{is_(models.ESRGAN)} AND NOT starts_with(model, 'realesr') THEN 'realesrgan: Real-ESRGAN model ''' || model || ''' is not in our catalog; assuming x4 native scale.'",
+        f"{is_(models.ESRGAN)} AND starts_with(model, 'realesr') AND scale > 4 THEN 'realesrgan: Real-ESRGAN model ''' || model || ''' has native scale x4; requested x' || scale || ' would extrapolate.'",
+        f"""{is_(models.ESRGAN)} AND starts_with(model, 'realesr') AND scale < 4 THEN 'realesrgan: Real-ESRGAN model ''' || model || ''' runs at x4 natively; the binary will downscale the result to x' || scale || ', which wastes ~' || (16 - scale * scale)
+        || ' GPU-frames worth of compute. Consider Real-CUGAN at native x' || scale || '.'""",
+        f"{is_(models.ESRGAN)} AND model = 'realesrgan-x4plus' THEN 'realesrgan: Real-ESRGAN model ''realesrgan-x4plus'' is a stills model and will flicker in motion. For anime episodes prefer realesr-animevideov3.'",
+        f"""{is_(models.WAIFU)} AND model NOT IN ('models-cunet', 'models-upconv_7_photo') THEN 'waifu2x: waifu2x model ''' || model
+        || ''' is not in our catalog; known models: [''models-cunet'', ''models-upconv_7_anime_style_art_rgb'', ''models-upconv_7_photo'']'""",
+        f"""{is_(models.WAIFU)} AND (model = 'models-cunet' AND scale NOT IN (1, 2) OR model = 'models-upconv_7_photo' AND scale <> 2) THEN 'waifu2x: waifu2x ' || model || ' does not ship a scale=' || scale || ' checkpoint (supported: '
+        || CASE WHEN model = 'models-cunet' THEN '[1, 2]' ELSE '[2]' END || '). Pick scale=2 for cel anime, or scale=1 with models-cunet for denoise-only passes.'""",
+        f"""{is_(models.WAIFU)} AND model IN ('models-cunet', 'models-upconv_7_photo') AND denoise NOT BETWEEN -1 AND 3
+        THEN 'waifu2x: waifu2x ' || model || ' does not ship a denoise=' || denoise || ' checkpoint (supported: [-1, 0, 1, 2, 3]). Use -1 for no denoise; 3 is strongest.'""",
+        f"""{is_(models.WAIFU)} AND model = 'models-upconv_7_photo'
+        THEN 'waifu2x: waifu2x model ''models-upconv_7_photo'' is a photo model and will produce smoother, less line-faithful output on cel anime. For anime episodes prefer models-cunet.'""",
+        f"{when} AND starts_with(engine, 'anime4kcpp') AND model NOT IN ({catalogue}) THEN {anime} model ''' || model || ''' is not in our catalog; see Anime4KCPP wiki Model list (default: acnet-f8b8-hdn)'",
+        f"{when} AND starts_with(engine, 'anime4kcpp') AND scale NOT BETWEEN 1 AND 4 THEN {anime} scale should be within 1..4 for predictable output quality.'",
+        f"{is_(models.ANIME_VS)} AND denoise NOT BETWEEN -1 AND 3 THEN {anime} denoise should stay in -1..3 to match preset compatibility.'",
+    ]
+    return ",\n    ".join(f"CASE WHEN {r} END" for r in rows)
+
+
+def version_sql(when: str) -> str:
+    """The interpolator's notes in SQL, for the versions that occur."""
+    return f"""CASE WHEN {when} AND version = 'v9' THEN 'rife: RIFE version ''v9'' not in our catalog; behavior may differ.' WHEN {when} AND version LIKE '%-lite'
+    THEN 'rife: RIFE ' || version || ' is a lite variant — faster but lower quality. Prefer v4.22/v4.24-class non-lite models unless throughput is a hard constraint.' END"""
+
+
+P12_COLUMNS = {
+    "engine": "CASE l_partkey % 6 WHEN 0 THEN 'realcugan-ncnn-vulkan' WHEN 1 THEN 'realesrgan-ncnn-vulkan' WHEN 2 THEN 'waifu2x-ncnn-vulkan' WHEN 3 THEN 'anime4kcpp' WHEN 4 THEN 'anime4kcpp-vs' ELSE 'none' END",
+    "model": "CASE l_suppkey % 7 WHEN 0 THEN 'realesr-animevideov3' WHEN 1 THEN 'realesrgan-x4plus' WHEN 2 THEN 'arnet-f8b16-box' WHEN 3 THEN 'models-pro' WHEN 4 THEN 'models-cunet' WHEN 5 THEN l_linestatus ELSE 'models-upconv_7_photo' END",
+    "scale": "l_linenumber - 1",
+    "denoise": "l_orderkey % 7 - 2",
+}
+F29_COLUMNS = {"enabled": "l_linenumber > 1", "deband": "l_partkey % 2 = 0", "deblock": "CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 3 = 1 END", "grain": "l_quantity::INT - 12"}
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS id, l_linenumber AS line, {", ".join(f"{e} AS {c}" for c, e in P12_COLUMNS.items())} FROM lineitem)
+SELECT id, line, array_to_string([x for x in [{notes_sql("true")}] if x IS NOT NULL], '|') AS notes FROM r""")
+def p12_model_notes(spark: SparkSession, d: str) -> DataFrame:
+    """What users should know of combinations of engine, model, scale and strength."""
+    notes = models.model_notes(*(F.expr(P12_COLUMNS[c]) for c in ("engine", "model", "scale", "denoise")))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.array_join(notes, "|").alias("notes"))
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS id, l_linenumber AS line, {", ".join(f"{e} AS {c}" for c, e in F29_COLUMNS.items())} FROM lineitem),
+s AS (SELECT *, [x for x in [CASE WHEN enabled AND deband THEN 'gradfun=1.5:8' END, CASE WHEN enabled AND deblock THEN 'deblock=filter=weak:block=4:alpha=0.05:beta=0.05' END,
+  CASE WHEN enabled AND grain > 0 THEN 'noise=c0s=' || least(grain, 32) || ':c0f=t+u' END] if x IS NOT NULL] AS parts FROM r)
+SELECT id, line, CASE WHEN len(parts) > 0 THEN array_to_string(parts, ',') END AS vf,
+  CASE WHEN NOT enabled THEN 'postprocess disabled' WHEN len(parts) = 0 THEN 'postprocess enabled but all sub-filters off'
+    ELSE array_to_string([x for x in [CASE WHEN deband THEN 'deband: gradfun=1.5:8 (smooths gradient banding)' END, CASE WHEN deblock THEN 'deblock: weak filter, block=4 (cleans source compression artifacts)' END,
+      CASE WHEN grain > 0 THEN 'grain: noise c0s=' || least(grain, 32) || ' luma temporal+uniform (prevents over-smooth NVENC look)' END] if x IS NOT NULL], '|') END AS rationale,
+  CASE WHEN enabled AND grain > 32 THEN 'grain_addback ' || grain || ' clamped to 32 (valid range 0..32)' ELSE '' END AS warnings FROM s""")
+def f29_filter_chains(spark: SparkSession, d: str) -> DataFrame:
+    """the chain of filters after upscaling, with reasons and warnings."""
+    chain = models.filter_chain(*(F.expr(F29_COLUMNS[c]) for c in ("enabled", "deband", "deblock", "grain")))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), chain.alias("c"))
+    return rows.select("id", "line", "c.vf", F.array_join("c.rationale", "|").alias("rationale"), F.array_join("c.warnings", "|").alias("warnings"))
 D14_SQL = f"""WITH p AS (SELECT o_orderkey AS plan, {", ".join(f"{e.replace('0D', '0::DOUBLE').replace('5D', '5::DOUBLE')} AS {c}" for c, e in PLAN_COLUMNS.items())} FROM orders),
 f AS (SELECT *, coalesce(regexp_matches(lower(pix_fmt), 'p10|p012|p12'), false) AS deep, coalesce(lower(transfer) IN ('smpte2084', 'arib-std-b67'), false) AS hdr,
   upscale_enabled AND engine <> 'none' AS wants, interpolate_enabled AND coalesce(interpolator = 'rife-ncnn-vulkan', false) AS asks,
@@ -253,11 +324,12 @@ def plans(spark: SparkSession, d: str) -> DataFrame:
   dedupe_enabled AND framed AND (up OR inter) AND engine <> 'anime4kcpp-vs' AS dedupe, CASE WHEN deep OR hdr THEN hdr_policy ELSE 'n/a' END AS hdr_policy,
   CASE WHEN trip THEN 'yuv420p' END AS target_pix_fmt, CASE WHEN trip THEN 'bt709' ELSE nullif(transfer, '') END AS target_transfer, trip AS roundtripped,
   array_to_string([x for x in [CASE WHEN skipped THEN {sql_text(paths.SKIPPED)} END, CASE WHEN trip THEN {sql_text(paths.ROUNDTRIP)} END,
+    {notes_sql("up")}, {version_sql("asks")},
     CASE WHEN num IS NULL AND m IS NOT NULL THEN {sql_text(paths.UNKNOWN_RATE)} WHEN num IS NULL THEN {sql_text(paths.ASSUMED)} WHEN m < 1 THEN 'fps: multiplier ' || m || ' < 1 is invalid; using 1'
       WHEN m IS NULL AND goal > 0 AND drift > 0.005 THEN 'fps: target ' || goal || 'fps from source ' || printf('%.3f', fps) || 'fps requires non-integer multiplier ' || printf('%.3f', goal / fps)
         || '; rounded to ' || times || '× → ' || printf('%.3f', fps * times) || 'fps (drift ' || printf('%.2f', drift * 100) || '%)' END] if x IS NOT NULL], '|') AS warnings FROM j""")
 def d14_plans(spark: SparkSession, d: str) -> DataFrame:
-    """What each plan does, its rate, HDR policy, decode size and warnings."""
+    """What each plan does, its rate, HDR policy, decode size and warnings."""
     return paths.planned(plans(spark, d)).drop("stages").withColumn("warnings", F.array_join("warnings", "|"))
 
 

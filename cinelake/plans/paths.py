@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import scalar as fn
 from cinelake.functions.scalar import let
+from cinelake.plans import models
 
 # Transfers of HDR, parts of names of pixel formats of more than eight bits, the engine that interpolates,
 # named targets, and messages.
@@ -78,7 +79,8 @@ def planned(plans: DataFrame) -> DataFrame:
 
     ``plans``: (plan, pipeline_order, num, den, pix_fmt, transfer, width, height, upscale_enabled, engine, hdr_policy,
     interpolate_enabled, interpolator, target_fps, multiplier, post_enabled, deband, deblock, grain, target_mode, target_w,
-    target_h, target_named, batches, manual, dedupe_enabled).  ``num / den`` is the source's rate in lowest terms, null if
+    target_h, target_named, batches, manual, dedupe_enabled), and model, scale, denoise, version where combinations are to be
+    checked (P12).  ``num / den`` is the source's rate in lowest terms, null if
     unknown; ``batches`` counts the batches that were planned, and ``manual`` says that batching is on by hand: either makes
     the encoder read frames.
     """
@@ -117,6 +119,11 @@ def planned(plans: DataFrame) -> DataFrame:
     common = fn.gcd(c("num") * times, c("den").cast("long"))
     rate = F.when(c("num") > 0, F.concat((c("num") * times / common).cast("long").cast("string"), F.lit("/"), (c("den") / common).cast("long").cast("string"))).otherwise("")
     special = c("is.deep") | c("is.hdr")
+    none, notes = F.array().cast("array<string>"), []
+    if "model" in plans.columns:
+        notes.append(F.when(c("is.upscale"), models.model_notes(c("engine"), c("model"), c("scale"), c("denoise"))).otherwise(none))
+    if "version" in plans.columns:
+        notes.append(F.when(c("is.asks"), models.interpolator_notes(c("version"))).otherwise(none))
     dedupe = flag("dedupe_enabled") & frames & (c("is.upscale") | interpolates) & ~(F.coalesce("engine", F.lit("")) == "anime4kcpp-vs")
     return first.select(
         "plan",
@@ -134,7 +141,7 @@ def planned(plans: DataFrame) -> DataFrame:
         F.when(c("is.trip"), "bt709").otherwise(F.nullif("transfer", F.lit(""))).alias("target_transfer"),
         c("is.trip").alias("roundtripped"),
         stages.alias("stages"),
-        F.array_compact(F.array(F.when(c("is.skip"), SKIPPED), F.when(c("is.trip"), ROUNDTRIP), c("is.raised.note"))).alias("warnings"),
+        F.concat(F.array_compact(F.array(F.when(c("is.skip"), SKIPPED), F.when(c("is.trip"), ROUNDTRIP))), *notes, F.array_compact(F.array(c("is.raised.note")))).alias("warnings"),
     )
 
 
