@@ -2,10 +2,10 @@
 
 A text is escaped as SentencePiece does (a space becomes U+2581, one stands before the text) and cut
 into the pieces whose scores add up to the most.  The search runs over the text once.  Scores are kept for
-the boundaries within the longest piece; the backpointers of the boundaries since the last commit are a
-tree, of which dead ends are taken off, and as soon as all of it hangs on one boundary the ids up to there
-are final and leave the window.  Where no piece holds U+2581 after another character, every path meets at
-the start of a word, so the search begins anew there, and what it found for a word is remembered.
+the boundaries within the longest piece, and backpointers for those since the last commit.  Where all of
+the paths that may still win meet on one boundary, the ids up to there are final and leave the window.
+Where no piece holds U+2581 after another character, every path meets at the start of a word, so the search
+begins anew there, and what it found for a word is remembered.
 
 The pieces are those of the public model of 32,000 pieces.  Its scores were made for merges: the ids here are
 the exact best sum of scores, not the merges' order, and the public encoder's own ids differ from them.
@@ -23,6 +23,7 @@ error; columns of ``docs`` that bear the name of the new column are renamed; an
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ BYTE_PENALTY = 10.0
 MEMO_CHARS, MEMO_WORDS = 48, 1_000_000
 #: Rows handled at a time.
 ROWS = 256
+#: What follows a piece that begins no longer one.
+LEAF: dict[str, tuple] = {}
 
 
 class Pieces:
@@ -49,10 +52,14 @@ class Pieces:
         self.scores = {text: (score, number) for number, text, score in pieces}
         self.byte_ids = byte_ids
         self.longest = max((len(p) for p in self.scores), default=1)
-        # Pieces, and what pieces start with (without score and ids), so that a search can end early.
-        self.known: dict[str, tuple] = {p[:k]: () for p in self.scores for k in range(1, len(p))}
-        self.known |= {p: (score, (number,)) for p, (score, number) in self.scores.items()}
         self.worst = min((s for s, _ in self.scores.values() if s > -1e8), default=0.0) - BYTE_PENALTY
+        # A tree by characters: what may follow, and the score and ids of a piece that ends here (none: null).
+        self.tree: dict[str, tuple] = {}
+        for text in sorted(self.scores, key=len, reverse=True):
+            self._plant(text)
+        for c, (more, own, _) in self.tree.items():
+            if own is None:
+                self.tree[c] = more, self.worst, self._bytes(c)
         self.bounded = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
         # Control characters that are in no longer piece part the words as well.
         joined = {c for p in self.scores if len(p) > 1 for c in p}
@@ -65,89 +72,99 @@ class Pieces:
             self.spelled[number] = bytes([byte])
         self.memo: dict[str, bytes] = {}
 
+    def _plant(self, text: str) -> None:
+        node = self.tree
+        for c in text[:-1]:
+            node = node[c][0] if c in node else node.setdefault(c, ({}, None, None))[0]
+        score, number = self.scores[text]
+        node[text[-1]] = node.get(text[-1], (LEAF,))[0], score, (number,)
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
     def search(self, text: str) -> Iterator[int]:
         """Ids of the best pieces of an escaped text, yielded as soon as all paths that may still win agree on them.
 
-        The backpointers make a tree under the last committed boundary.  A boundary behind the one at hand can
-        start no more pieces, so without children it goes, and its parent's count falls; a committed boundary with
-        one child is left by every path.  Each boundary joins and leaves the tree once, so a character costs the
-        pieces that start at it, however far back the paths meet.
+        Where no piece reaches beyond a boundary, every path meets there, which is seen at once.  Where pieces overlap
+        on and on, the paths of all boundaries in reach are followed back to where they meet, each time the stretch
+        since the last commit has grown to the longest piece's length, and then to twice what it was.
         """
-        get, size = self.known.get, len(text)
-        offset = first = 0  # of the lists, and the last committed boundary
-        room = min(size, 4 * self.longest) + 1
-        # Best sum, and length and ids of the piece that ends at a boundary; length 0: not reached yet.
-        score, length, ids = [-np.inf] * room, [0] * room, [()] * room
-        children, child = [0] * room, [0] * room  # how many boundaries go back to one, and the sum of their places
+        size, longest, root, worst = len(text), self.longest, self.tree, self.worst
+        offset = first = far = 0  # of the lists, the last committed boundary, and the farthest one reached
+        due = longest
+        room = min(size, 4 * longest) + 1
+        # Best sum, where the piece that ends at a boundary begins, and its ids.
+        score, before, ids = [-np.inf] * room, [0] * room, [()] * room
         score[0] = 0.0
         for at in range(size):
-            here = at - offset
-            own = score[here]
-            for end in range(at + 1, size + 1):
-                found = get(text[at:end])
-                if not found:
-                    if end > at + 1:
-                        if found is None:
-                            break
-                        continue
-                    found = self.worst, tuple(self.byte_ids[b] for b in text[at].encode())
-                    alone = end == size or get(text[at : end + 1]) is None
-                else:
-                    alone = False
-                k = end - offset
-                if k >= len(score):
-                    more = self.longest
-                    score += [-np.inf] * more
-                    for x in (length, children, child):
-                        x += [0] * more
-                    ids += [()] * more
-                total = own + found[0]
-                if total > score[k]:
-                    place = k - length[k]
-                    score[k], length[k], ids[k] = total, end - at, found[1]
-                    if place < k:  # it no longer goes back there
-                        children[place] -= 1
-                        child[place] -= end
-                        if not children[place]:
-                            self._dead(place, here, first - offset, offset, length, children, child)
-                    children[here] += 1
-                    child[here] += end
-                if alone:
+            if at > first and (at == far or at - first >= due):
+                meet = at if at == far else self._meeting(at, far, first, offset, score, before)
+                due = longest if meet > first else 2 * due
+                out = []
+                place = meet
+                while place > first:
+                    out.append(ids[place - offset])
+                    place = before[place - offset]
+                for x in reversed(out):
+                    yield from x
+                first = meet
+                if first - offset > 4 * longest:
+                    for x in (score, before, ids):
+                        del x[: first - offset]
+                    offset = first
+            here = end = at - offset
+            missing = here + longest + 1 - len(score)
+            if missing > 0 and len(score) <= size - offset:
+                missing += longest
+                score += [-np.inf] * missing
+                before += [0] * missing
+                ids += [()] * missing
+            own, node, last = score[here], root, here
+            for c in text[at : at + longest]:
+                hit = node.get(c)
+                if hit is None:
                     break
-            if not children[here]:
-                self._dead(here, here + 1, first - offset, offset, length, children, child)
-            while first <= at and children[first - offset] == 1:
-                first = child[first - offset]
-                yield from ids[first - offset]
-            if first - offset > 4 * self.longest:
-                for x in (score, length, ids, children, child):
-                    del x[: first - offset]
-                offset = first
+                end += 1
+                node, s, i = hit
+                if s is not None:
+                    last = end
+                    total = own + s
+                    if total > score[end]:
+                        score[end], before[end], ids[end] = total, at, i
+            if last == here:  # no piece starts with this character
+                last += 1
+                if own + worst > score[last]:
+                    score[last], before[last], ids[last] = own + worst, at, self._bytes(text[at])
+            if last + offset > far:
+                far = last + offset
         # The end has one path.
-        out: list[tuple[int, ...]] = []
-        while size > first:
-            out.append(ids[size - offset])
-            size -= length[size - offset]
+        out, place = [], size
+        while place > first:
+            out.append(ids[place - offset])
+            place = before[place - offset]
         for x in reversed(out):
             yield from x
 
     @staticmethod
-    def _dead(place: int, young: int, root: int, offset: int, length: list, children: list, child: list) -> None:
-        """Takes boundaries without children, older than ``young``, off the tree, from ``place`` on back to the root."""
-        while place < young and place != root and not children[place]:
-            parent = place - length[place]
-            children[parent] -= 1
-            child[parent] -= place + offset
-            place = parent
+    def _meeting(at: int, far: int, first: int, offset: int, score: list, before: list) -> int:
+        """The boundary where the paths of all boundaries reached from ``at`` on meet: ``first`` at the earliest."""
+        live = {b for b in range(at, far + 1) if score[b - offset] > -np.inf}
+        for b in range(far, first, -1):
+            if len(live) == 1:
+                break
+            if b in live:
+                live.remove(b)
+                live.add(before[b - offset])
+        return live.pop()
+
+    def _bytes(self, character: str) -> tuple[int, ...]:
+        return tuple(self.byte_ids[b] for b in character.encode())
 
     def _word(self, word: str) -> bytes:
         """The search's ids of a word: its start is a boundary of every path, so they depend on the word alone."""
         ids = self.memo.get(word)
         if ids is None:
-            ids = np.fromiter(self.search(word), np.int32).tobytes()
+            ids = array("i", self.search(word)).tobytes()
             if len(word) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO_WORDS:
                     self.memo.clear()
