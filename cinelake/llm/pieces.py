@@ -53,12 +53,12 @@ class Pieces:
         self.byte_ids = byte_ids
         self.longest = max((len(p) for p in self.scores), default=1)
         self.worst = min((s for s, _ in self.scores.values() if s > -1e8), default=0.0) - BYTE_PENALTY
-        # A tree by characters: what may follow, and the score and ids of a piece that ends here (none: null).
+        # A tree by characters: what may follow, and the score and ids of a piece that ends here (none: minus infinity).
         self.tree: dict[str, tuple] = {}
         for text in sorted(self.scores, key=len, reverse=True):
             self._plant(text)
         for c, (more, own, _) in self.tree.items():
-            if own is None:
+            if own == -np.inf:
                 self.tree[c] = more, self.worst, self._bytes(c)
         self.bounded = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
         # Control characters that are in no longer piece part the words as well.
@@ -75,7 +75,7 @@ class Pieces:
     def _plant(self, text: str) -> None:
         node = self.tree
         for c in text[:-1]:
-            node = node[c][0] if c in node else node.setdefault(c, ({}, None, None))[0]
+            node = node[c][0] if c in node else node.setdefault(c, ({}, -np.inf, ()))[0]
         score, number = self.scores[text]
         node[text[-1]] = node.get(text[-1], (LEAF,))[0], score, (number,)
 
@@ -89,54 +89,53 @@ class Pieces:
         on and on, the paths of all boundaries in reach are followed back to where they meet, each time the stretch
         since the last commit has grown to the longest piece's length, and then to twice what it was.
         """
-        size, longest, root, worst = len(text), self.longest, self.tree, self.worst
-        offset = first = far = 0  # of the lists, the last committed boundary, and the farthest one reached
-        due = longest
-        room = min(size, 4 * longest) + 1
+        size, longest, root, worst, none = len(text), self.longest, self.tree, self.worst, -np.inf
+        # The lists begin at ``offset``; first: the last committed boundary, far: the farthest one reached, in the lists.
+        offset = first = far = 0
+        stop, room = longest, min(size, 4 * longest) + 1
+        full = room - longest - 1 if room <= size else size  # beyond it the lists have to grow
         # Best sum, where the piece that ends at a boundary begins, and its ids.
-        score, before, ids = [-np.inf] * room, [0] * room, [()] * room
+        score, before, ids = [none] * room, [0] * room, [()] * room
         score[0] = 0.0
         for at in range(size):
-            if at > first and (at == far or at - first >= due):
-                meet = at if at == far else self._meeting(at, far, first, offset, score, before)
-                due = longest if meet > first else 2 * due
-                out = []
-                place = meet
+            here = at - offset
+            if here == far or at >= stop:
+                meet = at if here == far else self._meeting(at, far + offset, first, offset, score, before)
+                out, place = [], meet
                 while place > first:
                     out.append(ids[place - offset])
                     place = before[place - offset]
                 for x in reversed(out):
                     yield from x
+                stop = meet + longest if meet > first else 2 * stop - first
                 first = meet
                 if first - offset > 4 * longest:
+                    cut = first - offset
                     for x in (score, before, ids):
-                        del x[: first - offset]
-                    offset = first
-            here = end = at - offset
-            missing = here + longest + 1 - len(score)
-            if missing > 0 and len(score) <= size - offset:
-                missing += longest
-                score += [-np.inf] * missing
-                before += [0] * missing
-                ids += [()] * missing
-            own, node, last = score[here], root, here
+                        del x[:cut]
+                    offset, here, far, full = first, here - cut, far - cut, full - cut
+            if here > full:
+                more = here + 2 * longest
+                score += [none] * more
+                before += [0] * more
+                ids += [()] * more
+                full += more
+            own, node, end, last = score[here], root, here, 0
             for c in text[at : at + longest]:
                 hit = node.get(c)
                 if hit is None:
                     break
-                end += 1
                 node, s, i = hit
-                if s is not None:
-                    last = end
-                    total = own + s
-                    if total > score[end]:
-                        score[end], before[end], ids[end] = total, at, i
-            if last == here:  # no piece starts with this character
-                last += 1
-                if own + worst > score[last]:
-                    score[last], before[last], ids[last] = own + worst, at, self._bytes(text[at])
-            if last + offset > far:
-                far = last + offset
+                end += 1
+                total = own + s
+                if total > score[end]:
+                    score[end], before[end], ids[end], last = total, at, i, end
+            if end == here:  # no piece starts with this character
+                total, end = own + worst, here + 1
+                if total > score[end]:
+                    score[end], before[end], ids[end], last = total, at, self._bytes(text[at]), end
+            if last > far:
+                far = last
         # The end has one path.
         out, place = [], size
         while place > first:
@@ -176,12 +175,13 @@ class Pieces:
         if not text:
             return b""
         out: list[bytes] = []
+        known = self.memo.get
         for k, part in enumerate(text.split(SPACE)):
             if k:
                 out.append(np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes())
             escaped = (SPACE if k == 0 else "") + part.replace(" ", SPACE)
             if self.bounded:
-                out += map(self._word, self.word.findall(escaped))
+                out += [known(w) or self._word(w) for w in self.word.findall(escaped)]
             else:
                 out.append(np.fromiter(self.search(escaped), np.int32).tobytes())
         return b"".join(out)
