@@ -1,7 +1,8 @@
 """Two-pass external shuffle into shards.
 
 Pass one scatters the records by a seeded hash into as many buckets as keep a bucket's bytes within
-memory, a partition each.  Pass two puts a bucket's records into a fixed order and shuffles them by
+memory, a partition each, or a partition for a run of buckets where there are more than ``PARTITIONS``: a
+partition is sorted by bucket on disk, and one bucket is in memory at a time.  Pass two puts a bucket's records into a fixed order and shuffles them by
 Fisher-Yates with a generator seeded by the bucket.  A table of the buckets' counts, summed up in order,
 gives each bucket its place in the whole, and the whole, cut into equal stretches, gives the shards, whose
 counts differ by one at most; a shard is made of a few whole or cut buckets.  The result depends on the seed
@@ -26,6 +27,8 @@ SHARDS = 40
 SEED = 20_240_607
 #: Bytes of a bucket, at most on average: what a task holds in memory.
 BUCKET_BYTES = 32 << 20
+#: Partitions of the scatter at most: the driver keeps track of each one's part in each task.
+PARTITIONS = 20_000
 #: Equal records that one row stands for while they are numbered.
 CHUNK = 1 << 14
 #: What a record counts besides its text.
@@ -58,7 +61,7 @@ def dealt(docs: DataFrame, buckets: int, seed: int) -> DataFrame:
 
 
 def external_shuffle(
-    docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, partitions: int = PARTITIONS
 ) -> DataFrame:
     """``docs`` with ``__shard`` and ``__slot``; the counts of any two shards differ by one at most."""
     docs = plain_columns(docs)
@@ -71,19 +74,21 @@ def external_shuffle(
     offsets = written(scattered.groupBy("__bucket").count().select(F.col("__bucket").alias("__of"), before.alias("__before")))
     names = docs.columns
 
-    def shuffle(key: tuple[pa.Scalar], records: pa.Table) -> pa.Table:
+    def shuffle(key: tuple[pa.Scalar, ...], records: pa.Table) -> pa.Table:
         order = [("__key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]
         fixed = pc.sort_indices(records.select(["__key", "doc_id", "text"]), order)
         # Generator.permutation is a Fisher-Yates shuffle.
-        order = fixed.to_numpy()[np.random.Generator(np.random.PCG64([seed, key[0].as_py()])).permutation(len(fixed))]
+        order = fixed.to_numpy()[np.random.Generator(np.random.PCG64([seed, key[-1].as_py()])).permutation(len(fixed))]
         out = records.take(pa.array(order)).select([*names, "__bucket"])
         return out.append_column("__at", pa.array(np.arange(len(order)), pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    # A partition a bucket, so a task's share stays a bucket's at any size of the input.
+    # A run of buckets a partition: one bucket, so that a task's share stays a bucket's, up to the largest number of partitions.
+    run = -(-buckets // partitions)
     shuffled = (
-        scattered.repartitionById(buckets, "__bucket")
-        .groupBy("__bucket")
+        scattered.withColumn("__run", F.expr(f"cast(__bucket div {run} as int)"))
+        .repartitionById(-(-buckets // run), "__run")
+        .groupBy("__run", "__bucket")
         .applyInArrow(shuffle, f"{schema}, `__bucket` int, `__at` bigint")
     )
     return (
