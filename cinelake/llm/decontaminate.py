@@ -4,8 +4,9 @@ The windows of the benchmark (ten words, or a whole shorter item) are hashed int
 broadcast; each task slides the same windows over the words of its documents, looks the hashes up,
 verifies every hit word by word, and reports the covered word ranges and the items found.  No row is
 shuffled.  A benchmark above ``MAX_BLOCK_BYTES`` is cut into blocks that are scanned one after the
-other, each pass written before the next block is made, so that the driver and a worker hold one block at
-any size of the benchmark.
+other, so that the driver and a worker hold one block at any size of the benchmark.  A pass reads the texts and
+writes what it found in those that hold a window, by the text's SHA-256 digest (equal digests are taken as equal
+texts); the last pass joins all of it to the documents, so no pass writes the documents themselves.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window;
 items that repeat are found each; items without an id count as one, which has no name; very long texts are
@@ -17,12 +18,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import plain_columns, table, written
@@ -32,6 +34,9 @@ WINDOW = 10
 #: Benchmark text of one broadcast block, in bytes: above it, more blocks are made.  A block takes about twenty
 #: times that in memory while it is made, and ten times kept.
 MAX_BLOCK_BYTES = 8 << 20
+#: What all blocks but the last found is broadcast up to so many bytes; above, it is joined by a shuffle, and each
+#: text is dealt over so many tasks.
+MAX_FOUND_BYTES, SALTS = 8 << 20, 16
 #: Document text that a task handles at a time, in bytes (one document may be longer).
 SLICE_BYTES = 2 << 20
 
@@ -201,15 +206,45 @@ def blocks(benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> tupl
     return count, block
 
 
+def found_by_text(docs: DataFrame, block: Broadcast) -> DataFrame:
+    """(__of, __hits, __items) of the different texts that hold a window of a block, known by their digests."""
+    hit = scan_block(docs.select("text"), block).where(F.size("__hits") > 0)
+    return hit.select(digest().alias("__of"), "__hits", "__items").dropDuplicates(["__of"])
+
+
+def digest() -> Column:
+    return F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))
+
+
+def with_found(docs: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``docs`` with what the given blocks found, joined once.  A text is in a block's table once, so a group has a row a block at most."""
+    every = reduce(DataFrame.unionByName, tables)
+    one = written(every.groupBy("__of").agg(F.flatten(F.collect_list("__hits")).alias("__hits"), F.flatten(F.collect_list("__items")).alias("__items")))
+    size = one.agg(F.sum(64 + 8 * F.size("__hits") + 8 * F.size("__items"))).first()[0] or 0
+    if size <= MAX_FOUND_BYTES:
+        joined = docs.withColumn("__text_of", digest()).join(F.broadcast(one), F.col("__text_of") == F.col("__of"), "left")
+    else:
+        # A text may be a third of all rows: each is dealt over several tasks.
+        salted = docs.withColumns({"__text_of": digest(), "__salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))})
+        copies = one.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, (F.col("__text_of") == F.col("__of")) & (F.col("__salt") == F.col("__copy")), "left")
+    return joined.select(
+        *docs.columns,
+        F.coalesce("__hits", F.array().cast(HITS)).alias("__hits"),
+        F.coalesce("__items", F.array().cast("array<bigint>")).alias("__items"),
+    )
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``__n_words``, ``__hits`` (word ranges) and ``__items`` (ids of items found)."""
     docs = plain_columns(docs)
     count, block = blocks(benchmark, max_block_bytes)
+    tables = []
     for k in range(count - 1):
         own = block(k)
-        docs = written(scan_block(docs, own))
+        tables.append(written(found_by_text(docs, own)))
         own.destroy()
-    return scan_block(docs, block(count - 1))
+    return scan_block(with_found(docs, tables) if tables else docs, block(count - 1))
 
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> str:
