@@ -109,8 +109,12 @@ def walked(requests: DataFrame, keyframes: DataFrame, layouts: bool) -> DataFram
     keys = keyframes.where(F.col("pts").isNotNull()).select(
         F.col("source_id").cast("long").alias("source_id"), F.col("pts").cast("double").alias("pts"), *(none("double").alias(c) for c in PARAMS)
     )
-    # A source's request comes before its key frames: nulls are first.
-    rows = head.unionByName(keys).repartition("source_id").sortWithinPartitions("source_id", "pts")
+    # A source's request comes before its key frames: nulls are first.  Dealing by source_id alone would be left out where both
+    # sides stand by it already, and at run time either side's partitions are merged for themselves, so key frames would miss
+    # their request; by a hash of it, both are dealt together.  The
+    # number is given since walks are long over few bytes, which would be merged into a task or two.
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = head.unionByName(keys).repartition(tasks, F.xxhash64("source_id")).sortWithinPartitions("source_id", "pts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source: int | None = None

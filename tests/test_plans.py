@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from cinelake.plans import batching, recommend
 
@@ -261,3 +263,23 @@ def test_canonical_keys(spark):
     want = hashlib.blake2b(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode(), digest_size=16).hexdigest()
     key = canonical.cache_key(F.lit('s"1'), F.lit("04"), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")), F.lit('{"x": [1, {"k": false}]}'))
     assert spark.range(1).select(key.alias("k")).first()["k"] == want
+
+
+def test_walks_meet_their_key_frames_however_the_sides_are_dealt(spark):
+    """Both sides stand by source already, and run in different numbers of merged partitions."""
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set(least, "32k")
+    try:
+        ids = spark.range(300 * 800)
+        source, k = F.col("id") % 300, F.floor(F.col("id") / 300)
+        of = W.partitionBy("source_id").orderBy("k")
+        frames = ids.select(source.alias("source_id"), k.alias("k")).select("source_id", (F.row_number().over(of) * 10.0).alias("pts"))
+        ask = ids.groupBy(source.alias("source_id")).agg((F.count("*") * 0 + 8000.0).alias("duration"))
+        ask = ask.select("source_id", "duration", F.lit(24.0).alias("fps"), F.lit(15).alias("chunk_lo"), F.lit(15).alias("chunk_hi"))
+        ends = batching.walked(ask, frames, False).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.col("end_pts") % 10 > 0).alias("off"))
+        assert ends.where("n <> 800 or off > 0").count() == 0 and ends.count() == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(least)
