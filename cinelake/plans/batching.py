@@ -45,6 +45,13 @@ def total_bytes(frames: Column, fps: Column, duration: Column, multiplier: Colum
     return F.when((n > 0) & (each > 0), n.cast("long") * many * each).otherwise(F.lit(0).cast("long"))
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To six decimals, halves away from zero as SQL rounds them (numpy and Python round them to even)."""
+    up = np.abs(x) * 1e6
+    down = np.trunc(up)
+    return np.copysign(down + (up - down >= 0.5), x) / 1e6
+
+
 class Walk:
     """The walk of some lengths over one source's key frames."""
 
@@ -78,7 +85,7 @@ class Walk:
             first = -np.inf if self.before is None else self.before
             best = np.where(at >= 0, keys[np.maximum(at, 0)] if len(keys) else first, first)
             picked = np.where(best > self.bound[rows], best, target)
-            self.close(rows, np.round(picked, 6))
+            self.close(rows, rounded(picked))
             self.bound[rows] = picked
             self.target[rows] = picked + self.lengths[rows]
         if len(keys):
@@ -87,7 +94,7 @@ class Walk:
     def end(self) -> None:
         self.over(np.zeros(0), last=True)
         every = np.arange(len(self.lengths))
-        self.close(every, np.full(len(every), round(self.duration, 6)))
+        self.close(every, rounded(np.full(len(every), self.duration)))
         # To six decimals the end may come before the duration: then a last short batch covers it.
         self.close(every, np.full(len(every), self.duration))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -283,3 +284,11 @@ def test_walks_meet_their_key_frames_however_the_sides_are_dealt(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset(least)
+
+
+def test_halves_are_rounded_as_in_sql():
+    """Halves of the sixth decimal move away from zero, at bounds and at the end, so no empty last batch is left."""
+    assert batching.rounded(np.array([0.0000005, 0.0000025, 295.3585925, 1.25, -0.0000005])).tolist() == [0.000001, 0.000003, 295.358593, 1.25, -0.000001]
+    walk = batching.Walk(np.array([5]), 295.3585925, 24.0, True)
+    walk.end()
+    assert len(walk.kept) == 60 and walk.kept[-1] == (295.0, 295.358593)
