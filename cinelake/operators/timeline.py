@@ -204,17 +204,21 @@ def expanded(compact: DataFrame, multiplier: int) -> DataFrame:
 def cuts_in_batches(cuts: DataFrame, batches: DataFrame, width: int = 1024) -> DataFrame:
     """Local numbers of the cuts that fall into a batch's input (J02): 2 up to the input's length.
 
-    Frames are dealt into bins of ``width``, and a batch stands in each bin that it touches, so a cut meets the few batches
-    of its bin and not all of its source's.
+    Frames are dealt into bins, of ``width`` at level 0 and twice as wide at each further one.  A batch stands at the first
+    level whose bins are as long as it, so in two of them at most however long it is; a cut looks into its bin of each
+    level that its source has, and meets few batches and not all of its source's.
     """
     local = F.col("n") - F.col("input_base") + 1
-    bin_of = lambda n: F.floor(n / width).cast("long")
-    spread = batches.where(F.col("input_count") >= 2).withColumn(
-        "bin", F.explode(F.sequence(bin_of(F.col("input_base") + 1), bin_of(F.col("input_base") + F.col("input_count") - 1)))
-    )
+    bin_of = lambda n, level: F.call_function("shiftright", F.floor(n / width).cast("long"), level)
+    more = F.floor((F.col("input_count") - 2) / width).cast("long")  # bins of width that a batch fills, less one
+    level = F.when(more > 0, F.length(F.bin(more))).otherwise(0)
+    first, last = F.col("input_base") + 1, F.col("input_base") + F.col("input_count") - 1
+    levelled = batches.where(F.col("input_count") >= 2).withColumn("level", level)
+    spread = levelled.withColumn("bin", F.explode(F.sequence(bin_of(first, F.col("level")), bin_of(last, F.col("level")))))
     return (
-        cuts.withColumn("bin", bin_of(F.col("n")))
-        .join(spread, ["source_id", "bin"])
+        cuts.join(levelled.select("source_id", "level").distinct(), "source_id")
+        .withColumn("bin", bin_of(F.col("n"), F.col("level")))
+        .join(spread, ["source_id", "level", "bin"])
         .where((local >= 2) & (local <= F.col("input_count")))
         .select("source_id", "index", local.alias("local_n"))
     )

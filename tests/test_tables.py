@@ -1,5 +1,7 @@
 """Older versions, validation reports and SQL functions."""
 
+import random
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -85,6 +87,17 @@ def test_bins_of_cuts(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_long_batches_stand_in_few_bins(spark):
+    """Rows that the join of cuts and batches is made of do not grow with the batches' length; batches may overlap."""
+    rng = random.Random(5)
+    spans = [(k, rng.randrange(10**9), 2 + rng.randrange(10 ** rng.randrange(1, 10))) for k in range(60)]
+    cuts = [rng.randrange(2 * 10**9) for _ in range(300)] + [base + x for _, base, count in spans for x in (0, 1, count - 1, count)]
+    want = sorted((k, n - base + 1) for n in cuts for k, base, count in spans if 2 <= n - base + 1 <= count)
+    batches = spark.createDataFrame([("a", *s) for s in spans], "source_id string, index int, input_base long, input_count long")
+    found = timeline.cuts_in_batches(spark.createDataFrame([("a", n) for n in cuts], "source_id string, n long"), batches, 4)
+    assert sorted((r["index"], r["local_n"]) for r in found.collect()) == want
+
+
 def test_functions_in_sql(spark):
     sql.register(spark)
     sql.register(spark)
