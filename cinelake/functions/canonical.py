@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 #: Bytes of a key, and of a host's.  Fixed values.
 KEY_BYTES, HOST_BYTES = 16, 12
@@ -51,13 +52,46 @@ def hash_json(text: pd.Series) -> pd.Series:
     return text.map(known)
 
 
+@F.pandas_udf(StructType().add("canonical", StringType()).add("key", StringType()))
+def canonical_and_key(text: pd.Series) -> pd.DataFrame:
+    """Canonical form of a JSON text with its key, for one parse."""
+    known = {t: canonical_text(t) for t in text.dropna().unique()}
+    found = text.map(known)
+    return pd.DataFrame({"canonical": found, "key": [key_of(t) if isinstance(t, str) else None for t in found]})
+
+
+#: JSON texts of one member that are canonical as ``to_json`` writes them.
+PLAIN = re.compile(r'\{"\w+":"[ !#-\[\]-~]*"\}', re.ASCII)
+
+
+def member(text: str) -> str:
+    """The one member of a JSON object in canonical form, with a comma after it; nothing for an object without one."""
+    inner = (text if PLAIN.fullmatch(text) else canonical_text(text))[1:-1]
+    return inner and inner + ","
+
+
+@F.pandas_udf(StringType())
+def hash_parts(source: pd.Series, stage: pd.Series, tools: pd.Series, params: pd.Series) -> pd.Series:
+    """Key of the canonical object of four parts, each JSON text: keys in order are params, source, stage, tools.
+
+    Only what is different among the settings and tools of a batch is parsed; the rest of a row is a text put together.
+    """
+    heads = {t: member(t) for column in (source, stage) for t in column.unique()}
+    inner = {t: canonical_text(t) for column in (tools, params) for t in column.unique()}
+    return pd.Series([
+        None if inner[p] is None else key_of(f'{{"params":{inner[p]},{heads[s]}{heads[g]}"tools":{inner[t]}}}')
+        for s, g, t, p in zip(source, stage, tools, params)
+    ], dtype=object)
+
+
 def cache_key(source: Column, stage: Column, tools: Column, params: Column) -> Column:
     """Key of a stage's result: of its source's fingerprint, its name, the tools' versions (a map) and its settings (JSON text).
 
     Settings that are no JSON give a null key; null settings or tools count as none.
     """
-    head = F.to_json(F.struct(source.alias("source"), stage.alias("stage"), F.coalesce(tools, F.create_map().cast("map<string,string>")).alias("tools")))
-    return hash_json(F.concat(F.regexp_replace(head, "[}]$", ""), F.lit(',"params":'), F.coalesce(params, F.lit("{}")), F.lit("}")))
+    alone = lambda x, name: F.to_json(F.struct(x.alias(name)))
+    versions = F.to_json(F.coalesce(tools, F.create_map().cast("map<string,string>")))
+    return hash_parts(alone(source, "source"), alone(stage, "stage"), versions, F.coalesce(params, F.lit("{}")))
 
 
 #: What a host's key is made of, in order, with what stands for nothing; groups of flags are written as digits.  Fixed values.

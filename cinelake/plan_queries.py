@@ -384,9 +384,9 @@ def d16_built_keys(spark: SparkSession, d: str) -> DataFrame:
     key = lambda tools, params: canonical.cache_key(text(c("l_orderkey")), text(c("l_linenumber")), tools, params)
     payload = F.concat(F.lit('{"stage":"'), text(c("l_linenumber")), F.lit('","tools":'), F.to_json(tools), F.lit(',"source":"'), text(c("l_orderkey")), F.lit('","params":'), own, F.lit("}"))
     keyed = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", canonical.canonical_json(payload).alias("canonical"), canonical.hash_json(payload).alias("whole"),
+        "l_orderkey", "l_linenumber", canonical.canonical_and_key(payload).alias("built"),
         key(tools, own).alias("a"), key(turned, other).alias("b"), key(turned, stored).alias("stored"),
     )
     return keyed.select(
-        c("l_orderkey").alias("job_id"), c("l_linenumber").alias("stage"), "canonical", ((c("a") == c("b")) & (c("a") == c("whole"))).alias("same_key"), (c("a") == c("stored")).alias("hit")
+        c("l_orderkey").alias("job_id"), c("l_linenumber").alias("stage"), "built.canonical", ((c("a") == c("b")) & (c("a") == c("built.key"))).alias("same_key"), (c("a") == c("stored")).alias("hit")
     )

@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cinelake.functions import canonical
@@ -115,3 +116,38 @@ def test_keys_of_hosts(spark):
     want = ["8|32000|ada|16000|550|7.1|nvidia|010|000|00|001|av1_nvenc,libx265|", "4|0|none|0|none|none|none|000|000|00|000||"]
     assert [r["t"] for r in got] == want
     assert [r["k"] for r in got] == [hashlib.blake2b(t.encode(), digest_size=12).hexdigest() for t in want]
+
+
+def test_reports_are_parsed_once_for_tracks(spark):
+    """No filter that Spark infers may parse the reports a second time, in a join's condition say."""
+    made = spark.range(20).withColumn("kind", F.lit("audio")).join(spark.range(5).withColumnRenamed("id", "k").hint("merge"), F.col("id") == F.col("k"))
+    text = F.to_json(F.struct(F.array(F.struct(F.col("id"), F.col("kind").alias("type"))).alias("tracks"), F.array(F.struct(F.col("k").alias("size"))).alias("attachments")))
+    found = reports.containers(made.select(F.col("id").alias("source_id"), F.when(F.col("id") == 3, "[]").otherwise(text).alias("value")))
+    for rows, name in ((reports.container_tracks(found), "tracks"), (reports.container_attachments(found), "attachments")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert len([x for x in plan.splitlines() if "parseJson" in x]) == 1, name
+        assert sorted(r["source_id"] for r in rows.collect()) == [0, 1, 2, 4]
+
+
+def test_keys_parse_what_differs_only(spark, monkeypatch):
+    """Keys of stages are those of the whole text, and rows of equal settings and tools cost no parse each."""
+    rows = [("a", "04", {"b": "2", "a": "1"}, '{"y": 1.50, "x": ["é", null]}'), ("é\\\"\n", "0", None, None), (None, None, {}, "{}"), ("/s{}", "", {"t": None}, "no"), ("s", "t", {}, '{}, "source": "u"')]
+    frame = spark.createDataFrame(rows, "source string, stage string, tools map<string,string>, params string")
+    own = canonical.cache_key(*(F.col(c) for c in frame.columns))
+    number = canonical.cache_key(F.lit(7), F.col("stage"), F.col("tools"), F.col("params"))
+    for r in frame.select("*", own.alias("k"), number.alias("n")).collect():
+        try:
+            whole = {"tools": r["tools"] or {}, "params": json.loads(r["params"] or "{}")} | ({} if r["stage"] is None else {"stage": r["stage"]})
+            want = [whole | ({} if r["source"] is None else {"source": r["source"]}), whole | {"source": 7}]
+        except ValueError:
+            assert r["k"] is None and r["n"] is None
+            continue
+        text = [json.dumps(w, sort_keys=True, separators=(",", ":")) for w in want]
+        assert [r["k"], r["n"]] == [hashlib.blake2b(t.encode(), digest_size=16).hexdigest() for t in text], r
+    parsed, plain = [], canonical.canonical_text
+    monkeypatch.setattr(canonical, "canonical_text", lambda t: parsed.append(t) or plain(t))
+    n = 500
+    of = [pd.Series([f'{{"source":"{k}"}}' for k in range(n)]), pd.Series(['{"stage":"1"}'] * n), pd.Series(['{"a":"1"}'] * n), pd.Series(['{"x": 1}', "{}"] * (n // 2))]
+    assert canonical.hash_parts.func(*of).nunique() == n and len(parsed) == 3
+    parsed.clear()
+    assert canonical.canonical_and_key.func(of[3]).drop_duplicates().shape == (2, 2) and len(parsed) == 2
