@@ -39,8 +39,9 @@ def containers(reports: DataFrame) -> DataFrame:
     the report says otherwise, and a container without a name has its source's.
     """
     d = F.from_json("value", CONTAINER, {"mode": "PERMISSIVE"})
-    root = F.try_parse_json("value")
-    readable = F.coalesce(F.schema_of_variant(root).startswith("OBJECT"), F.lit(False))
+    # A JSON text is an object if a brace opens it; a schema of all that it holds, to tell the same, costs more than the parse.
+    opened = F.ltrim("value", F.lit(" \t\r\n")).startswith("{")
+    readable = F.coalesce(F.try_parse_json("value").isNotNull() & opened, F.lit(False))
     off, empty = F.lit(False), F.lit("")
     c = lambda path: F.col(f"d.{path}")
     tracks = F.transform(
@@ -77,14 +78,23 @@ def containers(reports: DataFrame) -> DataFrame:
     )
 
 
+def exploded(found: DataFrame, column: str) -> DataFrame:
+    """(source_id, position, x): the entries of an array column of ``containers``.
+
+    The outer form, whose rows without an entry are dropped, since for the inner one Spark infers a filter over the array: moved
+    below, it would write and parse each report again for every row of the join beneath.
+    """
+    return found.select("source_id", F.posexplode_outer(column).alias("position", "x")).where("position is not null")
+
+
 def container_tracks(found: DataFrame) -> DataFrame:
     """A row a track of ``containers``."""
-    return found.select("source_id", F.posexplode("tracks").alias("position", "t")).select("source_id", "position", "t.*")
+    return exploded(found, "tracks").select("source_id", "position", "x.*")
 
 
 def container_attachments(found: DataFrame) -> DataFrame:
     """A row an attachment of ``containers``: what J06 joins sizes from."""
-    return found.select("source_id", F.explode("attachments").alias("a")).select("source_id", "a.*")
+    return exploded(found, "attachments").select("source_id", "x.*")
 
 
 def cards(lines: DataFrame) -> DataFrame:
