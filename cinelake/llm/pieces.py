@@ -156,6 +156,11 @@ class Pieces:
                 live.add(before[b - offset])
         return live.pop()
 
+    def forget(self) -> None:
+        """Give back the memory of the words, and what Arrow holds for later: a worker idles on when its task has ended."""
+        self.memo.clear()
+        pa.default_memory_pool().release_unused()
+
     def _bytes(self, character: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in character.encode())
 
@@ -209,13 +214,9 @@ def _schema(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", into: str = "__ids") -> DataFrame:
-    """``docs`` with the ids of each whole text in a new column, an array of integers."""
-    model = docs.sparkSession.sparkContext.broadcast(pieces)
-    docs = plain_columns(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Pieces = model.value
+def encoded(batches: Iterator[pa.RecordBatch], own: Pieces, text: str, into: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a task with their ids; what was remembered of its words goes when it ends."""
+    try:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
@@ -226,6 +227,17 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", into: str = "__i
                     pa.array(ends), values, mask=pa.array([x is None for x in ids], pa.bool_())
                 )
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, into])
+    finally:
+        own.forget()
+
+
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", into: str = "__ids") -> DataFrame:
+    """``docs`` with the ids of each whole text in a new column, an array of integers."""
+    model = docs.sparkSession.sparkContext.broadcast(pieces)
+    docs = plain_columns(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded(batches, model.value, text, into)
 
     return docs.mapInArrow(run, _schema(docs, f"`{into}` array<int>"))
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -406,6 +407,14 @@ def test_pieces_round_trip(docs, model):
     assert all((r["__ids"] is None) == (r["text"] is None) for r in got)
 
 
+def test_pieces_forget_the_words_of_a_task(model):
+    texts = [r[1] for r in ROWS]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    got = pa.Table.from_batches(list(pieces.encoded(iter([batch, batch]), model, "text", "ids")))
+    assert not model.memo and got.num_rows == 2 * len(texts)
+    assert got.column("ids").to_pylist() == 2 * [t if t is None else np.frombuffer(model.encode(t), np.int32).tolist() for t in texts]
+
+
 def brute_spans(text):
     patterns = [(r.kind, re.compile(r.pattern), r.group, r.least) for r in secret_scan.RULES]
     out = []
