@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import short_lived, table, written
+from cinelake.llm.common import discard, short_lived, stored, table
 from cinelake.llm.hashing import pair_hash
 
 #: A string or pair below this count cannot show a divergence.
@@ -174,11 +175,65 @@ def bitmap_of(grams: DataFrame) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame, names: list[str], keys) -> DataFrame:
+def bucket_bits(spark: SparkSession) -> int:
+    """Bits of a hash that tell its bucket: some eight buckets for each partition of a shuffle."""
+    return (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+
+
+def turned(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes with their lowest bits first, so that in order they stand by bucket."""
+    return hashes >> np.uint64(bits) | hashes << np.uint64(64 - bits)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, all first bytes before all second ones: upper bytes of small numbers take no room in a shuffle."""
+    return b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns)
+
+
+def unpacked(data: pa.BinaryScalar, *kinds: type) -> list[np.ndarray]:
+    buffer, sizes, at, out = np.frombuffer(data.as_buffer(), np.uint8), [np.dtype(k).itemsize for k in kinds], 0, []
+    n = len(buffer) // sum(sizes)
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(buffer[at : at + size * n].reshape(size, n).T).view(kind).reshape(n))
+        at += size * n
+    return out
+
+
+def joined(rows: Iterator[list], *kinds: type) -> list[np.ndarray]:
+    """The columns of several packed rows; the data is each row's last column."""
+    return [np.concatenate(x) for x in zip(*(unpacked(r[-1], *kinds) for r in rows))]
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Distances of numbers nearly in order, and ``np.cumsum`` gives the numbers again."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Rows as lists: numbers as such, and the last column, bytes, as it lies in Arrow's memory."""
+    for batch in batches:
+        *numbers, data = batch.columns
+        yield from map(list, zip(*(x.to_pylist() for x in numbers), data))
+
+
+def by_bucket(key: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The buckets of turned hashes in order, and where each lies."""
+    bucket = key >> np.uint64(64 - bits)
+    at = firsts(bucket)
+    for a, b in zip(at.tolist(), np.append(at[1:], len(key)).tolist()):
+        yield int(bucket[a]), slice(a, b)
+
+
+def counted(docs: DataFrame, names: list[str], keys, least: int = 1) -> DataFrame:
     """Sums over all training tokens of what ``keys`` gives for the tokens of some texts: arrays of hashes, one for each of ``names``.
 
-    Each task adds up what it holds before it hands it on.
+    Each task adds up what it holds before it hands it on, as a row of packed numbers for each bucket of hashes; sums
+    below ``least`` are left out where a bucket is added up.
     """
+    bits = bucket_bits(docs.sparkSession)
+
+    def hashed(columns: list[np.ndarray]) -> np.ndarray:
+        return turned(columns[0] if len(columns) == 1 else pair_hash(*columns), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[list[np.ndarray]] = []
@@ -186,12 +241,16 @@ def counted(docs: DataFrame, names: list[str], keys) -> DataFrame:
         def flushed() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*pending)]
             pending.clear()
-            order = together(columns[0] if len(columns) == 1 else pair_hash(*columns))
-            columns = [x[order] for x in columns]
+            key = hashed(columns)
+            order = together(key)
+            key, columns = key[order], [x[order] for x in columns]
             at = firsts(*columns)
-            c = np.diff(np.append(at, len(order)))
-            arrays = [pa.array(x[at].view(np.int64)) for x in columns]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(c, pa.int64())], [*names, "n"])
+            n = np.diff(np.append(at, len(order)))
+            key, columns = key[at], [x[at] for x in columns]
+            rows = [(k, packed(*(x[part] for x in columns), n[part])) for k, part in by_bucket(key, bits)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "data"]
+            )
 
         for ids, texts in rows_of(batches):
             pending.append(keys(*tokens([t for i, t in zip(ids, texts) if not held_out(i)])))
@@ -200,8 +259,25 @@ def counted(docs: DataFrame, names: list[str], keys) -> DataFrame:
         if pending:
             yield flushed()
 
-    rows = plain(docs).mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "n"]))
-    return rows.groupBy(*names).agg(F.sum("n").alias("n"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(each(batches), lambda r: r[0]):
+            *columns, n = joined(rows, *[np.uint64] * len(names), np.int64)
+            key = hashed(columns)
+            order = together(key)
+            new = firsts(*(x[order] for x in columns))
+            kept = key[order] >> np.uint64(len(key).bit_length())
+            if (kept[new[1:]] == kept[new[1:] - 1]).any():  # different strings alike in the bits by which they were put in order
+                order = np.lexsort(columns)
+                new = firsts(*(x[order] for x in columns))
+            if not len(order):
+                continue
+            total = np.add.reduceat(n[order], new)
+            some = total >= least
+            arrays = [pa.array(x[order[new[some]]].view(np.int64)) for x in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total[some])], [*names, "n"])
+
+    rows = plain(docs).mapInArrow(run, "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(add_up, ", ".join(f"{n} long" for n in [*names, "n"]))
 
 
 @dataclass
@@ -214,13 +290,15 @@ class Tree:
     distinct: int
     words: DataFrame
     levels: list[DataFrame]
+    #: Where the tables lie.
+    paths: list[str] = field(default_factory=list)
 
     def root_log(self, count: Column) -> Column:
         return F.log((count + ADDED) / (self.tokens + ADDED * (self.distinct + 1)))
 
 
-def pair_counts(docs: DataFrame, states: DataFrame, known: DataFrame, length: int) -> DataFrame:
-    """(ctx, suffix, n) of the pairs of states (``gram``) and tokens of which ``known`` has the string without its first word."""
+def pair_counts(docs: DataFrame, states: DataFrame, known: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """A table and its path: (ctx, suffix, n) of the pairs of states (``gram``) and tokens of which ``known`` has the string without its first word."""
     broadcast = docs.sparkSession.sparkContext.broadcast
     maps: tuple[Broadcast, Broadcast] = broadcast(bitmap_of(states)), broadcast(bitmap_of(known))
 
@@ -234,7 +312,7 @@ def pair_counts(docs: DataFrame, states: DataFrame, known: DataFrame, length: in
             here = here[~np.isin(here, first[:-1])]
         return [own[here - 1], own[here]]
 
-    out = written(counted(docs, ["ctx", "suffix"], keys).where(F.col("n") >= LEAST))
+    out = stored(counted(docs, ["ctx", "suffix"], keys, LEAST))
     for x in maps:
         x.destroy()
     return out
@@ -279,30 +357,33 @@ def states_of(level: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, depth: int | None = None) -> Tree:
     """The tree of the training texts; ``depth`` may end it early."""
-    words = written(counted(docs, ["gram"], lambda hashes, first: [hashes]))
+    words, path = stored(counted(docs, ["gram"], lambda hashes, first: [hashes]))
     total = words.agg(F.sum("n"), F.count("*")).first()
-    tree = Tree(total[0] or 0, total[1] or 0, words, [])
+    tree = Tree(total[0] or 0, total[1] or 0, words, [], [path])
     known = words.where(F.col("n") >= LEAST).select("gram", tree.root_log(F.col("n")).alias("parent"))
     states = words.where(F.col("n") >= LEAST).select("gram", F.col("n").alias("total"))
     while (depth is None or len(tree.levels) < depth) and not states.isEmpty():
-        pairs = (
-            pair_counts(docs, states, known, len(tree.levels) + 1)
-            .join(known.select(F.col("gram").alias("suffix"), "parent"), "suffix")
-            .join(states.select(F.col("gram").alias("ctx"), "total"), "ctx")
+        counts, of_counts = pair_counts(docs, states, known, len(tree.levels) + 1)
+        pairs = counts.join(known.select(F.col("gram").alias("suffix"), "parent"), "suffix").join(
+            states.select(F.col("gram").alias("ctx"), "total"), "ctx"
         )
-        level = written(judged(pairs)).withColumn("gram", F.xxhash64("ctx", "suffix"))
+        level, path = stored(judged(pairs))
+        tree.paths.append(path)
+        discard(docs.sparkSession, of_counts)
+        level = level.withColumn("gram", F.xxhash64("ctx", "suffix"))
         if level.isEmpty():
             break
         tree.levels.append(level)
         known = level.select("gram", F.col("log").alias("parent"))
         # A longer string is a state to be tested if its parent is retained and has other occurrences too.
         parents = states_of(level).select(F.col("ctx").alias("suffix"), F.col("total").alias("of_parent"))
-        states = written(
+        states, path = stored(
             level.select("gram", "suffix", "n")
             .join(parents, "suffix")
             .where(F.col("n") < F.col("of_parent"))
             .select("gram", F.col("n").alias("total"))
         )
+        tree.paths.append(path)
     return tree
 
 
@@ -346,28 +427,135 @@ def frequent(of: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return least, grams[order], np.stack([found.column(c).to_numpy()[order] for c in ("base", "value", "known")], 1)
 
 
+#: What a row of packed numbers holds: values of strings, strings of texts, texts.
+VALUES, STRINGS, TEXTS = 0, 1, 2
+PACKED = "bucket int, kind int, part long, data binary"
+
+
+def packed_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["bucket", "kind", "part", "data"])
+
+
+def packed_values(of: DataFrame) -> DataFrame:
+    """Rows of packed values (gram, base, value), by bucket."""
+    bits = bucket_bits(of.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+
+        def flushed() -> pa.RecordBatch:
+            gram, base, value = (np.concatenate([b.column(k).to_numpy() for b in pending]) for k in range(3))
+            pending.clear()
+            key = turned(gram.view(np.uint64), bits)
+            order = together(key)
+            key, base, value = key[order], base[order], value[order]
+            return packed_rows([(k, VALUES, 0, packed(steps(key[x]), base[x], value[x])) for k, x in by_bucket(key, bits)])
+
+        for batch in batches:
+            if batch.num_rows:
+                pending.append(batch)
+            if sum(b.num_rows for b in pending) >= HELD:
+                yield flushed()
+        if pending:
+            yield flushed()
+
+    return of.select("gram", "base", "value").mapInArrow(run, PACKED)
+
+
+def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of kind and part: for each part of the texts, the sums of what its strings count, and the texts."""
+    pending: list[list[np.ndarray]] = []
+    own, base, value = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for (kind, part), rows in groupby(((r[1], r[2], r[3]) for r in each(batches)), lambda r: r[:2]):
+        if kind == VALUES:
+            for r in rows:
+                step, *figures = unpacked(r[-1], np.uint64, np.float64, np.float64)
+                pending.append([np.cumsum(step, dtype=np.uint64), *figures])
+            own, base, value = (np.concatenate(x) for x in zip(*pending))
+            order = np.argsort(own)
+            new = firsts(own[order])
+            own, base, value = own[order][new], np.add.reduceat(base[order], new), np.add.reduceat(value[order], new)
+            pending.clear()
+        elif kind == STRINGS:
+            key, who, n = [], [], []
+            for r in rows:
+                step, *figures = unpacked(r[-1], np.uint64, np.uint32, np.uint32)
+                for x, y in zip((key, who, n), (np.cumsum(step, dtype=np.uint64), *figures)):
+                    x.append(y)
+            key, who, n = np.concatenate(key), np.concatenate(who), np.concatenate(n)
+            if not len(own):
+                continue
+            place = np.minimum(np.searchsorted(own, key), len(own) - 1)
+            hit = np.flatnonzero(own[place] == key)
+            place, who, n = place[hit], who[hit], n[hit]
+            sums = [np.bincount(who, n * x) for x in (base[place] != 0, base[place], value[place])]
+            some = np.flatnonzero(np.bincount(who))
+            if len(some):
+                data = packed(some.astype(np.uint32), sums[0][some].astype(np.int64), sums[1][some], sums[2][some])
+                yield packed_rows([(0, STRINGS, part, data)])
+        else:
+            for r in rows:
+                yield packed_rows([(0, TEXTS, part, r[-1].as_py())])
+
+
+#: The columns of packed texts: doc_id and whether there is one, tokens, known ones, base, score.
+OF_TEXT = (np.int64, np.uint8, np.int64, np.int64, np.float64, np.float64)
+
+
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of part, texts first: the rows of the texts."""
+    for _, rows in groupby(each(batches), lambda r: r[2]):
+        ids, there, n_tokens, *sums = unpacked(next(rows)[-1], *OF_TEXT)
+        for r in rows:
+            who, *more = unpacked(r[-1], np.uint32, np.int64, np.float64, np.float64)
+            for x, y in zip(sums, more):
+                x[who] += y
+        arrays = [pa.array(ids, mask=there == 0), *map(pa.array, [n_tokens, *sums])]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
 def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
+    spark = docs.sparkSession
     tree = fit(docs, depth)
-    of = values(tree)
+    of, _ = stored(values(tree))
+    for path in tree.paths:
+        discard(spark, path)
     least, grams, figures = frequent(of)
-    tree_levels = range(len(tree.levels))
+    longest, bits = len(tree.levels) + 1, bucket_bits(spark)
     unknown = float(np.log10(ADDED / (tree.tokens + ADDED * (tree.distinct + 1)))) if tree.tokens else 0.0
-    model = docs.sparkSession.sparkContext.broadcast((bitmap_of(of), grams, figures))
-    names = ["row", "gram", "n", "text"]
-    kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+    model = spark.sparkContext.broadcast((bitmap_of(of), grams, figures))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, own, of_own = model.value
-        row = TaskContext.get().partitionId() << 40
+        part = TaskContext.get().partitionId() << 32
+        texts_held: list[list[np.ndarray]] = []
+        rare_held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flushed() -> pa.RecordBatch:
+            # The strings of some texts by bucket, with the text of each and how often it holds it.
+            who, string = (np.concatenate(x) for x in zip(*rare_held))
+            key = turned(string, bits)
+            order = together(key)
+            who, key = who[order], key[order]
+            at = firsts(key, who)
+            n = np.diff(np.append(at, len(key))).astype(np.uint32)
+            who, key = who[at].astype(np.uint32), key[at]
+            rows = [(k, STRINGS, part, packed(steps(key[x]), who[x], n[x])) for k, x in by_bucket(key, bits)] if len(key) else []
+            rows.append((part % (1 << bits), TEXTS, part, packed(*(np.concatenate(x) for x in zip(*texts_held)))))
+            texts_held.clear()
+            rare_held.clear()
+            return packed_rows(rows)
+
         for ids, texts in rows_of(batches):
             hashes, first = tokens(texts)
             size = len(ids)
             owner = np.repeat(np.arange(size), np.diff(first))
+            before = sum(len(x[0]) for x in texts_held)
             sums = np.zeros((3, size))
-            rare_owner, rare = [], []
             alive = np.ones(len(hashes), bool)
-            for at, string in strings(hashes, first, len(tree_levels) + 1):
+            for at, string in strings(hashes, first, longest):
                 # A string that counts ends with strings that count.
                 some = alive[at]
                 some[some] = passes(bitmap, string[some])
@@ -382,50 +570,22 @@ def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
                     figure, who = of_own[place[sure]], owner[at[sure]]
                     for k in range(3):
                         sums[k] += np.bincount(who, figure[:, k], size)
-                rare_owner.append(owner[at[~sure]])
-                rare.append(string[~sure])
-            # The other strings of each text, with their numbers.
-            who, string = np.concatenate(rare_owner), np.concatenate(rare)
-            order = together(who.astype(np.uint64) << np.uint64(50) | string >> np.uint64(14))
-            who, string = who[order], string[order]
-            at = firsts(who, string)
-            n = np.diff(np.append(at, len(who)))
+                rare_held.append((owner[at[~sure]] + before, string[~sure]))
             n_tokens = np.diff(first)
-            figures = [ids, n_tokens, sums[2].astype(np.int64), sums[0] + n_tokens * unknown, sums[1] + n_tokens * unknown]
-            # A row a text, under a key of its own that counts nothing, and a row for each of its other strings.
-            rows = np.arange(row, row + size)
-            key = pair_hash(rows.astype(np.uint64), np.uint64(0)).view(np.int64)
-            row += size
-            struct = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(figures, kinds)], [k for k, _ in kinds])
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(key), pa.array(np.zeros(size, np.int64)), struct], names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[who[at]]), pa.array(string[at].view(np.int64)), pa.array(n), pa.nulls(len(at), pa.struct(kinds))], names
-            )
+            there = np.array([i is not None for i in ids], np.uint8)
+            known, base, score = sums[2].astype(np.int64), sums[0] + n_tokens * unknown, sums[1] + n_tokens * unknown
+            texts_held.append([np.array([i or 0 for i in ids], np.int64), there, n_tokens.astype(np.int64), known, base, score])
+            if sum(len(x) for x, _ in rare_held) >= HELD:
+                yield flushed()
+                part += 1
+        if texts_held:
+            yield flushed()
 
-    rows = plain(docs).mapInArrow(
-        run,
-        "row long, gram long, n long, text struct<doc_id: long, n_tokens: long, n_known: long, base: double, score: double>",
-    )
-    rest = of.where(F.col("n") < least).select("gram", "value", (F.col("base") != 0).alias("word"))
-    n, value = F.col("n"), F.coalesce("value", F.lit(0.0))
-    return (
-        rows.join(rest, "gram", "left")
-        .groupBy("row")
-        .agg(
-            # One row of a text has these; taken apart, they are summed up by hash.
-            *(F.max(f"text.{k}").alias(k) for k, _ in kinds),
-            F.sum(F.when(F.col("word"), n).otherwise(0)).alias("known"),
-            F.sum(F.when(F.col("word"), n * value).otherwise(0.0)).alias("of_base"),
-            F.sum(n * value).alias("value"),
-        )
-        .select(
-            "doc_id",
-            "n_tokens",
-            (F.col("n_known") + F.col("known")).alias("n_known"),
-            F.lit(tree.tokens).cast("long").alias("train_tokens"),
-            (F.col("base") + F.col("of_base")).alias("base_score"),
-            (F.col("score") + F.col("value")).alias("score"),
-        )
+    rest = packed_values(of.where(F.col("n") < least))
+    rows = rest.union(plain(docs).mapInArrow(run, PACKED)).repartition("bucket").sortWithinPartitions("kind", "part")
+    parts = rows.mapInArrow(looked_up, PACKED).repartition("part").sortWithinPartitions("part", F.desc("kind"))
+    return parts.mapInArrow(added_up, "doc_id long, n_tokens long, n_known long, base_score double, score double").select(
+        "doc_id", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
