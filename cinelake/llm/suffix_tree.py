@@ -54,8 +54,8 @@ FILTER_BITS, FREQUENT = 1 << 26, 800_000
 BLOCK_BITS = 21
 #: The end of a text, as a word; no word holds a space.
 END_WORD = b" end"
-#: Text bytes that a task handles at a time (one text may be longer), and tokens whose counts it holds.
-SLICE_BYTES, HELD = 2 << 20, 2_000_000
+#: Text bytes that a task handles at a time (one text may be longer; arrays of more leave the cache), and tokens whose counts it holds.
+SLICE_BYTES, HELD = 512 << 10, 2_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -176,8 +176,14 @@ def bitmap_of(grams: DataFrame) -> np.ndarray:
 
 
 def bucket_bits(spark: SparkSession) -> int:
-    """Bits of a hash that tell its bucket: some eight buckets for each partition of a shuffle."""
-    return (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    """Bits of a hash that tell its bucket: four buckets or more for each partition of a shuffle."""
+    return (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+
+
+def dealt(rows: DataFrame, *order) -> DataFrame:
+    """Rows of packed numbers by bucket, in order within each partition; as many partitions as the session's shuffles have."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "bucket").sortWithinPartitions(*order)
 
 
 def turned(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -276,7 +282,7 @@ def counted(docs: DataFrame, names: list[str], keys, least: int = 1) -> DataFram
             arrays = [pa.array(x[order[new[some]]].view(np.int64)) for x in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(total[some])], [*names, "n"])
 
-    rows = plain(docs).mapInArrow(run, "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    rows = dealt(plain(docs).mapInArrow(run, "bucket int, data binary"), "bucket")
     return rows.mapInArrow(add_up, ", ".join(f"{n} long" for n in [*names, "n"]))
 
 
@@ -543,7 +549,7 @@ def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
             n = np.diff(np.append(at, len(key))).astype(np.uint32)
             who, key = who[at].astype(np.uint32), key[at]
             rows = [(k, STRINGS, part, packed(steps(key[x]), who[x], n[x])) for k, x in by_bucket(key, bits)] if len(key) else []
-            rows.append((part % (1 << bits), TEXTS, part, packed(*(np.concatenate(x) for x in zip(*texts_held)))))
+            rows.append(((part + (part >> 32)) % (1 << bits), TEXTS, part, packed(*(np.concatenate(x) for x in zip(*texts_held)))))
             texts_held.clear()
             rare_held.clear()
             return packed_rows(rows)
@@ -575,14 +581,14 @@ def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
             there = np.array([i is not None for i in ids], np.uint8)
             known, base, score = sums[2].astype(np.int64), sums[0] + n_tokens * unknown, sums[1] + n_tokens * unknown
             texts_held.append([np.array([i or 0 for i in ids], np.int64), there, n_tokens.astype(np.int64), known, base, score])
-            if sum(len(x) for x, _ in rare_held) >= HELD:
+            if sum(len(x) for x, _ in rare_held) >= HELD // 2:
                 yield flushed()
                 part += 1
         if texts_held:
             yield flushed()
 
     rest = packed_values(of.where(F.col("n") < least))
-    rows = rest.union(plain(docs).mapInArrow(run, PACKED)).repartition("bucket").sortWithinPartitions("kind", "part")
+    rows = dealt(rest.union(plain(docs).mapInArrow(run, PACKED)), "kind", "part")
     parts = rows.mapInArrow(looked_up, PACKED).repartition("part").sortWithinPartitions("part", F.desc("kind"))
     return parts.mapInArrow(added_up, "doc_id long, n_tokens long, n_known long, base_score double, score double").select(
         "doc_id", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score"

@@ -353,6 +353,16 @@ def test_suffix_tree(docs, monkeypatch, limit):
         assert math.isclose(r["score"], tree.score(text), rel_tol=1e-6, abs_tol=1e-6)
 
 
+def test_suffix_tree_keeps_one_table(docs, spark, tmp_path, monkeypatch):
+    paths = []
+    kept = suffix_tree.stored
+    monkeypatch.setattr(suffix_tree, "stored", lambda df: (lambda x: paths.append(x[1]) or x)(kept(df)))
+    suffix_tree.score_texts(docs)
+    gone = spark._jvm.org.apache.hadoop.fs.Path
+    there = [p for p in paths if gone(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(gone(p))]
+    assert len(paths) > 4 and there == paths[-1:]
+
+
 def test_suffix_tree_distributions_sum_to_one():
     tree = PlainTree([r[1] for r in ROWS])
     for ctx in sorted(tree.states, key=repr)[:: max(1, len(tree.states) // 40)]:
