@@ -197,10 +197,11 @@ def packed(*columns: np.ndarray) -> bytes:
 
 
 def unpacked(data: pa.BinaryScalar, *kinds: type) -> list[np.ndarray]:
+    """The columns of a packed row, as copies: Arrow's memory, which a view of a single number would be, can't be written to."""
     buffer, sizes, at, out = np.frombuffer(data.as_buffer(), np.uint8), [np.dtype(k).itemsize for k in kinds], 0, []
     n = len(buffer) // sum(sizes)
     for kind, size in zip(kinds, sizes):
-        out.append(np.ascontiguousarray(buffer[at : at + size * n].reshape(size, n).T).view(kind).reshape(n))
+        out.append(buffer[at : at + size * n].reshape(size, n).T.copy().view(kind).reshape(n))
         at += size * n
     return out
 

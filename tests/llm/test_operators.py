@@ -353,6 +353,14 @@ def test_suffix_tree(docs, monkeypatch, limit):
         assert math.isclose(r["score"], tree.score(text), rel_tol=1e-6, abs_tol=1e-6)
 
 
+def test_suffix_tree_of_texts_alone_in_their_part(docs, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 60)
+    got, want = (suffix_tree.score_texts(x).collect() for x in (docs.repartition(400), docs))
+    assert len(got) == len(want) == len(ROWS)
+    for r, w in zip(*(sorted(x, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"])) for x in (got, want))):
+        assert r[:4] == w[:4] and math.isclose(r["base_score"], w["base_score"], rel_tol=1e-9) and math.isclose(r["score"], w["score"], rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_suffix_tree_keeps_one_table(docs, spark, tmp_path, monkeypatch):
     paths = []
     kept = suffix_tree.stored
