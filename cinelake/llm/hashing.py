@@ -49,17 +49,39 @@ P1, P2, P3, P4, P5 = (
 )
 
 
-def _turned(x: np.ndarray, by: int) -> np.ndarray:
-    return x << np.uint64(by) | x >> np.uint64(64 - by)
+#: Numbers that are hashed at a time: their arrays stay in the cache.
+RUN = 1 << 14
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """What ``functions.xxhash64(a, b)`` gives for two columns of longs, of unsigned arrays."""
-    hashed = np.uint64(42)
-    for x in (a, b):
-        h = (hashed + P5 + np.uint64(8)) ^ _turned(x * P2, 31) * P1
-        h = _turned(h, 27) * P1 + P4
-        h = (h ^ h >> np.uint64(33)) * P2
-        h = (h ^ h >> np.uint64(29)) * P3
-        hashed = h ^ h >> np.uint64(32)
-    return hashed
+    out = np.empty(len(a), np.uint64)
+    x, y = np.empty((2, min(len(a), RUN)), np.uint64)
+    for at in range(0, len(a), RUN):
+        h = out[at : at + RUN]
+        x, y = x[: len(h)], y[: len(h)]
+        for k, column in enumerate((a, b)):
+            np.multiply(column[at : at + RUN], P2, x)
+            _turn(x, 31, y)
+            np.multiply(x, P1, x)
+            if k:
+                np.add(h, P5 + np.uint64(8), h)
+                np.bitwise_xor(h, x, h)
+            else:
+                np.bitwise_xor(x, np.uint64(42) + P5 + np.uint64(8), h)
+            _turn(h, 27, y)
+            np.multiply(h, P1, h)
+            np.add(h, P4, h)
+            for shift, prime in ((33, P2), (29, P3), (32, None)):
+                np.right_shift(h, np.uint64(shift), y)
+                np.bitwise_xor(h, y, h)
+                if prime is not None:
+                    np.multiply(h, prime, h)
+    return out
+
+
+def _turn(x: np.ndarray, by: int, room: np.ndarray) -> None:
+    """Turn the bits of numbers, in place."""
+    np.right_shift(x, np.uint64(64 - by), room)
+    np.left_shift(x, np.uint64(by), x)
+    np.bitwise_or(x, room, x)

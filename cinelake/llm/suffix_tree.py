@@ -15,9 +15,9 @@ each retained state before the token, what the state gives its parent, plus, whe
 the pair adds.  Each of these belongs to one string of words: the score of a text is a sum over its strings.
 
 Strings are known by 64-bit hashes.  Counts, states and pairs stay in tables and meet the texts by joins.
-Two things of fixed size are broadcast, for speed alone: bitmaps of ``FILTER_BITS`` bits that tell most of
-the strings that can count no more, and the values of the ``FREQUENT`` most frequent strings; whatever the
-bitmaps let pass and whatever is not frequent is looked up in the tables.
+Two things of bounded size are broadcast, for speed alone: for each length a bitmap of ``FILTER_BITS`` bits
+at most that tells most of the strings that can count no more, and the values of the ``FREQUENT`` most
+frequent strings; whatever the bitmaps let pass and whatever is not frequent is looked up in the tables.
 
 Defined results: null text counts as empty, whose only token is the end; a null id counts as the empty
 string and is held out; very long texts are scored whole; repeated rows are scored each; other columns of
@@ -27,7 +27,7 @@ any name are not looked at; an empty table gives no rows; without training token
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import discard, short_lived, stored, table
-from cinelake.llm.hashing import pair_hash
+from cinelake.llm.hashing import P5, mixed, pair_hash
 
 #: A string or pair below this count cannot show a divergence.
 LEAST = 2
@@ -48,10 +48,12 @@ GAIN = 4.0
 DISCOUNT = 0.6
 #: Added to every count at the root.
 ADDED = 0.1
-#: Bits of a bitmap (8 MB), and strings whose values are broadcast (26 MB).
-FILTER_BITS, FREQUENT = 1 << 26, 800_000
-#: Bits of a block of a bitmap, as a power of two.
-BLOCK_BITS = 21
+#: Bits of a bitmap: eight for each of its strings, and so many at most (32 MB); strings whose values are broadcast (26 MB).
+FILTER_BITS, FREQUENT = 1 << 28, 800_000
+#: Bits of a block of a bitmap and of the smallest bitmap, as powers of two.
+BLOCK_BITS, LEAST_BITS = 21, 16
+#: Partitions in which strings of texts are looked up: every one gives back sums for nearly every text, so they grow more slowly than others.
+LOOKUPS = 128
 #: The end of a text, as a word; no word holds a space.
 END_WORD = b" end"
 #: Text bytes that a task handles at a time (one text may be longer; arrays of more leave the cache), and tokens whose counts it holds.
@@ -81,19 +83,19 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-#: Which bytes part words.
-PARTING = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Which bytes part words, as bytes 0 and 1.
+PARTING = np.isin(np.arange(256), [32, *range(9, 14)]).tobytes()
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of byte ranges, eight bytes at a time; ``data`` must go on for eight bytes after the last."""
     eight = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
     size = stop - start
-    own = pair_hash(size.astype(np.uint64), eight[start] & MASKS[np.minimum(size, 8)])
+    own = mixed(eight[start] & MASKS[np.minimum(size, 8)] ^ size.astype(np.uint64) * P5)
     some = np.flatnonzero(size > 8)
     at = 8
     while len(some):
-        own[some] = pair_hash(own[some], eight[start[some] + at] & MASKS[np.minimum(size[some] - at, 8)])
+        own[some] = mixed(own[some] ^ eight[start[some] + at] & MASKS[np.minimum(size[some] - at, 8)])
         at += 8
         some = some[size[some] > at]
     return own
@@ -106,15 +108,17 @@ END = word_hashes(np.frombuffer(END_WORD + bytes(8), np.uint8), np.array([0]), n
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each token, the end of each text included; index of its first token for each text, and of the end)."""
-    data = np.frombuffer(b" ".join([b"", *texts, bytes(8)]).lower(), np.uint8)
-    parting = PARTING[data]
-    parting[-8:] = True
+    lower = b" ".join([b"", *texts, b" " * 8]).lower()
+    data, parting = np.frombuffer(lower, np.uint8), np.frombuffer(lower.translate(PARTING), bool)
     edge = np.flatnonzero(parting[1:] != parting[:-1])
     start, stop = edge[::2] + 1, edge[1::2] + 1
     cuts = np.cumsum([len(t) + 1 for t in texts])
     words = np.searchsorted(start, cuts, side="left")
     first = np.concatenate(([0], words + np.arange(1, len(texts) + 1)))
-    return np.insert(word_hashes(data, start, stop), words, END), first
+    hashes, is_word = np.full(first[-1], END), np.ones(first[-1], bool)
+    is_word[first[1:] - 1] = False
+    hashes[is_word] = word_hashes(data, start, stop)
+    return hashes, first
 
 
 def together(keys: np.ndarray) -> np.ndarray:
@@ -134,56 +138,77 @@ def firsts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def strings(hashes: np.ndarray, first: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 1 on: the tokens that end a string of it, and the hashes of these strings."""
-    room = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
+def strings(hashes: np.ndarray, first: np.ndarray, length: int, may: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 on: the tokens that end a string of it, and the hashes of these strings.
+
+    Of a length and its hashes ``may`` tells which are of use, also as a part of longer strings; None: all of them.
+    """
     at, own = np.arange(len(hashes)), hashes
     for k in range(1, length + 1):
+        some = may(k, own) if may else None
+        if some is not None:
+            at, own = at[some], own[some]
         yield at, own
-        # The next string joins the one that ends a token earlier with the one that ends here.
-        longer = room[at] >= k
-        here = np.flatnonzero(longer)
-        at, own = at[here], pair_hash(own[here - 1], own[here])
+        if k < length:
+            # The next string joins the one that ends a token earlier with the one that ends here.
+            joins = at[1:] - at[:-1] == 1
+            if k == 1:  # the first token of a text has none before it
+                starts = np.zeros(len(hashes), bool)
+                starts[first[:-1]] = True
+                joins &= ~starts[at[1:]]
+            here = np.flatnonzero(joins) + 1
+            at, own = at[here], pair_hash(own[here - 1], own[here])
 
 
 def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes & np.uint64(FILTER_BITS - 1)
+    place = hashes & np.uint64(8 * len(bitmap) - 1)
     return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def bitmap_of(grams: DataFrame) -> np.ndarray:
     """The bits of the hashes in the column ``gram``, set block by block in the tasks."""
-    place = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int")
-    block = F.shiftright("place", BLOCK_BITS)
+    size = min(max(1 << LEAST_BITS, 1 << (8 * grams.count()).bit_length()), FILTER_BITS)
+    block_bits = min(BLOCK_BITS, size.bit_length() - 1)
+    place = F.col("gram").bitwiseAND(F.lit(size - 1)).cast("int")
+    block = F.shiftright("place", block_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: dict[int, np.ndarray] = {}
         for batch in batches:
-            places = np.unique(batch.column(0).to_numpy())
-            blocks = places >> BLOCK_BITS
+            places = batch.column(0).to_numpy()
+            blocks = places >> block_bits
             for k in np.unique(blocks).tolist():
-                own = bits.setdefault(k, np.zeros(1 << BLOCK_BITS, bool))
-                own[places[blocks == k] & (1 << BLOCK_BITS) - 1] = True
+                own = bits.setdefault(k, np.zeros(1 << block_bits, bool))
+                own[places[blocks == k] & (1 << block_bits) - 1] = True
         packed = [np.packbits(x, bitorder="little").tobytes() for x in bits.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
 
     with short_lived(grams.sparkSession):
         rows = grams.select(place.alias("place")).repartition(block).mapInArrow(run, "block int, bits binary").collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for k, bits in rows:
         out[k * len(bits) : (k + 1) * len(bits)] = np.frombuffer(bytes(bits), np.uint8)
     return out
 
 
-def bucket_bits(spark: SparkSession) -> int:
+def shuffled(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucket_bits(partitions: int) -> int:
     """Bits of a hash that tell its bucket: four buckets or more for each partition of a shuffle."""
-    return (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    return (4 * partitions - 1).bit_length()
+
 
+def lookups(spark: SparkSession) -> int:
+    """Partitions in which strings are looked up: those of the session's shuffles as far as ``LOOKUPS``, then one for sixteen of them."""
+    n = shuffled(spark)
+    return min(n, max(LOOKUPS, n // 16))
 
-def dealt(rows: DataFrame, *order) -> DataFrame:
-    """Rows of packed numbers by bucket, in order within each partition; as many partitions as the session's shuffles have."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "bucket").sortWithinPartitions(*order)
+
+def dealt(rows: DataFrame, partitions: int, *order) -> DataFrame:
+    """Rows of packed numbers by bucket, in order within each partition."""
+    return rows.repartition(partitions, "bucket").sortWithinPartitions(*order)
 
 
 def turned(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -237,7 +262,8 @@ def counted(docs: DataFrame, names: list[str], keys, least: int = 1) -> DataFram
     Each task adds up what it holds before it hands it on, as a row of packed numbers for each bucket of hashes; sums
     below ``least`` are left out where a bucket is added up.
     """
-    bits = bucket_bits(docs.sparkSession)
+    partitions = shuffled(docs.sparkSession)
+    bits = bucket_bits(partitions)
 
     def hashed(columns: list[np.ndarray]) -> np.ndarray:
         return turned(columns[0] if len(columns) == 1 else pair_hash(*columns), bits)
@@ -283,7 +309,7 @@ def counted(docs: DataFrame, names: list[str], keys, least: int = 1) -> DataFram
             arrays = [pa.array(x[order[new[some]]].view(np.int64)) for x in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(total[some])], [*names, "n"])
 
-    rows = dealt(plain(docs).mapInArrow(run, "bucket int, data binary"), "bucket")
+    rows = dealt(plain(docs).mapInArrow(run, "bucket int, data binary"), partitions, "bucket")
     return rows.mapInArrow(add_up, ", ".join(f"{n} long" for n in [*names, "n"]))
 
 
@@ -299,29 +325,35 @@ class Tree:
     levels: list[DataFrame]
     #: Where the tables lie.
     paths: list[str] = field(default_factory=list)
+    #: For each length, the bitmap of the counted strings of it (of words, those that occur ``LEAST`` times).
+    maps: list[Broadcast] = field(default_factory=list)
 
     def root_log(self, count: Column) -> Column:
         return F.log((count + ADDED) / (self.tokens + ADDED * (self.distinct + 1)))
 
 
-def pair_counts(docs: DataFrame, states: DataFrame, known: DataFrame, length: int) -> tuple[DataFrame, str]:
-    """A table and its path: (ctx, suffix, n) of the pairs of states (``gram``) and tokens of which ``known`` has the string without its first word."""
-    broadcast = docs.sparkSession.sparkContext.broadcast
-    maps: tuple[Broadcast, Broadcast] = broadcast(bitmap_of(states)), broadcast(bitmap_of(known))
+def pair_counts(docs: DataFrame, states: DataFrame, maps: list[Broadcast]) -> tuple[DataFrame, str]:
+    """A table and its path: (ctx, suffix, n) of the pairs of states (``gram``) and tokens of which the last of ``maps`` has the string without its first word."""
+    length = len(maps)
+    of_states = docs.sparkSession.sparkContext.broadcast(bitmap_of(states)) if length > 1 else maps[0]
+
+    def may(k: int, own: np.ndarray) -> np.ndarray | None:
+        # A longer string can only be a state, or the pair's end, if what it holds was counted.
+        return passes(maps[k - 1].value, own) if 1 < k < length else None
 
     def keys(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        for at, own in strings(hashes, first, length):
+        for at, own in strings(hashes, first, length, may):
             pass
-        suffix = passes(maps[1].value, own)
-        state = passes(maps[0].value, own)
+        suffix = passes(maps[-1].value, own)
+        state = passes(of_states.value, own) if length > 1 else suffix
         here = np.flatnonzero(suffix[1:] & state[:-1] & (np.diff(at) == 1)) + 1
         if length == 1:  # the first token of a text has no word before it
             here = here[~np.isin(here, first[:-1])]
         return [own[here - 1], own[here]]
 
     out = stored(counted(docs, ["ctx", "suffix"], keys, LEAST))
-    for x in maps:
-        x.destroy()
+    if length > 1:
+        of_states.destroy()
     return out
 
 
@@ -369,8 +401,11 @@ def fit(docs: DataFrame, depth: int | None = None) -> Tree:
     tree = Tree(total[0] or 0, total[1] or 0, words, [], [path])
     known = words.where(F.col("n") >= LEAST).select("gram", tree.root_log(F.col("n")).alias("parent"))
     states = words.where(F.col("n") >= LEAST).select("gram", F.col("n").alias("total"))
+    broadcast = docs.sparkSession.sparkContext.broadcast
     while (depth is None or len(tree.levels) < depth) and not states.isEmpty():
-        counts, of_counts = pair_counts(docs, states, known, len(tree.levels) + 1)
+        if not tree.maps:
+            tree.maps.append(broadcast(bitmap_of(known)))
+        counts, of_counts = pair_counts(docs, states, tree.maps)
         pairs = counts.join(known.select(F.col("gram").alias("suffix"), "parent"), "suffix").join(
             states.select(F.col("gram").alias("ctx"), "total"), "ctx"
         )
@@ -381,6 +416,7 @@ def fit(docs: DataFrame, depth: int | None = None) -> Tree:
         if level.isEmpty():
             break
         tree.levels.append(level)
+        tree.maps.append(broadcast(bitmap_of(level)))
         known = level.select("gram", F.col("log").alias("parent"))
         # A longer string is a state to be tested if its parent is retained and has other occurrences too.
         parents = states_of(level).select(F.col("ctx").alias("suffix"), F.col("total").alias("of_parent"))
@@ -444,9 +480,8 @@ def packed_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["bucket", "kind", "part", "data"])
 
 
-def packed_values(of: DataFrame) -> DataFrame:
+def packed_values(of: DataFrame, bits: int) -> DataFrame:
     """Rows of packed values (gram, base, value), by bucket."""
-    bits = bucket_bits(of.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
@@ -530,12 +565,17 @@ def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
     for path in tree.paths:
         discard(spark, path)
     least, grams, figures = frequent(of)
-    longest, bits = len(tree.levels) + 1, bucket_bits(spark)
+    longest, partitions, maps = len(tree.levels) + 1, lookups(spark), tree.maps
+    bits = bucket_bits(partitions)
     unknown = float(np.log10(ADDED / (tree.tokens + ADDED * (tree.distinct + 1)))) if tree.tokens else 0.0
-    model = spark.sparkContext.broadcast((bitmap_of(of), grams, figures))
+    model = spark.sparkContext.broadcast((grams, figures))
+
+    def may(k: int, own: np.ndarray) -> np.ndarray | None:
+        # A string that counts begins and ends with strings that count; every word of the training texts does.
+        return passes(maps[k - 1].value, own) if k > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, own, of_own = model.value
+        own, of_own = model.value
         part = TaskContext.get().partitionId() << 32
         texts_held: list[list[np.ndarray]] = []
         rare_held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -561,15 +601,9 @@ def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
             owner = np.repeat(np.arange(size), np.diff(first))
             before = sum(len(x[0]) for x in texts_held)
             sums = np.zeros((3, size))
-            alive = np.ones(len(hashes), bool)
-            for at, string in strings(hashes, first, longest):
-                # A string that counts ends with strings that count.
-                some = alive[at]
-                some[some] = passes(bitmap, string[some])
-                alive[:] = False
-                alive[at[some]] = True
-                order = together(string[some])
-                at, string = at[some][order], string[some][order]
+            for at, string in strings(hashes, first, longest, may):
+                order = together(string)
+                at, string = at[order], string[order]
                 sure = np.zeros(len(string), bool)
                 if len(own):
                     place = np.minimum(np.searchsorted(own, string), len(own) - 1)
@@ -588,8 +622,8 @@ def score_texts(docs: DataFrame, depth: int | None = None) -> DataFrame:
         if texts_held:
             yield flushed()
 
-    rest = packed_values(of.where(F.col("n") < least))
-    rows = dealt(rest.union(plain(docs).mapInArrow(run, PACKED)), "kind", "part")
+    rest = packed_values(of.where(F.col("n") < least), bits)
+    rows = dealt(rest.union(plain(docs).mapInArrow(run, PACKED)), partitions, "kind", "part")
     parts = rows.mapInArrow(looked_up, PACKED).repartition("part").sortWithinPartitions("part", F.desc("kind"))
     return parts.mapInArrow(added_up, "doc_id long, n_tokens long, n_known long, base_score double, score double").select(
         "doc_id", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score"

@@ -361,6 +361,29 @@ def test_suffix_tree_of_texts_alone_in_their_part(docs, monkeypatch):
         assert r[:4] == w[:4] and math.isclose(r["base_score"], w["base_score"], rel_tol=1e-9) and math.isclose(r["score"], w["score"], rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_bitmaps_grow_with_their_strings(spark):
+    # Where most bits are set, strings of every length of every token are looked up.
+    bitmap = suffix_tree.bitmap_of(spark.range(12_000_000).selectExpr("xxhash64(id) gram"))
+    assert np.unpackbits(bitmap).mean() < 0.125
+    assert len(suffix_tree.bitmap_of(spark.range(100).selectExpr("xxhash64(id) gram"))) < 1 << 20
+
+
+def test_lookups_give_back_a_bounded_number_of_sums(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 60)
+    want = {tuple(r[:4]): r for r in suffix_tree.score_texts(docs).collect()}
+    monkeypatch.setattr(suffix_tree, "LOOKUPS", 8)
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        scored = suffix_tree.score_texts(docs)
+        assert suffix_tree.lookups(spark) == 8
+        got = scored.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert math.isclose(r["score"], want[tuple(r[:4])]["score"], rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_suffix_tree_keeps_one_table(docs, spark, tmp_path, monkeypatch):
     paths = []
     kept = suffix_tree.stored
